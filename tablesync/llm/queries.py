@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from .language import op8_language_id
+from .mixing import op5_mixing
+from .neighbours import op7_one_bit_search
 from .packing import op6_packing
+from .quality import op9_quality_rules
+from .simhash import op2_simhash
 from .token_files import op4_token_files
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_simhash": op2_simhash,
     "op4_token_files": op4_token_files,
+    "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_one_bit_search": op7_one_bit_search,
+    "op8_language_id": op8_language_id,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
