@@ -77,8 +77,8 @@ def split_tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.select((F.col("node") - (1 << levels)).cast("int").alias("shard"), F.explode("q").alias("p")).select("shard", "p.source", "p.n")
 
 
-def mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), repeat_limit: int = 3, shards: int = 16, blocks: int = 1024, seed: int = 17) -> DataFrame:
-    """Every row of sized (doc_id, source, size and any others), packed into a struct column row, with what the mix takes of it.
+def mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), repeat_limit: int = 3, shards: int = 16, blocks: int = 1024, size: str = "size", seed: int = 17) -> DataFrame:
+    """Every row of sized (doc_id, source, the size column and any others), packed into a struct column row, with what the mix takes of it.
 
     Adds source_size, target (its source's, in words) and draws, an array of (pass, shard, words): the document goes to that shard with so
     many of its first words; words is at most its size and no document is drawn more than repeat_limit times. shards is a power of two.
@@ -88,10 +88,10 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), repeat_limit:
     levels = shards.bit_length() - 1
     if shards != 1 << levels:
         raise ValueError("shards must be a power of two")
-    size = F.coalesce(F.col("row.size").cast("long"), F.lit(0).cast("long"))
-    spot = F.xxhash64(F.lit(seed), F.col("row.doc_id").cast("string"), size)
+    words_of = F.coalesce(F.col(f"row.`{size}`").cast("long"), F.lit(0).cast("long"))
+    spot = F.xxhash64(F.lit(seed), F.col("row.doc_id").cast("string"), words_of)
     packed = sized.select(F.struct(*[F.col(f"`{c}`") for c in sized.columns]).alias("row"))
-    docs = written(packed.select("row", F.col("row.source").cast("string").alias("source"), size.alias("size"), spot.alias("spot"), F.pmod(F.xxhash64(F.lit(seed + 1), spot), F.lit(blocks)).cast("int").alias("block")), "mix-docs")
+    docs = written(packed.select("row", F.col("row.source").cast("string").alias("source"), words_of.alias("size"), spot.alias("spot"), F.pmod(F.xxhash64(F.lit(seed + 1), spot), F.lit(blocks)).cast("int").alias("block")), "mix-docs")
     by_block = written(docs.groupBy("source", "block").agg(F.sum("size").alias("block_size")), "mix-blocks")
     aims = targets(by_block.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, repeat_limit)
     words = F.round("target").cast("long")
@@ -135,11 +135,14 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def drawn_documents(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per draw: the document's columns, its text cut to the words drawn, shard, pass and the order within the shard."""
+    """One row per draw: row, the document with its text cut to the words drawn, and draw: shard, pass, order within the shard, and whether it is a part."""
     draws = mixed.select("row", "size", F.explode("draws").alias("d"))
-    names = [c for c in mixed.schema["row"].dataType.names if c != "size"]
-    text = F.when(F.col("d.words") < F.col("size"), first_words(F.col("row.text"), F.col("d.words"))).otherwise(F.col("row.text"))
-    return draws.select(*[text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in names], F.struct(F.col("d.shard"), F.col("d.pass"), F.xxhash64(F.lit(seed + 3), "row.doc_id", "d.pass").alias("order")).alias("mix"))
+    part = F.col("d.words") < F.col("size")
+    text = F.when(part, first_words(F.col("row.text"), F.col("d.words"))).otherwise(F.col("row.text"))
+    order = F.xxhash64(F.lit(seed + 3), "row.doc_id", "d.pass")
+    names = mixed.schema["row"].dataType.names
+    row = F.struct(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names])
+    return draws.select(row.alias("row"), F.struct("d.shard", "d.pass", order.alias("order"), part.alias("part")).alias("draw"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

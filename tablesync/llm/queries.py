@@ -7,6 +7,9 @@ from .mixing import op5_mixing
 from .neighbours import op7_one_bit_search
 from .packing import op6_packing
 from .quality import op9_quality_rules
+from .quotes import op3_quotation_linking
+from .shards import ORACLE as OP10_SQL
+from .shards import op10_compaction
 from .simhash import op2_simhash
 from .token_files import op4_token_files
 from .toxicity import op1_toxicity
@@ -14,12 +17,14 @@ from .toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_token_files": op4_token_files,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
     "op7_one_bit_search": op7_one_bit_search,
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_compaction": op10_compaction,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_compaction": OP10_SQL}
