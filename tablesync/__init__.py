@@ -1,0 +1 @@
+"""Keeping copies of relational tables in step, as DataFrame and Structured Streaming jobs."""
