@@ -86,12 +86,13 @@ def _probability(log_odds):
     return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_labelled: int = 8000, max_features: int = 1500, min_docs: int = 4, **options) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_labelled: int = 8000, max_features: int = 1500, min_docs: int = 4, min_evidence: float = 10.0, **options) -> Chain:
     """A chain from labels (doc_id and a 0/1 column for each category) on docs (doc_id, text).
 
     The sample is at most max_labelled labelled documents in hash order; rows with a null label are left out, of several labels of a
-    document the highest counts. max_features features (words or beginnings in min_docs documents or more) with the largest signed
-    chi-square for some category stay. No labelled rows: every probability is near 0.
+    document the highest counts. Features are words or beginnings in min_docs documents or more, whose count in a category is so far from
+    expected that (count - expected)^2 / expected is at least min_evidence; rarer ones would only add noise to long texts. The max_features
+    with the most evidence stay. No labelled rows: every probability is near 0.
     """
     known = labels.where("doc_id is not null").dropna(subset=categories).groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
     sample = known.select(F.col("doc_id").alias("labelled_id"), F.struct(*categories).alias("y")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_labelled)
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_labell
         expected = F.col("n") * F.lit(sums[c] / max(1, sums["n"]))
         return F.abs(F.col(c) - expected) * F.abs(F.col(c) - expected) / F.greatest(expected, F.lit(1e-9))
 
-    best = counts.withColumn("told", F.greatest(*[told(c) for c in categories], F.lit(0.0))).orderBy(F.desc("told"), "f").limit(max_features)
+    best = counts.withColumn("told", F.greatest(*[told(c) for c in categories], F.lit(0.0))).where(F.col("told") >= min_evidence).orderBy(F.desc("told"), "f").limit(max_features)
     features = {r.f: i for i, r in enumerate(best.select("f").collect())}
     wanted = F.array(*[F.lit(f) for f in features]) if features else F.array().cast("array<string>")
     got = held.select(F.array_intersect("features", wanted).alias("f"), "y").collect()
@@ -165,7 +166,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     return packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType), StructField("toxicity", StructType([StructField(c, DoubleType()) for c in chain.categories]))]))
 
 
-def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.35) -> DataFrame:
     """Every document with the probabilities of the chain low_quality -> toxic, and whether it is toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic")

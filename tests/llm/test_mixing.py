@@ -1,0 +1,102 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablesync.llm.mixing import _hypergeometric, drawn_documents, first_words, mix, split_tree, targets, with_size
+
+from .conftest import odd_rows
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def wanted(sizes, weights=(5, 2, 1), limit=3):
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    total, stopped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(limit * sizes[s] for s in stopped)
+        open_ = sum(w[s] for s in order if s not in stopped)
+        aim = {s: limit * sizes[s] if s in stopped else rest * w[s] / open_ for s in order}
+        new = {s for s in order if s not in stopped and aim[s] > limit * sizes[s] + 1e-9}
+        if not new:
+            return aim
+        stopped |= new
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 5, None: 7}, {"x": 4}, {"a": 0, "b": 9}, {"é": 3, "z": 90, "Z": 1, "b": 2, "c": 800, "d": 3, "e": 100}])
+def test_targets(spark, sizes):
+    got = {r.source: r.target for r in targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5, 2, 1), 3).collect()}
+    assert got == pytest.approx(wanted(sizes))
+
+
+def check(rows, mixed, shards):
+    sizes, by = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r[3]] += len(WORDS.findall(r[1] or ""))
+    aim, taken = wanted(sizes), Counter()
+    got = mixed.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        size = len(WORDS.findall(r.row.text or ""))
+        assert r.size == size and r.source_size == sizes[r.row.source] and r.target == pytest.approx(aim[r.row.source])
+        assert all(0 < d.words <= size and 0 <= d.shard < shards for d in r.draws) and len(r.draws) <= 3
+        assert len({d["pass"] for d in r.draws}) == len(r.draws)
+        taken[r.row.source] += sum(d.words for d in r.draws)
+        by[r.row.doc_id].append(r.draws)
+    for s in sizes:
+        assert abs(taken[s] - aim[s]) <= 3
+    return got
+
+
+def test_mix_of_odd_rows(odd, clashing, empty):
+    check(odd_rows(), mix(with_size(odd)), 16)
+    got = mix(with_size(clashing, size="n"), size="n", shards=4)
+    check(odd_rows(), got, 4)
+    assert set(got.schema["row"].dataType.names) == {*clashing.columns, "n"}
+    assert mix(with_size(empty)).count() == 0
+
+
+def test_reruns_agree(odd):
+    a, b = (sorted(map(str, mix(with_size(odd.repartition(n))).select("row.doc_id", "draws").collect())) for n in (2, 5))
+    assert a == b
+
+
+def test_a_hot_source_and_shards_of_like_mix(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"), F.array_join(F.array_repeat(F.lit("w"), (F.col("id") % 40 + 1).cast("int")), " ").alias("text"))
+    mixed = mix(with_size(docs), shards=8, blocks=64)
+    check([(r.doc_id, r.text, None, r.source) for r in docs.collect()], mixed, 8)
+    words = mixed.select("row.source", F.explode("draws").alias("d")).groupBy("source", "d.shard").agg(F.sum("d.words").alias("n")).collect()
+    total, share = Counter(), Counter()
+    for r in words:
+        total[r.source] += r.n
+        share[r.source, r.shard] += r.n
+    assert all(0.4 < share["hot", i] / (total["hot"] / 8) < 1.8 for i in range(8))
+
+
+def test_hypergeometric_draws_follow_the_distribution(spark):
+    from math import comb
+
+    for k, n, m in [(5, 20, 10), (30, 40, 7), (1, 9, 3), (12, 12, 5)]:
+        draw = _hypergeometric("k", "n", "m", "u")
+        got = Counter(r.x for r in spark.range(4000).selectExpr(f"{k}L as k", f"{n}L as n", f"{m}L as m", "(id + 0.5D) / 4000 as u").selectExpr(f"{draw} as x").collect())
+        for x, count in got.items():
+            assert abs(count / 4000 - comb(k, x) * comb(n - k, m - x) / comb(n, m)) < 0.002
+
+
+def test_tree_splits_quotas_exactly(spark):
+    quotas = spark.sql("select array(named_struct('source', 'a', 'n', 1000L), named_struct('source', 'b', 'n', 37L), named_struct('source', 'c', 'n', 0L)) as q")
+    leaves = split_tree(quotas, 4, 7).collect()
+    total, size = Counter(), Counter()
+    for r in leaves:
+        total[r.source] += r.n
+        size[r.shard] += r.n
+    assert total == {"a": 1000, "b": 37, "c": 0} and len(size) == 16 and max(size.values()) - min(size.values()) <= 4
+
+
+def test_parts_of_texts(spark, odd):
+    df = spark.createDataFrame([("  a b\n c d ", 2), ("a b", 2), ("a", 5), (None, 1)], "t string, n int")
+    assert [r[0] for r in df.select(first_words(F.col("t"), F.col("n"))).collect()] == ["  a b", "a b", "a", None]
+    drawn = drawn_documents(mix(with_size(odd))).collect()
+    assert all(len(WORDS.findall(r.row.text)) > 0 for r in drawn)

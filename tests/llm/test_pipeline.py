@@ -1,0 +1,34 @@
+import corpus_pipeline
+from tablesync.llm.common import written
+
+from .conftest import odd_rows
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_one_after_the_other(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        left = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert left and left <= ids
+        ids = left
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
+
+
+def test_stages_on_odd_rows(spark, clashing, empty):
+    for docs in (clashing, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            if name != "pack_sequences":
+                assert out.columns == docs.columns, name
+            out.collect()
+
+
+def test_dedup_keeps_one_of_each_group(spark, odd):
+    kept = corpus_pipeline.near_dedup(spark, odd, SF).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id and r.doc_id in (8, 9, 1)) == [1, 8]
+    assert len(kept) < len(odd_rows())
