@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_lines", "n_upper_words", "n_exclaims", "n_distinct_words", "n_digits", "n_stops"]
 #: Characters that count as symbols, and ASCII white space: fixed values.
@@ -167,7 +167,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 6000, *
     Labels of unknown documents or null quality are left out; of several labels of a document the lowest counts.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = known.select(F.col("doc_id").alias("labelled_id"), "quality").orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_labelled)
+    sample = hash_sample(known.select(F.col("doc_id").alias("labelled_id"), "quality"), "labelled_id", max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("text", "quality")
     found = with_stats(rows)
     numbers = measures(lambda s: F.col(f"quality_stats.{s}"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import hash_sample, table
 
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
@@ -65,7 +65,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300) -
     return w
 
 
-def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], *, folds: int = 4, ridge: float = 2e-4, seed: int = 5) -> np.ndarray:
+def fit_chain(x: np.ndarray, labels: dict[str, np.ndarray], *, folds: int = 4, ridge: float = 5e-5, seed: int = 5) -> np.ndarray:
     """Weights of a chain over the categories in the order of labels; x is rows by features."""
     fold = np.random.default_rng(seed).integers(0, folds, len(x))
     out = np.zeros((len(labels), 1 + x.shape[1] + len(labels)))
@@ -86,7 +86,7 @@ def _probability(log_odds):
     return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_labelled: int = 8000, max_features: int = 1500, min_docs: int = 4, min_evidence: float = 10.0, **options) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_labelled: int = 8000, max_features: int = 1500, min_docs: int = 4, min_evidence: float = 25.0, **options) -> Chain:
     """A chain from labels (doc_id and a 0/1 column for each category) on docs (doc_id, text).
 
     The sample is at most max_labelled labelled documents in hash order; rows with a null label are left out, of several labels of a
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, max_labell
     with the most evidence stay. No labelled rows: every probability is near 0.
     """
     known = labels.where("doc_id is not null").dropna(subset=categories).groupBy("doc_id").agg(*[F.max(F.col(c).cast("int")).alias(c) for c in categories])
-    sample = known.select(F.col("doc_id").alias("labelled_id"), F.struct(*categories).alias("y")).orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(max_labelled)
+    sample = hash_sample(known.select(F.col("doc_id").alias("labelled_id"), F.struct(*categories).alias("y")), "labelled_id", max_labelled)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).groupBy("labelled_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))
 
     def listed(parts: Iterator) -> Iterator:
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     return packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType), StructField("toxicity", StructType([StructField(c, DoubleType()) for c in chain.categories]))]))
 
 
-def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.35) -> DataFrame:
+def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.4) -> DataFrame:
     """Every document with the probabilities of the chain low_quality -> toxic, and whether it is toxic."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic")

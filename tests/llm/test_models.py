@@ -120,7 +120,7 @@ def test_toxic_documents_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
     got = toxicity.predict(docs, toxicity.fit(docs, train, ["toxic"])).select("row.doc_id", "toxicity.toxic").withColumnRenamed("toxic", "p").join(test, "doc_id").collect()
-    bad, good = [r.p > 0.35 for r in got if r.toxic], [r.p > 0.35 for r in got if not r.toxic]
+    bad, good = [r.p > 0.4 for r in got if r.toxic], [r.p > 0.4 for r in got if not r.toxic]
     assert np.mean(bad) >= 0.8 and np.mean(good) <= 0.005
 
 
