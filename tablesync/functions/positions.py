@@ -14,9 +14,10 @@ def lsn_number(lsn: Column) -> Column:
 
 
 def lsn_text(number: Column) -> Column:
-    """The HI/LO text of a position below 2^63."""
-    n = number.cast("long")
-    return F.concat_ws("/", F.hex(F.shiftrightunsigned(n, 32)), F.hex(n.bitwiseAND(F.lit(0xFFFFFFFF))))
+    """The HI/LO text of a position."""
+    n, unit = number.cast("decimal(20,0)"), F.lit(4294967296).cast("decimal(10,0)")
+    high = F.floor(n / unit).cast("decimal(20,0)")
+    return F.concat_ws("/", F.hex(high.cast("long")), F.hex((n - high * unit).cast("long")))
 
 
 def binlog_order(file: Column, offset: Column) -> Column:

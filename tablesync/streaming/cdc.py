@@ -19,7 +19,8 @@ from ..operators.apply import merge
 from ..operators.changes import only_tables, typed, valid
 from ..storage import names, rename
 
-_STATE = "bucket int, path string, batch_id long, pos decimal(20,0)"
+#: start: position captured before the snapshot; pos: the last position applied.
+_STATE = "bucket int, path string, batch_id long, start decimal(20,0), pos decimal(20,0)"
 
 
 class BucketedTable:
@@ -35,9 +36,10 @@ class BucketedTable:
         """One row per bucket: a small, fixed number."""
         return self.spark.read.schema(_STATE).json(f"{self.root}/versions/v{version}").collect()
 
-    def _publish(self, version: int, paths: dict[int, str], batch_id: int, pos) -> None:
+    def _publish(self, version: int, paths: dict[int, str], batch_id: int, start, pos) -> None:
         draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(b, p, batch_id, None if pos is None else Decimal(pos)) for b, p in sorted(paths.items())], _STATE).coalesce(1).write.json(draft)
+        at = [None if p is None else Decimal(p) for p in (start, pos)]
+        self.spark.createDataFrame([(b, p, batch_id, *at) for b, p in sorted(paths.items())], _STATE).coalesce(1).write.json(draft)
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         where = hadoop.Path(f"{self.root}/versions")
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)
@@ -55,7 +57,7 @@ class BucketedTable:
     def create(self, snapshot: DataFrame, pos) -> None:
         """Version 0 from a snapshot. pos was captured before it was taken: changes behind pos are replayed on top."""
         path = self._write(snapshot.select(*self.schema.names), "snapshot")
-        self._publish(0, {b: f"{path}/_bucket={b}" for b in range(self.buckets)}, -1, pos)
+        self._publish(0, {b: f"{path}/_bucket={b}" for b in range(self.buckets)}, -1, pos, pos)
 
     def _read_buckets(self, paths: list[str]) -> DataFrame:
         found = [p for p in paths if names(self.spark, p)]
@@ -72,11 +74,11 @@ class BucketedTable:
         """Merge a batch and publish the next version; a batch that is already in it is left alone."""
         version = self.version()
         state = self._state(version)
-        start, applied = state[0].pos, state[0].batch_id
+        start, applied = state[0].start, state[0].batch_id
         if batch_id <= applied:
             return
-        if applied < 0:  # only the snapshot's overlap needs the position filter; later batches start where the stream's checkpoint ended
-            changes = changes.where(F.col("pos") > F.lit(start)) if start is not None else changes
+        if start is not None:  # what the snapshot holds may be spread over any number of batches
+            changes = changes.where(F.col("pos") > F.lit(start))
         changes = changes.persist()
         try:
             key = [typed(F.element_at("key", k), self.schema, k).alias(k) for k in self.keys]
@@ -88,7 +90,7 @@ class BucketedTable:
                 merged = merge(self._read_buckets([paths[b] for b in hit]), changes, self.keys)
                 new = self._write(merged, f"batch-{batch_id}")
                 paths |= {b: f"{new}/_bucket={b}" for b in hit}
-            self._publish(version + 1, paths, batch_id, max((p for p in (start, last) if p is not None), default=None))
+            self._publish(version + 1, paths, batch_id, start, max((p for p in (state[0].pos, last) if p is not None), default=None))
         finally:
             changes.unpersist()
 
