@@ -48,20 +48,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 300) -
         out = np.zeros(x.shape[1] + 1)
         out[0] = -6.0 if len(y) == 0 or y[0] == 0 else 6.0
         return out
-    x1 = np.hstack([np.ones((len(x), 1), dtype=x.dtype), x])
-    v = np.ones(x1.shape[1]) / np.sqrt(x1.shape[1])
+    x1 = np.hstack([np.ones((len(x), 1)), x]).astype(np.float32)  # one kind of number throughout: mixed products would copy x at each step
+    y = y.astype(np.float32)
+    v = np.full(x1.shape[1], 1 / np.sqrt(x1.shape[1]), dtype=np.float32)
     for _ in range(12):  # the largest eigenvalue bounds the curvature
         v = x1.T @ (x1 @ v)
         top = np.linalg.norm(v)
         v /= top
-    step = 1.0 / (0.25 * top / len(y) + ridge)
-    w = look = np.zeros(x1.shape[1])
-    decay = np.full(x1.shape[1], ridge)
+    step = np.float32(1.0 / (0.25 * top / len(y) + ridge))
+    w = look = np.zeros(x1.shape[1], dtype=np.float32)
+    decay = np.full(x1.shape[1], ridge, dtype=np.float32)
     decay[0] = 0.0
     for t in range(steps):
-        slope = x1.T @ (1 / (1 + np.exp(-np.clip(x1 @ look, -30, 30))) - y) / len(y) + decay * look
+        slope = x1.T @ (1 / (1 + np.exp(-np.clip(x1 @ look, -30, 30))) - y) / np.float32(len(y)) + decay * look
         new = look - step * slope
-        look, w = new + t / (t + 3) * (new - w), new
+        look, w = new + np.float32(t / (t + 3)) * (new - w), new
     return w
 
 
