@@ -15,11 +15,44 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64
 ESCAPE = 15
 
 
+_SHORT = np.maximum(np.ceil(np.log2(np.arange(1 << 16, dtype=np.float64) + 1)), 1).astype(np.int8)
+
+
 def _widths(ids: np.ndarray) -> np.ndarray:
-    """Bits that each id needs, at least 1. Exact for 64-bit ids: the halves are sized apart."""
-    high, low = ids >> np.uint64(32), ids & np.uint64(0xFFFFFFFF)
-    size = lambda half: np.frexp(half.astype(np.float64))[1].astype(np.int8)
-    return np.maximum(np.where(high > 0, size(high) + np.int8(32), size(low)), 1)
+    """Bits that each id needs, at least 1. Exact for 64-bit ids: the 16-bit quarters are looked up apart."""
+    if int(ids.max()) < 1 << 16:
+        return _SHORT[ids]
+    out = np.ones(len(ids), dtype=np.int8)
+    for quarter in range(4):
+        part = (ids >> np.uint64(16 * quarter)) & np.uint64(0xFFFF)
+        out = np.where(part > 0, _SHORT[part] + np.int8(16 * quarter), out)
+    return out
+
+
+def _windows(fits: np.ndarray, n: int) -> np.ndarray:
+    """Whether n neighbours from each column on all fit; the last n - 1 columns of fits are margin."""
+    span, have = fits, 1
+    while 2 * have <= n:
+        span = span[:, : span.shape[1] - have] & span[:, have:]
+        have *= 2
+    rest = n - have
+    return span[:, : span.shape[1] - rest] & span[:, rest:] if rest else span
+
+
+def _best(width: np.ndarray, n: int, block: int) -> np.ndarray:
+    """The fullest selector that can start at each id: its first COUNTS ids, as far as the block goes, are narrow enough."""
+    n_blocks, margin = -(-n // block), int(COUNTS[0])
+    padded = np.ones((n_blocks, block + margin), dtype=np.int8)  # beyond a block's end everything fits
+    flat = np.ones(n_blocks * block, dtype=np.int8)
+    flat[:n] = width
+    padded[:, :block] = flat.reshape(n_blocks, block)
+    pick = np.full((n_blocks, block), ESCAPE, dtype=np.int8)
+    for s in range(len(COUNTS) - 1, -1, -1):  # one wide id, two, three ... narrower and narrower
+        good = _windows(padded <= BITS[s], int(COUNTS[s]))[:, :block]
+        if not good.any():
+            break  # a fuller selector asks for more ids in fewer bits
+        pick[good] = s
+    return pick.reshape(-1)[:n]
 
 
 def encode(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -28,51 +61,47 @@ def encode(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if n == 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.int64)
-    width, here = _widths(ids), np.arange(n, dtype=np.int32)
-    ends = np.minimum((here // block + 1) * block, n).astype(np.int32)
-    left = ends - here
-    take, pick = np.ones(n, dtype=np.int32), np.full(n, ESCAPE, dtype=np.int8)
-    least, most = int(width.min()), int(width.max())
-    for s in range(len(COUNTS) - 1, -1, -1):  # from one wide id to many narrow ones: the last that fits is the fullest
-        if BITS[s] < least:
-            break
-        want = np.minimum(left, COUNTS[s]).astype(np.int32)
-        if BITS[s] < most:
-            too_wide = np.minimum.accumulate(np.where(width > BITS[s], here, np.int32(n))[::-1])[::-1]
-            fits = too_wide - here >= want
-            take, pick = np.where(fits, want, take), np.where(fits, np.int8(s), pick)
-        else:
-            take, pick = want, np.full(n, s, dtype=np.int8)
-    at = np.arange(0, n, block)
-    owner = np.arange(len(at))
-    starts, owners = [], []
+    n_blocks = -(-n // block)
+    pick = _best(_widths(ids), n, block)
+    count = np.ones(16, dtype=np.int64)
+    count[: len(COUNTS)] = COUNTS
+    at, owner, turn = np.arange(0, n, block), np.arange(n_blocks), 0
+    starts, owners, turns = [], [], []
     while len(at):  # one word of every unfinished block a turn
         starts.append(at)
         owners.append(owner)
-        after = at + take[at]
-        more = after < ends[at]
-        at, owner = after[more], owner[more]
-    first, owner = np.concatenate(starts), np.concatenate(owners)
-    order = np.argsort(first, kind="stable")
-    first, owner = first[order], owner[order]
-    size = 1 + (pick[first] == ESCAPE)
-    place = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), dtype=np.uint64)
-    for s in np.unique(pick[first]):
-        mine = np.flatnonzero(pick[first] == s)
+        turns.append(np.full(len(at), turn))
+        at = at + count[pick[at]]
+        more = at < np.minimum((owner + 1) * block, n)
+        at, owner, turn = at[more], owner[more], turn + 1
+    first, owner, turns = np.concatenate(starts), np.concatenate(owners), np.concatenate(turns)
+    kind = pick[first]
+    size = 1 + (kind == ESCAPE)
+    per_block = np.bincount(owner, weights=size, minlength=n_blocks).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(per_block)])
+    if (kind == ESCAPE).any():
+        order = np.argsort(first, kind="stable")
+        place = np.empty(len(first), dtype=np.int64)
+        place[order] = np.cumsum(size[order]) - size[order]
+    else:
+        place = offsets[owner] + turns
+    words = np.zeros(int(offsets[-1]), dtype=np.uint64)
+    left = np.minimum((owner + 1) * block, n) - first
+    for s in np.unique(kind):
+        mine = np.flatnonzero(kind == s)
         if s == ESCAPE:
             words[place[mine]] = np.uint64(ESCAPE) << np.uint64(60)
             words[place[mine] + 1] = ids[first[mine]]
             continue
-        word = np.full(len(mine), np.uint64(s) << np.uint64(60), dtype=np.uint64)
-        for k in range(int(COUNTS[s])):
-            spot = first[mine] + k
-            inside = k < take[first[mine]]
-            word |= np.where(inside, ids[np.minimum(spot, n - 1)], np.uint64(0)) << np.uint64(k * BITS[s])
-        words[place[mine]] = word
-    n_blocks = -(-n // block)
-    offsets = np.zeros(n_blocks + 1, dtype=np.int64)
-    offsets[1:] = np.cumsum(np.bincount(owner, weights=size, minlength=n_blocks).astype(np.int64))
+        for own, full in ((mine[left[mine] >= COUNTS[s]], True), (mine[left[mine] < COUNTS[s]], False)):
+            word = np.full(len(own), np.uint64(s) << np.uint64(60), dtype=np.uint64)
+            for k in range(int(COUNTS[s])) if len(own) else ():
+                if not full:  # the last words of blocks
+                    own_k = left[own] > k
+                    word[own_k] |= ids[first[own[own_k]] + k] << np.uint64(k * BITS[s])
+                else:
+                    word |= ids[first[own] + k] << np.uint64(k * BITS[s])
+            words[place[own]] = word
     return words, offsets
 
 
