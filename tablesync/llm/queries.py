@@ -7,6 +7,7 @@ from .mixing import op5_mixing
 from .neighbours import op7_one_bit_search
 from .packing import op6_packing
 from .quality import op9_quality_rules
+from .quotes import ORACLE as OP3_SQL
 from .quotes import op3_quotation_linking
 from .shards import ORACLE as OP10_SQL
 from .shards import op10_compaction
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_compaction": op10_compaction,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_compaction": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quotation_linking": OP3_SQL, "op10_compaction": OP10_SQL}

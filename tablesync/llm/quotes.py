@@ -112,3 +112,36 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = link_quotes(table(spark, sf_dir, "conversations"))
     step = lambda p: F.concat_ws(":", p["conv_id"].cast("string"), p["turn"].cast("string"))
     return out.select("conv_id", "turn", "role", "text", "thread_id", F.col("parent.conv_id").alias("parent_conv"), F.col("parent.turn").alias("parent_turn"), (F.size("path") - 1).cast("long").alias("depth"), F.array_join(F.transform("path", step), "/").alias("reply_path"), "n_quoted", "n_found")
+
+
+_NORMAL = r"lower(trim(regexp_replace(x, '\s+', ' ', 'g')))"
+
+#: The same rows in DuckDB's SQL, where (conv_id, turn) is unique: normalised texts stand for their hashes, recursion for the doubling.
+ORACLE = rf"""WITH RECURSIVE split AS (SELECT conv_id, turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS a FROM conversations),
+  raw AS (SELECT conv_id, turn, role, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM split),
+  lines AS (SELECT conv_id, turn, role, pos, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS body FROM raw),
+  ahead AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next_level FROM lines),
+  own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 AND NOT (next_level > 0 AND regexp_matches(body, '{ANNOUNCES}')) THEN body END,
+    chr(10) ORDER BY pos), ''), '^\s*\n|\s+$', '', 'g') AS text FROM ahead GROUP BY conv_id, turn, role),
+  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS run FROM lines WHERE level > 0),
+  passages AS (SELECT conv_id, turn, level, run, string_agg(body, chr(10) ORDER BY pos) AS p FROM runs GROUP BY conv_id, turn, level, run),
+  pieces AS (SELECT conv_id, turn, level, run, unnest(list_append(string_split_regex(p, '\n[ \t]*\n'), p)) AS x FROM passages),
+  asked AS (SELECT DISTINCT conv_id, turn, level, run, {_NORMAL} AS h FROM pieces WHERE {_NORMAL} <> ''),
+  own_pieces AS (SELECT conv_id, turn, unnest(list_append(string_split_regex(text, '\n[ \t]*\n'), text)) AS x FROM own),
+  originals AS (SELECT {_NORMAL} AS h, conv_id, min(turn) AS turn FROM own_pieces WHERE {_NORMAL} <> '' GROUP BY 1, 2),
+  anywhere AS (SELECT h, conv_id AS g_conv, turn AS g_turn FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id) AS r FROM originals) WHERE r = 1),
+  found AS (SELECT a.conv_id, a.turn, a.level, a.run, i.turn IS NULL AS elsewhere, CASE WHEN i.turn IS NULL THEN g.g_conv ELSE a.conv_id END AS p_conv,
+    CASE WHEN i.turn IS NULL THEN g.g_turn ELSE i.turn END AS p_turn FROM asked a
+    LEFT JOIN originals i ON a.h = i.h AND a.conv_id = i.conv_id AND i.turn < a.turn LEFT JOIN anywhere g ON a.h = g.h AND g.g_conv < a.conv_id),
+  counts AS (SELECT conv_id, turn, count(DISTINCT level * 100000 + run) AS n_quoted, count(DISTINCT CASE WHEN p_conv IS NOT NULL THEN level * 100000 + run END) AS n_found FROM found GROUP BY conv_id, turn),
+  parents AS (SELECT conv_id, turn, p_conv, p_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, elsewhere, p_turn DESC, p_conv) AS r FROM found WHERE p_conv IS NOT NULL) WHERE r = 1),
+  ties AS (SELECT DISTINCT p_conv AS a, conv_id AS b FROM parents WHERE p_conv < conv_id UNION SELECT DISTINCT conv_id, p_conv FROM parents WHERE p_conv < conv_id),
+  reach AS (SELECT a, b FROM ties UNION SELECT r.a, t.b FROM reach r JOIN ties t ON r.b = t.a),
+  threads AS (SELECT a, least(a, min(b)) AS thread_id FROM reach GROUP BY a),
+  paths AS (SELECT o.conv_id, o.turn, o.conv_id || ':' || o.turn AS reply_path, 0 AS depth FROM own o LEFT JOIN parents p ON o.conv_id = p.conv_id AND o.turn = p.turn WHERE p.p_conv IS NULL
+    UNION ALL SELECT c.conv_id, c.turn, p.reply_path || '/' || c.conv_id || ':' || c.turn, p.depth + 1 FROM parents c JOIN paths p ON c.p_conv = p.conv_id AND c.p_turn = p.turn)
+SELECT CAST(o.conv_id AS BIGINT) AS conv_id, CAST(o.turn AS BIGINT) AS turn, o.role, o.text, CAST(coalesce(t.thread_id, o.conv_id) AS BIGINT) AS thread_id, CAST(p.p_conv AS BIGINT) AS parent_conv,
+  CAST(p.p_turn AS BIGINT) AS parent_turn, CAST(w.depth AS BIGINT) AS depth, w.reply_path, coalesce(c.n_quoted, 0) AS n_quoted, coalesce(c.n_found, 0) AS n_found
+FROM own o LEFT JOIN parents p ON o.conv_id = p.conv_id AND o.turn = p.turn LEFT JOIN threads t ON o.conv_id = t.a LEFT JOIN paths w ON o.conv_id = w.conv_id AND o.turn = w.turn
+LEFT JOIN counts c ON o.conv_id = c.conv_id AND o.turn = c.turn"""

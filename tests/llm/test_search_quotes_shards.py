@@ -143,3 +143,34 @@ def test_odd_tables(spark, clashing, empty, tmp_path):
     shards.compact(spark, root, clashing.schema, target_bytes=50_000, fan_in=2)
     got = shards.read(spark, root, clashing.schema)
     assert got.count() == 2 * len(odd_rows()) and got.columns == clashing.columns
+
+
+def test_quotations_against_sql(spark, tmp_path):
+    """Random threads with nested, partial and foreign quotations, in Spark and in DuckDB."""
+    import random
+
+    import duckdb
+
+    from tablesync.llm import quotes
+
+    rng, rows, said = random.Random(8), [], []
+    for conv in range(12):
+        for turn in range(rng.randint(1, 7)):
+            own = "\n\n".join(" ".join(rng.choice(["red", "Green", "blue", "sky", "sea"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
+            text = own
+            if said and rng.random() < 0.7:
+                old = rng.choice(said)
+                part = rng.choice([old, old.split("\n\n")[0], "nobody said this", ""])
+                depth = "> " * rng.randint(1, 3)
+                text = rng.choice(["Ann wrote:\n", "", "so:\n"]) + "\n".join(depth + l for l in part.upper().split("\n")) + "\n" + rng.choice([own, f"{own}\n> {rng.choice(said)}"])
+            said.append(own)
+            rows.append((conv, turn, "user", text))
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    rel = con.sql(quotes.ORACLE)
+    want = sorted((tuple(dict(zip(rel.columns, r))[c] for c in sorted(rel.columns)) for r in rel.fetchall()), key=repr)
+    got = quotes.op3_quotation_linking(spark, str(tmp_path))
+    assert sorted((tuple(r[c] for c in sorted(got.columns)) for r in got.collect()), key=repr) == want
+    assert sum(r[sorted(rel.columns).index("n_found")] for r in want) > 10
