@@ -32,16 +32,17 @@ def fold(changes: DataFrame, schema: StructType, keys: list[str], order: tuple[s
     order: columns of changes that order it, unique together. Result: k_<key>, has_delete, s (order of the insert, null if none), i_<col>
     (insert's value) and u_<col> (struct(at, v) of the latest update that has the column).
     """
-    at = F.struct(*order)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)  # a plain number keeps the search for deletes in hash aggregates
     keyed = _keys(changes, schema, keys).withColumn("at", at)
     complete = keyed.where(_all([F.col(f"k_{k}").isNotNull() for k in keys]))
     names, by = [f.name for f in schema if f.name not in keys], [f"k_{k}" for k in keys]
     held = lambda c: F.map_contains_key("values", F.lit(c))
     value = lambda c: typed(F.element_at("values", F.lit(c)), schema, c)
     deletes = F.max(F.when(F.col("op") == "delete", F.col("at"))).alias("d")
+    n_inserts = F.count_if(F.col("op") == "insert").alias("n_inserts")
     updates = [F.max(F.when((F.col("op") == "update") & held(c), F.struct("at", value(c).alias("v")))).alias(f"u_{c}") for c in names]
-    folded = complete.groupBy(*by).agg(deletes, F.count_if(F.col("op") == "insert").alias("n_inserts"), *updates)
-    last = folded.where("n_inserts > 0").select(*[F.col(b).alias(f"d_{b}") for b in by], "d")
+    folded = complete.groupBy(*by).agg(deletes, *updates)
+    last = complete.where("op <> 'update'").groupBy(*by).agg(deletes, n_inserts).where("n_inserts > 0").select(*[F.col(b).alias(f"d_{b}") for b in by], "d")
     inserts = complete.where("op = 'insert'").join(last, _all([F.col(b) == F.col(f"d_{b}") for b in by])).where("d is null or at > d")
     first = inserts.groupBy(*by).agg(F.min(F.struct("at", *[value(c).alias(f"v_{c}") for c in names])).alias("i"))
     first = first.select(*[F.col(b).alias(f"i_{b}") for b in by], F.col("i.at").alias("s"), *[F.col(f"i.v_{c}").alias(f"i_{c}") for c in names])
