@@ -51,7 +51,7 @@ class BucketedTable:
 
     def _write(self, df: DataFrame, label: str) -> str:
         path = f"{self.root}/data/{label}-{uuid.uuid4().hex}"
-        df.withColumn("_bucket", self._bucket(df)).repartition(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(path)
+        df.withColumn("_bucket", self._bucket(df)).repartitionById(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(path)
         return path
 
     def create(self, snapshot: DataFrame, pos) -> None:
