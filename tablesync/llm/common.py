@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
+
+_Batches = Iterator[pa.Array]
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,3 +67,19 @@ def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     share = min(1.0, 1.5 * n / max(1, total))
     below = F.pmod(F.xxhash64(F.lit(1), key), F.lit(1 << 40)) < int(share * (1 << 40))
     return df.where(below).orderBy(F.xxhash64(key), key).limit(n)
+
+
+def text_udf(kind: DataType, start: Callable[[], Callable]) -> Callable[[Column], Column]:
+    """A function of one text column, computed in Arrow batches; only the texts travel to Python.
+
+    start() is called once a task and gives a function from a list of texts to an Arrow array; it sees 512 texts at a time, so a worker's
+    memory doesn't hang on the size of Spark's batches.
+    """
+    def run(parts):
+        step = start()
+        for part in parts:
+            done = [step(part.slice(at, 512).to_pylist()) for at in range(0, len(part), 512)] or [step([])]
+            yield pa.concat_arrays(done)
+
+    run.__annotations__ = {"parts": _Batches, "return": _Batches}
+    return F.arrow_udf(run, kind).asNondeterministic()  # else a filter on the result would run it a second time

@@ -8,18 +8,17 @@ that length score, averaged, less a penalty for each step down. The sums over a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_udf
 
 ORDERS = (4, 3, 2, 1)
 #: Unseen words that a worker remembers before it starts anew.
-MAX_UNSEEN = 300_000
+MAX_UNSEEN = 200_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
@@ -89,11 +88,12 @@ def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_languages: in
 
 
 class Scorer:
-    """Scores texts; remembers unseen words, up to MAX_UNSEEN."""
+    """Scores texts; remembers unseen words, up to MAX_UNSEEN, as rows of one matrix."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.unseen: dict[str, np.ndarray] = {}
+        self.unseen: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(model.languages)))
 
     def _back_off(self, word: str) -> np.ndarray:
         rows, padded = self.model.rows, f" {word} "
@@ -104,6 +104,15 @@ class Scorer:
                 return (score - score.max(axis=1, keepdims=True)).mean(axis=0) * self.model.backoff**step
         return np.zeros(len(self.model.languages))
 
+    def _place(self, word: str) -> int:
+        place = self.unseen.get(word)
+        if place is None:
+            place = self.unseen[word] = len(self.unseen)
+            if place == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[place] = self._back_off(word)
+        return place
+
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = _LETTERS.findall(text.lower()) if text else []
         if not words or not self.model.languages or not any(c.isalpha() for c in text):
@@ -112,14 +121,10 @@ class Scorer:
         total = self.model.scores[[p for p in places if p is not None]].sum(axis=0)
         if len(self.unseen) > MAX_UNSEEN:
             self.unseen.clear()
-        unseen = self.unseen
-        for word, place in zip(words, places):
-            if place is None:
-                if word not in unseen:
-                    unseen[word] = self._back_off(word)
-                total = total + unseen[word]
-        tempered = (total - total.max()) / np.sqrt(len(words))
-        share = np.exp(tempered)
+        unseen = [self._place(w) for w, p in zip(words, places) if p is None]
+        if unseen:
+            total = total + self.rows[unseen].sum(axis=0)
+        share = np.exp((total - total.max()) / np.sqrt(len(words)))
         best = int(np.argmax(total))
         return self.model.languages[best], float(share[best] / share.sum())
 
@@ -128,19 +133,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs, each row packed whole into a struct column row, with lang_pred and score. 'und' and 0 for null texts or texts without a letter."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded: max_words + max_grams rows a language
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    def run(parts: Iterator) -> Iterator:
+    def start():
         import pyarrow as pa
 
         scorer = Scorer(shared.value)
-        for part in parts:
-            found = [scorer(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+        def step(texts):
+            found = [scorer(t) for t in texts]
+            return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["lang_pred", "score"])
+
+        return step
 
-    return packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType), StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    told = text_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]), start)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), told(F.col("text").cast("string")).alias("told"))
+    return packed.select("row", "told.lang_pred", "told.score")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,13 @@ of low quality among what it covers), and kept only if it is right there. The li
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import hash_sample, table, text_udf
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars_all", "n_lines", "n_upper_words", "n_exclaims", "n_distinct_words", "n_digits", "n_stops"]
 #: Characters that count as symbols, and ASCII white space: fixed values.
@@ -64,24 +63,22 @@ def text_stats(text: str | None) -> tuple[int, ...]:
 
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column quality_stats added; every other column passes through, whatever its name or type."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"))
-    row_type = packed.schema["row"].dataType
+    """docs, each row packed whole into a struct column row, with a struct column quality_stats."""
+    from pyspark.sql.types import LongType, StructField, StructType
 
-    def run(parts: Iterator) -> Iterator:
+    def start():
         import pyarrow as pa
 
-        kind = pa.struct([(s, pa.int64()) for s in STATS])
-        for part in parts:
-            values = np.array([text_stats(t) for t in part.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
-            stats = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATS))], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([part.column("row"), stats], names=["row", "quality_stats"])
+        names = list(STATS)
 
-    from pyspark.sql.types import LongType, StructField, StructType
+        def step(texts):
+            values = np.array([text_stats(t) for t in texts], dtype=np.int64).reshape(-1, len(names))
+            return pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(names))], names=names)
+
+        return step
 
-    schema = StructType([StructField("row", row_type), StructField("quality_stats", StructType([StructField(s, LongType()) for s in STATS]))])
-    return packed.mapInArrow(run, schema)
+    stats = text_udf(StructType([StructField(s, LongType()) for s in STATS]), start)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), stats(F.col(f"`{text}`").cast("string")).alias("quality_stats"))
 
 
 def measures(stat) -> dict[str, Column]:

@@ -95,8 +95,7 @@ def plan_merges(live: DataFrame, target_bytes: int, fan_in: int) -> DataFrame:
 def compact(spark: SparkSession, root: str, schema, *, target_bytes: int = 128 << 20, fan_in: int = 4, codec: str = "zstd") -> int:
     """Merge once what plan_merges names and commit; the newest version if there is nothing to merge.
 
-    Each row is moved once, to the task of its merge; rows of large merges are dealt to several tasks only by size, so a merge writes one
-    file. Old shards stay for readers of older versions, until vacuum().
+    Each row is moved once, to the task of its merge, which writes one file. Old shards stay for readers of older versions, until vacuum().
     """
     base = max(versions(spark, root), default=0)
     plan = plan_merges(entries(spark, root), target_bytes, fan_in).persist()
@@ -106,15 +105,16 @@ def compact(spark: SparkSession, root: str, schema, *, target_bytes: int = 128 <
         if not counts["merges"]:
             return base
         path = f"{root}/data/merge-{uuid.uuid4().hex}"
-        lookup = todo.select(F.col("file").alias("of_file"), "merge")
+        numbers = todo.select(F.col("merge").alias("n_merge")).distinct().withColumn("no", F.row_number().over(Window.orderBy("n_merge")) - 1)
+        lookup = todo.join(numbers, F.col("merge") == F.col("n_merge")).select(F.col("file").alias("of_file"), "no")
         lookup = F.broadcast(lookup) if counts["shards"] <= MAX_BROADCAST_SHARDS else lookup
         # the driver holds the names of live shards, as Spark's own file listing does
         rows = spark.read.schema(schema).parquet(*[r.file for r in todo.select("file").toLocalIterator()])
         names = rows.columns
         rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("_metadata.file_path").alias("file")).join(lookup, F.col("file") == F.col("of_file"))
-        dealt = rows.select("row", "merge").repartition(counts["merges"], "merge")
+        dealt = rows.select("row", "no").repartitionById(counts["merges"], "no")  # a hash would send several merges to one task
         key = f"merge_{uuid.uuid4().hex[:8]}"  # clashes with no column
-        dealt.select(*[F.col(f"row.`{c}`") for c in names], F.col("merge").alias(key)).write.partitionBy(key).option("compression", codec).parquet(path)
+        dealt.select(*[F.col(f"row.`{c}`") for c in names], F.col("no").alias(key)).write.partitionBy(key).option("compression", codec).parquet(path)
         live = plan.where("merge is null").select("file", "bytes", "rows").unionByName(_written_shards(spark, path, schema))
         return commit(spark, root, live, base)
     finally:

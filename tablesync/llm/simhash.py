@@ -8,13 +8,11 @@ that is equal and a next one that differs in one bit at most: every fingerprint
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, text_udf, written
 from .graph import components
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -43,18 +41,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs, each row packed whole into a struct column row, with its fingerprint fp. Null text: 0."""
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    from pyspark.sql.types import LongType
 
-    def run(parts: Iterator) -> Iterator:
+    def start():
         import pyarrow as pa
 
-        for part in parts:
-            found = [fingerprint(t, shingle) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found, pa.int64())], names=["row", "fp"])
+        return lambda texts: pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
 
-    return packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType), StructField("fp", LongType())]))
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_udf(LongType(), start)(F.col("text").cast("string")).alias("fp"))
 
 
 def _turned(x: Column, by: Column) -> Column:

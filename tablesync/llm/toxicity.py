@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, table
+from .common import hash_sample, table, text_udf
 
 #: Lengths of word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
@@ -132,17 +132,16 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     Null and empty texts hold no feature and get what the biases say.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # bounded: max_features weights a category
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    def run(parts: Iterator) -> Iterator:
+    def start():
         import pyarrow as pa
 
         model = shared.value
         n, k = len(model.features), len(model.categories)
-        kind = pa.struct([(c, pa.float64()) for c in model.categories])
         of: dict[str, tuple[int, ...]] = {}
-        for part in parts:
-            texts = part.column("text").to_pylist()
+
+        def step(texts):
             odds = np.zeros((len(texts), k))
             for i, text in enumerate(texts):
                 words = set(_LETTERS.findall(text.lower())) if text else ()
@@ -159,12 +158,12 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
             found = np.zeros((len(texts), k))
             for c in range(k):
                 found[:, c] = _probability(odds[:, c] + found[:, :c] @ model.weights[c, n + 1 : n + 1 + c])
-            toxicity = pa.StructArray.from_arrays([pa.array(found[:, c]) for c in range(k)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([part.column("row"), toxicity], names=["row", "toxicity"])
+            return pa.StructArray.from_arrays([pa.array(found[:, c]) for c in range(k)], names=model.categories)
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
+        return step
 
-    return packed.mapInArrow(run, StructType([StructField("row", packed.schema["row"].dataType), StructField("toxicity", StructType([StructField(c, DoubleType()) for c in chain.categories]))]))
+    told = text_udf(StructType([StructField(c, DoubleType()) for c in chain.categories]), start)
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), told(F.col("text").cast("string")).alias("toxicity"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str, threshold: float = 0.4) -> DataFrame:
