@@ -12,8 +12,8 @@ import re
 
 import numpy as np
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory at about 300 MB.
-MAX_CHUNKS = 1_200_000
+#: Chunks that a worker remembers before it starts anew; bounds its memory at about 120 MB.
+MAX_CHUNKS = 600_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
