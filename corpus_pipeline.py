@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them; of one per source a part, with n_chars to match."""
+    """Documents as often as the mix draws them, shard after shard in the mix's order; of one per source a part, with n_chars to match."""
     size = "mix_size"
     while size in docs.columns:
         size += "_"

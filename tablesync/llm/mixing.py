@@ -135,19 +135,24 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def drawn_documents(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per draw: row, the document with its text cut to the words drawn, and draw: shard, pass, order within the shard, and whether it is a part."""
+    """One row per draw: row, the document with its text cut to the words drawn, and draw: shard, pass, order within the shard, and whether it is a part.
+
+    Rows are dealt by range of (shard, order) and sorted by it, so partitions in turn hold the shards in turn, each in its order. Borders
+    of partitions may lie within a shard, so tasks aren't bound to the number of shards.
+    """
     draws = mixed.select("row", "size", F.explode("draws").alias("d"))
     part = F.col("d.words") < F.col("size")
     text = F.when(part, first_words(F.col("row.text"), F.col("d.words"))).otherwise(F.col("row.text"))
-    order = F.xxhash64(F.lit(seed + 3), "row.doc_id", "d.pass")
+    order = F.xxhash64(F.lit(seed + 3), "row.doc_id", "row.text", "d.pass")
     names = mixed.schema["row"].dataType.names
     row = F.struct(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names])
-    return draws.select(row.alias("row"), F.struct("d.shard", "d.pass", order.alias("order"), part.alias("part")).alias("draw"))
+    dealt = draws.select(row.alias("row"), F.struct("d.shard", "d.pass", order.alias("order"), part.alias("part")).alias("draw"))
+    return dealt.repartitionByRange("draw.shard", "draw.order").sortWithinPartitions("draw.shard", "draw.order")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document; shards: where its draws go, pass after pass."""
     sized = with_size(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     mixed = mix(sized)
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda s, d: s + d["words"])
-    return mixed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return mixed.select("row.doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws.shard").alias("shards"))

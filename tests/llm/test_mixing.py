@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tablesync.llm.mixing import _hypergeometric, drawn_documents, first_words, mix, split_tree, targets, with_size
+import corpus_pipeline
+from tablesync.llm.common import written
+from tablesync.llm.mixing import _hypergeometric, drawn_documents, first_words, mix, op5_mixing, split_tree, targets, with_size
 
 from .conftest import odd_rows
 
@@ -100,3 +102,22 @@ def test_parts_of_texts(spark, odd):
     assert [r[0] for r in df.select(first_words(F.col("t"), F.col("n"))).collect()] == ["  a b", "a b", "a", None]
     drawn = drawn_documents(mix(with_size(odd))).collect()
     assert all(len(WORDS.findall(r.row.text)) > 0 for r in drawn)
+
+
+def test_rows_follow_shard_and_order(spark):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, "a").otherwise("b").alias("source"), F.concat_ws(" ", F.lit("x y"), F.col("id").cast("string")).alias("text"), F.lit(9).alias("n_chars"))
+    drawn = drawn_documents(mix(with_size(docs)))
+    got = [(r.draw.shard, r.draw.order) for r in drawn.collect()]
+    assert got == sorted(got) and len({s for s, _ in got}) == 16
+    want = [r.row.doc_id for r in sorted(drawn.collect(), key=lambda r: (r.draw.shard, r.draw.order))]
+    ids = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert ids == want and len(set(ids)) < len(ids)
+    assert sum(a == b for a, b in zip(ids, ids[1:])) < 0.05 * (len(ids) - len(set(ids)))  # copies don't lie side by side
+    files = written(corpus_pipeline.mix_sources(spark, docs, ""), "mixed").select("doc_id", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).collect()
+    assert [r.doc_id for r in sorted(files, key=lambda r: (r.f, r.i))] == want
+
+
+def test_query_tells_the_shards(spark):
+    got = op5_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert all((len(r.shards) > 0) == (r.taken > 0) and all(0 <= s < 16 for s in r.shards) for r in got)
+    assert len({s for r in got for s in r.shards}) > 1
