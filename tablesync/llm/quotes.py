@@ -1,7 +1,7 @@
 """Op 3: quotation linking for chat and mail threads, with DataFrame and SQL functions only.
 
-A line's quote level is the number of > before it. The lines of level 0, without the line that announces a quotation, are the message's own
-text. Runs of lines of one deeper level are quoted passages. A passage, and each of its paragraphs, is normalised (case and white space) and
+A line's quote level is the number of > before it. Lines that announce a deeper quotation belong to no text. The others of level 0 are the
+message's own text. Runs of lines of one deeper level are quoted passages. A passage, and each of its paragraphs, is normalised (case and white space) and
 hashed, and meets the messages whose own text, or a paragraph of it, has that hash. The links make reply trees, whose paths order each
 conversation with replies behind what they answer.
 """
@@ -28,10 +28,15 @@ def _lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\r?\n"), line)
 
 
+def _announces(lines: Column, x: Column, i: Column) -> Column:
+    """Whether x, the line at i, announces the deeper quotation on the next line."""
+    deeper_next = F.coalesce(F.get(lines, i + 1)["level"] > x["level"], F.lit(False))
+    return F.coalesce(F.rlike(x["body"], F.lit(ANNOUNCES)), F.lit(False)) & deeper_next
+
+
 def own_text(lines: Column) -> Column:
     """The lines of level 0 that announce no quotation, without blank lines at both ends."""
-    quoted_next = lambda i: F.coalesce(F.get(lines, i + 1)["level"] > 0, F.lit(False))
-    own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~(F.coalesce(F.rlike(x["body"], F.lit(ANNOUNCES)), F.lit(False)) & quoted_next(i)))
+    own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~_announces(lines, x, i))
     joined = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
     return F.regexp_replace(joined, r"^\s*\n|\s+$", "")
 
@@ -60,7 +65,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     # passages: runs of lines of one level; a window holds the lines of one message
     quoting = held.where("lines is not null and conv_id is not null and turn is not null").select("conv_id", "turn", F.xxhash64("lines").alias("copy"), "lines").distinct()
-    lines = quoting.select("conv_id", "turn", "copy", F.posexplode("lines").alias("pos", "line")).select("conv_id", "turn", "copy", "pos", "line.level", "line.body")
+    told = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), x["body"].alias("body"), _announces(F.col("lines"), x, i).alias("announces")))
+    lines = quoting.select("conv_id", "turn", "copy", F.posexplode(told).alias("pos", "line")).where("not line.announces").select("conv_id", "turn", "copy", "pos", "line.level", "line.body")
     message = ["conv_id", "turn", "copy"]
     run = F.col("pos") - F.row_number().over(Window.partitionBy(*message, "level").orderBy("pos"))
     runs = lines.withColumn("run", run).where("level > 0").groupBy(*message, "level", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "\n").alias("passage"))

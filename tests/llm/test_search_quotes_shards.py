@@ -91,6 +91,20 @@ def test_nested_quotations(spark):
     assert (got[1, 2].n_quoted, got[1, 2].n_found, got[2, 1].n_found) == (2, 2, 0)
 
 
+def test_an_announcing_line_inside_a_quotation(spark):
+    rows = [
+        (1, 0, "u", "X"),
+        (1, 1, "a", "Y\nOn Mon, A wrote:\n> X"),
+        (1, 2, "u", "Z\nOn Tue, B wrote:\n> Y\n> On Mon, A wrote:\n>> X"),
+        (1, 3, "a", "On Wed, C wrote:\n> On Tue, B wrote:\n>> Y\n>> On Mon, A wrote:\n>>> X\n> Z\nW"),
+        (1, 4, "u", "> he wrote:\nend"),  # announces nothing: a passage
+    ]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: r.parent.turn if r.parent else None for t, r in got.items()} == {0: None, 1: 0, 2: 1, 3: 2, 4: None}
+    assert {t: (r.n_quoted, r.n_found) for t, r in got.items()} == {0: (0, 0), 1: (1, 1), 2: (2, 2), 3: (3, 3), 4: (1, 0)}
+    assert [p.turn for p in got[3].path] == [0, 1, 2, 3]
+
+
 def test_a_deep_reply_chain(spark):
     rows = [(7, 0, "u", "start 0")] + [(7, i, "u", f"> start {i - 1}\nstart {i}") for i in range(1, 40)]
     got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 39").first()
