@@ -125,9 +125,9 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, max_
 
         end, size = np.array([end_id], dtype=np.uint32), 0
         for part in parts:
-            ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            ids, texts = part.column("doc_id").to_pylist(), part.column("text")
             for a, b in batches(texts):
-                for doc_id, doc in zip(ids[a:b], encoder.encode(texts[a:b])):
+                for doc_id, doc in zip(ids[a:b], encoder.encode(texts.slice(a, b - a))):
                     held.append((doc_id, np.concatenate([doc, end])))
                     size += len(doc) + 1
                     if size >= max(chunk_ids, 4 * max_len):

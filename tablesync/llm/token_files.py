@@ -87,9 +87,9 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str | None = Non
             return out
 
         for part in parts:
-            ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+            ids, texts = part.column("doc_id").to_pylist(), part.column("text")
             for a, b in batches(texts):
-                for doc_id, doc in zip(ids[a:b], encoder.encode(texts[a:b])):
+                for doc_id, doc in zip(ids[a:b], encoder.encode(texts.slice(a, b - a))):
                     held_ids.append(doc_id)
                     held.append(np.concatenate([doc, end]))
                     size += len(held[-1])

@@ -1,26 +1,40 @@
 """Token ids of whole texts with a public byte-level BPE, remembered by space-delimited chunk.
 
 The pre-tokenizer of the vocabulary never lets a token cross the place between a non-space character and a single space that is
-followed by a non-space character. So a text falls into chunks there, each chunk has the same ids wherever it stands, and a worker
-needs to encode every different chunk only once. The first chunk of a text has no leading space; the others keep theirs.
+followed by a non-space character. So a text falls into chunks there, and each chunk, its space included, has the same ids wherever it
+stands. A batch is split and dictionary-encoded in Arrow; only its different chunks are looked up, those never seen before are cut by the
+pre-tokenizer's pattern into words, unseen words are merged by the tokenizer's model, and numpy gathers the ids of all chunks.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory at about 120 MB.
-MAX_CHUNKS = 600_000
+#: Chunks that a worker remembers before it starts anew; bounds its memory at about 200 MB.
+MAX_CHUNKS = 1_200_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: The byte-level pre-tokenizer's pattern: a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Zero, and characters on whose being white space regular expression libraries differ: strings with one are encoded by themselves.
+_UNSURE = "[\\x00\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]"
 
 
-def _odd(chunk: str) -> bool:
-    """Whether the spaces around a chunk that split(" ") gave aren't single spaces between non-space characters."""
-    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+def _alphabet() -> np.ndarray:
+    """The byte-level alphabet, a fixed value: printable bytes of Latin-1 stand for themselves, the others in turn for U+0100 and up."""
+    out = np.arange(256, dtype="<u4")
+    others = [*range(0x21), *range(0x7F, 0xA1), 0xAD]
+    out[others] = 0x100 + np.arange(len(others))
+    return out
+
+
+_ALPHABET = _alphabet()
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,6 +43,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+
+
 class ChunkEncoder:
     """Encodes texts to uint32 arrays. Made once per Python worker and vocabulary file."""
 
@@ -42,82 +60,148 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size()
-        special = set(self.tokenizer.get_added_tokens_decoder())
-        strings = [self.tokenizer.id_to_token(i) or "" for i in range(size)]
+        made = json.loads(self.tokenizer.to_str())
+        kind = made["pre_tokenizer"] or {}
+        if made["normalizer"] or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True) or made["model"]["type"] != "BPE":
+            raise ValueError(f"{path} is no plain byte-level BPE")
+        #: The model alone: it gets words in the byte-level alphabet.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.pieces = regex.compile(PATTERN).findall
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.alone = re.compile("|".join([_UNSURE, *(re.escape(t.content) for t in special.values())])).search
+        strings = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         #: Bytes of the text that each id stands for: one character of a byte-level token is one byte.
         self.n_bytes = np.array([len(s.encode() if i in special else s) for i, s in enumerate(strings)], dtype=np.int64)
         #: Ids after which a sentence ends: a stop mark or a line end (the byte-level alphabet writes \n as Ċ).
         self.ends_sentence = np.array([s.endswith((".", "!", "?", "Ċ")) for s in strings], dtype=bool)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode unseen chunks, each after its space, as one text and share out its ids by their lengths in bytes.
-
-        A chunk that ends in white space (the last of a text) would meet the next one's space and is left out.
-        """
-        chunks = [c for c in chunks if not _odd(c)]
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
-            text = " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = np.cumsum([1 + len(c.encode()) for c in part])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="left") + 1
-            start = 0
-            for c, stop in zip(part, cuts.tolist()):
-                self.memo[c] = ids[start:stop].tobytes()
-                start = stop
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start anew. A known string has a row; row r holds the ids from stops[r] to stops[r + 1]."""
+        self.memo: dict[str, int] = {}
+        self.ids, self.stops, self.n_ids = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64), 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def _remember(self, strings: list[str], ids: np.ndarray, stops: np.ndarray) -> None:
+        """Give each string a row: its ids end at its stop."""
+        first = len(self.memo)
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), dtype=np.uint32)])
+        if first + len(strings) + 1 > len(self.stops):
+            self.stops = np.concatenate([self.stops, np.zeros(max(len(self.stops), len(strings)), dtype=np.int64)])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.stops[first + 1 : first + 1 + len(strings)] = stops + self.n_ids
+        self.n_ids += len(ids)
+        self.memo.update(zip(strings, range(first, first + len(strings))))
+
+    def _gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, one behind the other, and where each row's stop."""
+        starts = self.stops[rows]
+        sizes = self.stops[rows + 1] - starts
+        stops = np.cumsum(sizes)
+        return self.ids[np.repeat(starts - stops + sizes, sizes) + np.arange(stops[-1] if len(stops) else 0)], stops
+
+    def _merge(self, words: list[str]) -> None:
+        """Remember words that the pattern leaves whole; the ids of all are shared out by their lengths in bytes."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            letters = _ALPHABET[np.frombuffer("\0".join(part).encode(), dtype=np.uint8)]
+            spelled = letters.tobytes().decode("utf-32-le").split(chr(_ALPHABET[0]))
+            ids = np.array(self.model.encode_batch_fast([spelled], add_special_tokens=False, is_pretokenized=True)[0].ids, dtype=np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, spelled), dtype=np.int64, count=len(spelled)))
+            self._remember(part, ids, np.searchsorted(np.cumsum(self.n_bytes[ids]), ends, side="left") + 1)
+
+    def _learn(self, strings: list[str]) -> None:
+        """Remember strings that aren't known: chunks with their space, or beginnings of texts."""
+        words, joined, cut = [], [], []
+        for s in strings:
+            if s[s[:1] == " " :].isalpha():
+                words.append(s)
+            elif not s or self.alone(s):
+                ids = self._ids(s)
+                self._remember([s], ids, np.array([len(ids)]))
+            elif s[0] == " " and " " not in s[1:]:
+                joined.append(s)
+            else:
+                cut.append(s)
+        # each of the joined strings begins with the only space in it, so a piece that begins with one begins a string
+        pieces = self.pieces("".join(joined))
+        bounds = [i for i, p in enumerate(pieces) if p[0] == " "]
+        for s in cut:
+            bounds.append(len(pieces))
+            pieces += self.pieces(s)
+        self._merge(list(dict.fromkeys(p for p in [*words, *pieces] if p not in self.memo)))
+        several = joined + cut
+        if several:
+            ids, stops = self._gather(np.fromiter(map(self.memo.get, pieces), dtype=np.int64, count=len(pieces)))
+            last = np.array([*bounds[1:], len(pieces)]) - 1
+            stops = stops[last]
+            new = np.array([s not in self.memo for s in several])  # a string may be one piece
+            sizes = np.diff(stops, prepend=0)
+            self._remember([s for s, n in zip(several, new.tolist()) if n], ids[np.repeat(new, sizes)], np.cumsum(sizes[new]))
+
+    def _rows(self, strings: list[str]) -> np.ndarray:
+        """The row of each string, -1 for those that end in white space: what follows them counts, so they are never remembered."""
+        get = self.memo.get
+        rows = list(map(get, strings))
+        if None in rows:
+            unseen = dict.fromkeys(s for s, r in zip(strings, rows) if r is None)
+            self._learn([s for s in unseen if not s[-1:].isspace()])
+            rows = [get(s, -1) for s in strings]
+        return np.array(rows, dtype=np.int64)
+
+    def _odd(self, text: str) -> np.ndarray:
+        """Ids of a text in which not all white space is single spaces between other characters."""
+        first, *chunks = _CUT.split(text)
+        strings = [first, *[" " + c for c in chunks]]
+        rows = self._rows(strings)
+        if rows[-1] >= 0:
+            return self._gather(rows)[0]
+        return np.concatenate([self._gather(rows[:-1])[0], self._ids(strings[-1])])  # white space ends the text
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
         if len(self.memo) > MAX_CHUNKS:
-            self.memo.clear()
-        get, split, found = self.memo.get, [], []
-        unseen: set[str] = set()
-        for text in texts:
-            first, *chunks = (text or "").split(" ")
-            ids = list(map(get, chunks))
-            if None in ids:  # an odd chunk is never remembered, so it shows here
-                new = {c for c, v in zip(chunks, ids) if v is None}
-                if any(map(_odd, new)) or first[-1:].isspace():
-                    first, *chunks = _CUT.split(text)
-                    new = {c for c in chunks if c not in self.memo}
-                unseen |= new
-                ids = None
-            elif chunks and (not first or first[-1].isspace()):
-                first, chunks, ids = text, [], []
-            split.append((first, chunks))
-            found.append(ids)
-        if unseen:
-            self._learn(sorted(unseen))
-        alone: dict[str, bytes] = {}
-
-        def by_itself(piece: str) -> bytes:
-            if piece not in alone:
-                alone[piece] = self._ids(piece)
-            return alone[piece]
-
-        out = []
-        for (first, chunks), ids in zip(split, found):
-            ids = [get(c) or by_itself(" " + c) for c in chunks] if ids is None else ids
-            out.append(np.frombuffer(by_itself(first) + b"".join(ids), dtype=np.uint32))
+            self._forget()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        split = pc.split_pattern(texts, " ")
+        flat, offsets = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+        heads = np.concatenate([[0], offsets[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, dtype=np.int64)
+        is_head = np.zeros(len(flat), dtype=bool)
+        is_head[heads] = True
+        first = _strings(flat.take(pa.array(heads)))
+        chunks = flat.filter(pa.array(~is_head)).dictionary_encode()
+        rows = np.empty(len(flat), dtype=np.int64)
+        rows[is_head] = self._rows(first)
+        of_chunk = self._rows(_strings(pc.binary_join_element_wise(pa.scalar(" "), chunks.dictionary, pa.scalar(""))))
+        rows[~is_head] = of_chunk[chunks.indices.to_numpy()]
+        owner = np.searchsorted(offsets, np.flatnonzero(rows < 0), side="right")
+        more = np.diff(np.append(heads, len(flat))) > 1
+        odd = {*owner.tolist(), *(i for i in np.flatnonzero(more).tolist() if not first[i] or first[i][-1].isspace())}
+        for i in odd:
+            rows[heads[i] : offsets[i]] = 0
+        ids, stops = self._gather(rows)
+        ends = stops[offsets - 1].tolist() if len(texts) else []
+        out = [ids[a:b] for a, b in zip([0, *ends], ends)]
+        for i in odd:
+            out[i] = self._odd(texts[i].as_py())
         return out
 
 
-def batches(texts: list[str | None], most_chars: int = 2_000_000):
-    """Index ranges of texts of about most_chars characters, one text at least."""
+def batches(texts: pa.Array, most_bytes: int = 4_000_000):
+    """Index ranges of texts of about most_bytes bytes, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
     start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
-        if size and size + n > most_chars:
+    for i, n in enumerate(sizes):
+        if size and size + n > most_bytes:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
