@@ -53,6 +53,16 @@ def up_to(links: DataFrame, last: str) -> DataFrame:
     return links.where(F.col("link_no") <= at[0])
 
 
+def up_to_each(links: DataFrame, stops: DataFrame) -> DataFrame:
+    """links with each target's cut behind a dump of its own: stops (target, last). A last that is no part of its chain is an error;
+    targets without a stop are left out."""
+    s = stops.select(F.col("target").alias("s_target"), "last")
+    ends = s.join(links.select("target", "id", F.col("link_no").alias("end")), (F.col("s_target") == F.col("target")) & (F.col("last") == F.col("id")), "left")
+    told = F.concat("last", F.lit(" is no part of the chain of "), "s_target")
+    ends = ends.select("s_target", F.coalesce("end", F.raise_error(told).cast("int")).alias("end"))
+    return links.join(ends, F.col("target") == F.col("s_target")).where("link_no <= end").select("target", "link_no", "id")
+
+
 def group(manifest: DataFrame) -> DataFrame:
     """(root, newest, members, bytes): the root is base_id or the own id, so increments whose base is gone form a chain under its name."""
     root = F.coalesce(F.nullif(F.col("base_id"), F.lit("")), F.col("id"))

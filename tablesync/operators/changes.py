@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.positions import lsn_number
+from ..functions.positions import binlog_order, lsn_number
 from ..model import OPS
 
 
@@ -79,10 +79,9 @@ def bounded_binlog(changes: DataFrame, since: tuple[int, int], stop: tuple[int,
     """The same on (file number, offset)."""
     if since is None:
         raise ValueError("a bounded capture needs the position to start behind")
-    number, at = F.regexp_extract(file, r"(\d+)$", 1).cast("long"), F.col(offset)
-    after = (number > since[0]) | ((number == since[0]) & (at > since[1]))
-    before = (number < stop[0]) | ((number == stop[0]) & (at <= stop[1]))
-    return changes.where(after & before)
+    at = binlog_order(F.col(file), F.col(offset))
+    place = lambda p: F.struct(F.lit(p[0]).cast("long").alias("file_no"), F.lit(p[1]).cast("long").alias("offset"))
+    return changes.where((at > place(since)) & (at <= place(stop)))
 
 
 def applied_counts(changes: DataFrame) -> DataFrame:

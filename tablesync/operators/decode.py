@@ -13,27 +13,37 @@ _OPERATION = r"^### (INSERT INTO|UPDATE|DELETE FROM)\s+(.*)$"
 def transcript_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """Changes (file, pos, seq, op, tbl, key, values) of transcripts.
 
-    lines: (path, line_no, line), one transcript per path. catalog: (tbl, ordinal, col, pk), broadcast-sized configuration. A block starts
-    at an operation line and ends at the next one, at a position marker or with the file. pos is the end of its event: the next marker, or
-    its own marker + 1 for the last block. @N beyond the table's columns is dropped. The key is the key columns' values (of the row before,
-    for updates and deletes), or the whole row where the table has no key. seq numbers the blocks of a file.
+    lines: (path, split, line_no, line), one transcript per path, which line_no orders, its splits following each other. catalog: (tbl,
+    ordinal, col, pk), broadcast-sized configuration. A block starts at an operation line and ends at the next one, at a position marker or
+    with the file. pos is the end of its event: the next marker, or its own marker + 1 for the last block. @N beyond the table's columns is
+    dropped. The key is the key columns' values (of the row before, for updates and deletes), or the whole row where the table has no key.
+    seq numbers the blocks of a file.
+
+    What lines carry on is found within each split; what a split takes over from those before it (and the marker it ends at, from those
+    behind it) comes from one row per split. So a task holds a split of a transcript, not all of it.
     """
-    file = Window.partitionBy("path").orderBy("line_no")
-    so_far, after = file.rowsBetween(Window.unboundedPreceding, 0), file.rowsBetween(1, Window.unboundedFollowing)
+    split = Window.partitionBy("path", "split")
+    so_far, behind = split.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0), split.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
     op = F.when(F.rlike("line", F.lit(_OPERATION)), F.regexp_extract("line", _OPERATION, 1))
     marked = lines.withColumn("op_text", op).withColumn("marker", marker_offset(F.col("line"))).withColumn("rotate", rotate_target(F.col("line")))
     section = F.when(F.rlike("line", F.lit(r"^### (SET|WHERE)\s*$")), F.regexp_extract("line", r"^### (SET|WHERE)", 1)).when(F.col("op_text").isNotNull(), F.lit(""))
-    carried = (
-        marked.withColumn("block", F.sum(F.when(F.col("op_text").isNotNull(), 1).otherwise(0)).over(so_far))
-        .withColumn("markers", F.sum(F.when(F.col("marker").isNotNull(), 1).otherwise(0)).over(so_far))
-        .withColumn("start", F.last("marker", ignorenulls=True).over(so_far))
-        .withColumn("end", F.first("marker", ignorenulls=True).over(after))
-        .withColumn("file", F.last("rotate", ignorenulls=True).over(so_far))
-        .withColumn("section", F.last(section, ignorenulls=True).over(so_far))
-        .where("block > 0")
-    )
+    marked = marked.withColumn("part", section)
+    ops, marks = F.col("op_text").isNotNull().cast("long"), F.col("marker").isNotNull().cast("long")
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    latest = {"marker": "start", "rotate": "file", "part": "section"}
+    ends = marked.groupBy("path", "split").agg(F.sum(ops).alias("n_ops"), F.sum(marks).alias("n_marks"), F.min_by("marker", at("marker")).alias("first"), *[F.max_by(c, at(c)).alias(f"last_{c}") for c in latest])
+    order = Window.partitionBy("path").orderBy("split")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("path").orderBy(F.desc("split")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    over = ends.select(
+        F.col("path").alias("o_path"), F.col("split").alias("o_split"), F.coalesce(F.sum("n_ops").over(before), zero).alias("ops_before"), F.coalesce(F.sum("n_marks").over(before), zero).alias("marks_before"),
+        F.last("first", ignorenulls=True).over(after).alias("o_end"), *[F.last(f"last_{c}", ignorenulls=True).over(before).alias(f"o_{n}") for c, n in latest.items()],
+    )
+    local = marked.select("path", "split", "line", "op_text", F.sum(ops).over(so_far).alias("block"), F.sum(marks).over(so_far).alias("markers"), F.last("marker", ignorenulls=True).over(behind).alias("end"), *[F.last(c, ignorenulls=True).over(so_far).alias(n) for c, n in latest.items()])
+    met_over = local.join(over, (F.col("path") == F.col("o_path")) & (F.col("split") == F.col("o_split")))
+    carried = met_over.select("path", "line", "op_text", (F.col("block") + F.col("ops_before")).alias("block"), (F.col("markers") + F.col("marks_before")).alias("markers"), *[F.coalesce(n, f"o_{n}").alias(n) for n in ("start", "end", "file", "section")]).where("block > 0")
     heads = carried.where("op_text is not null").select(
-        F.col("path").alias("h_path"), F.col("block").alias("h_block"), F.col("markers").alias("h_markers"), "file", F.col("block").cast("long").alias("seq"),
+        F.col("path").alias("h_path"), F.col("block").alias("h_block"), F.col("markers").alias("h_markers"), "file", F.col("block").alias("seq"),
         F.when(F.col("op_text") == "INSERT INTO", "insert").when(F.col("op_text") == "UPDATE", "update").otherwise("delete").alias("op"),
         table_name(F.regexp_extract("line", _OPERATION, 2)).alias("tbl"), F.coalesce("end", F.col("start") + 1).alias("pos"),
     )
@@ -55,21 +65,27 @@ def transcript_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def unknown_relations(tuples: DataFrame, relations: DataFrame) -> DataFrame:
-    """Relation ids of tuples that no relation message describes: an error for the caller to raise."""
+    """Relation ids of tuples that no relation message describes."""
     return tuples.join(relations.select("rel_id").distinct(), "rel_id", "left_anti").select("rel_id").distinct()
 
 
-def tuple_changes(tuples: DataFrame, relations: DataFrame) -> DataFrame:
+def tuple_changes(tuples: DataFrame, relations: DataFrame, unknown: str = "fail") -> DataFrame:
     """Changes (seq, op, tbl, key, values) of decoded tuple columns.
 
     tuples: (seq, op, rel_id, image 'new' or 'old', ordinal, kind, value), one row per column. relations: (rel_id, tbl, ordinal, col, is_key).
     kind n is NULL, u is absent (not transmitted), anything else is the text. Insert: key from the new image. Update: from the old image
     if that yields one. Delete: from the old. A relation without key columns has the whole row for its key. Other messages are ignored.
+    unknown: 'fail' raises an error for a tuple of a relation that relations doesn't hold, 'skip' leaves it out (see unknown_relations).
     """
+    if unknown not in ("fail", "skip"):
+        raise ValueError(f"unknown mode {unknown}")
     cells = tuples.where(F.col("op").isin("insert", "update", "delete") & (F.col("kind") != "u"))
     rel = relations.select(F.col("rel_id").alias("r_rel"), F.col("tbl"), F.col("ordinal").alias("r_ordinal"), "col", "is_key")
     keyless = relations.groupBy(F.col("rel_id").alias("k_rel")).agg((~F.max("is_key")).alias("keyless"))
-    met = cells.join(rel, (F.col("rel_id") == F.col("r_rel")) & (F.col("ordinal") == F.col("r_ordinal"))).join(keyless, F.col("rel_id") == F.col("k_rel"))
+    known = cells.join(keyless, F.col("rel_id") == F.col("k_rel"), "left" if unknown == "fail" else "inner")
+    told = F.concat(F.lit("unknown relation "), F.col("rel_id").cast("string"))
+    known = known.where(F.when(F.col("k_rel").isNotNull(), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+    met = known.join(rel, (F.col("rel_id") == F.col("r_rel")) & (F.col("ordinal") == F.col("r_ordinal")))
     entry = F.struct("col", F.when(F.col("kind") != "n", F.col("value")).alias("text"))
     image = lambda cond: F.collect_list(F.when(cond, entry))
     new, old, in_key = F.col("image") == "new", F.col("image") == "old", F.col("is_key") | F.col("keyless")

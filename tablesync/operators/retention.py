@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import bucket, younger_than
 from ..model import RetentionPolicy
+from ..storage import cut
 from .chains import member_order, with_root
 
 FIELDS = ["keep_last", "max_age_seconds", "gfs_daily", "gfs_weekly", "gfs_monthly"]
@@ -45,9 +46,9 @@ def effective_policies(profiles: DataFrame, policies: DataFrame, override: dict
     override sets single fields on top. Negative values are errors. policies is configuration: a few rows.
     """
     own = policies.where("profile is not null and profile <> ''")
-    default = policies.where("profile is null or profile = ''").select(*[F.max(f).alias(f"d_{f}") for f in FIELDS])
-    p = profiles.select("profile").distinct().join(own.select(F.col("profile").alias("p_profile"), *FIELDS), F.col("profile") == F.col("p_profile"), "left").join(default)
-    value = lambda f: F.when(F.col("p_profile").isNotNull(), F.col(f)).otherwise(F.col(f"d_{f}"))
+    default = policies.where("profile is null or profile = ''").agg(*[F.max(f).alias(f) for f in FIELDS]).first()
+    p = profiles.select("profile").distinct().join(own.select(F.col("profile").alias("p_profile"), *FIELDS), F.col("profile") == F.col("p_profile"), "left")
+    value = lambda f: F.when(F.col("p_profile").isNotNull(), F.col(f)).otherwise(F.lit(default[f]))
     set_ = {k: F.lit(v) for k, v in (override or {}).items() if v is not None}
     limits = [F.coalesce(set_.get(f, value(f)), F.lit(0)).cast("long") for f in FIELDS]
     checked = [F.when(x < 0, F.raise_error(F.lit(f"{f} can't be negative")).cast("long")).otherwise(x).alias(f) for f, x in zip(FIELDS, limits)]
@@ -57,23 +58,33 @@ def effective_policies(profiles: DataFrame, policies: DataFrame, override: dict
 def plan(chains: DataFrame, limits: DataFrame, now) -> DataFrame:
     """chains (root, profile, newest, ...) with decision 'keep' or 'prune' under each profile's limits.
 
-    A chain is kept if any rule that is set keeps it, and if none is set.
+    A chain is kept if any rule that is set keeps it, and if none is set. Each rule is a top-n for each profile with a constant n, the
+    largest of all profiles: tasks cut their part to n rows before a profile's rows meet, so a profile with most of the chains is no burden.
     """
+    limits = cut(limits)  # one row for each profile
+    most = limits.agg(*[F.max(f).alias(f) for f in FIELDS]).first()
     met = chains.join(limits.withColumnRenamed("profile", "l_profile"), F.col("profile").eqNullSafe(F.col("l_profile")), "left")
     newest = [F.desc("newest"), "root"]
-    place = F.row_number().over(Window.partitionBy("profile").orderBy(*newest))
-    out = met.withColumn("_last", place <= F.col("keep_last"))
-    age = (F.col("max_age_seconds") > 0) & younger_than(F.col("newest"), F.lit(now).cast("timestamp_ntz"), F.col("max_age_seconds"))
-    rules: list[Column] = [(F.col("keep_last") > 0) & F.col("_last"), age]
-    for tier, field in TIERS.items():
-        in_bucket = Window.partitionBy("profile", f"_{tier}").orderBy(*newest)
-        out = out.withColumn(f"_{tier}", bucket(F.col("newest"), tier)).withColumn(f"_{tier}_first", F.row_number().over(in_bucket) == 1)
-        of_firsts = Window.partitionBy("profile", f"_{tier}_first").orderBy(*newest)
-        out = out.withColumn(f"_{tier}_no", F.row_number().over(of_firsts))
-        rules.append(F.col(f"_{tier}_first") & (F.col(f"_{tier}_no") <= F.col(field)))
     unset = reduce(lambda a, b: a & b, [F.coalesce(F.col(f), F.lit(0)) == 0 for f in FIELDS])
-    kept = unset | reduce(lambda a, b: a | b, [F.coalesce(r, F.lit(False)) for r in rules])
-    return out.withColumn("decision", F.when(kept, "keep").otherwise("prune")).select(*chains.columns, "decision")
+    rules = [met.where(unset), met.where((F.col("max_age_seconds") > 0) & younger_than(F.col("newest"), F.lit(now).cast("timestamp_ntz"), F.col("max_age_seconds")))]
+
+    def first_n(rows: DataFrame, field: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("profile").orderBy(*newest))
+        return rows.withColumn("place", place).where(F.col("place") <= most[field]).where(F.col("place") <= F.col(field))
+
+    if most["keep_last"]:
+        rules.append(first_n(met.where("keep_last > 0"), "keep_last"))
+    for tier, field in TIERS.items():
+        if most[field]:
+            in_bucket = F.row_number().over(Window.partitionBy("profile", "bucket").orderBy(*newest))
+            firsts = met.where(F.col(field) > 0).withColumn("bucket", bucket(F.col("newest"), tier)).withColumn("turn", in_bucket).where("turn = 1")
+            rules.append(first_n(firsts, field))
+    kept = reduce(DataFrame.unionByName, [r.select("root") for r in rules]).distinct().select(F.col("root").alias("k_root"))
+    return _decided(chains, kept)
+
+
+def _decided(chains: DataFrame, kept: DataFrame) -> DataFrame:
+    return chains.join(kept, F.col("root") == F.col("k_root"), "left").withColumn("decision", F.when(F.col("k_root").isNotNull(), "keep").otherwise("prune")).drop("k_root")
 
 
 def plan_one_pool(chains: DataFrame, policy: RetentionPolicy, now) -> DataFrame:
@@ -84,7 +95,7 @@ def plan_one_pool(chains: DataFrame, policy: RetentionPolicy, now) -> DataFrame:
     rules += [max_age(chains, now, policy.max_age_seconds).select("root")] if policy.max_age_seconds else []
     rules += [gfs(chains, t, getattr(policy, f)).select("root") for t, f in TIERS.items() if getattr(policy, f)]
     kept = reduce(DataFrame.unionByName, rules).distinct().select(F.col("root").alias("k_root"))
-    return chains.join(kept, F.col("root") == F.col("k_root"), "left").withColumn("decision", F.when(F.col("k_root").isNotNull(), "keep").otherwise("prune")).drop("k_root")
+    return _decided(chains, kept)
 
 
 def dumps_of_plan(planned: DataFrame, manifest: DataFrame) -> DataFrame:

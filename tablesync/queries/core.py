@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.positions import lsn_number, stream_job_id
 from ..functions.text import checksum_text
+from ..model import RetentionPolicy
 from ..operators import apply, chains, changes, decode, retention, statistics, types, verify
+from ..plans import backup
 from ..sources import manifest as manifests
 from ..sources import rows as rows_io
 from ..storage import scratch
@@ -49,10 +51,11 @@ def update_by_key(spark, sf):
     return apply.update_by_key(fx.accounts(spark, sf), fx.change_log(spark, sf), ["id"])
 
 
-@query(f"WITH {ACCOUNTS_SQL} SELECT * FROM accounts WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 50 = 0)")
+@query("SELECT c_custkey AS id, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
 def delete_by_key(spark, sf):
-    some = fx.change_log(spark, sf).where("(seq - 1) % 50 = 0")  # all deletes together would leave no row
-    return apply.delete_by_key(fx.accounts(spark, sf), some, ["id"])
+    """All customers without those that a change deletes."""
+    everyone = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), fx.money("c_acctbal").alias("balance"))
+    return apply.delete_by_key(everyone, fx.change_log(spark, sf), ["id"])
 
 
 @query(f"""WITH {CHANGES_SQL}, f AS (SELECT seq, (seq - 1) AS n, CASE WHEN (seq - 1) % 19 = 0 THEN 'truncate' ELSE op END AS op, op AS was FROM changes)
@@ -115,9 +118,10 @@ def chain_groups(spark, sf):
     return chains.group(fx.manifest(spark, sf))
 
 
-@query(f"WITH {MANIFEST_SQL}, {CHAINS_SQL} SELECT root, id, CAST(row_number() OVER (PARTITION BY root ORDER BY created, CAST(substr(id, 2) AS BIGINT)) AS INTEGER) AS member_no FROM rooted")
+@query(f"""WITH {MANIFEST_SQL}, {CHAINS_SQL} SELECT root, id, CAST(row_number() OVER (PARTITION BY root ORDER BY CASE WHEN id = root THEN 0 ELSE 1 END, created, CAST(substr(id, 2) AS BIGINT)) AS INTEGER) AS member_no FROM rooted""")
 def member_order(spark, sf):
-    return chains.member_order(fx.manifest(spark, sf))
+    """Bases come first although the times of some say otherwise."""
+    return chains.member_order(fx.skewed_manifest(spark, sf))
 
 
 _WALK = """walk AS (SELECT id AS target, id AS cur, 0 AS back FROM manifest
@@ -140,11 +144,13 @@ def broken_chains(spark, sf):
     return chains.resolve(fx.broken_manifest(spark, sf)).select("id", "status", "broken_at")
 
 
-@query(f"""WITH RECURSIVE {MANIFEST_SQL}, {_WALK}, links AS (SELECT target, max(back) OVER (PARTITION BY target) - back AS link_no, cur AS id FROM walk)
-SELECT target, count(*) AS links, sum(CASE WHEN link_no <= 3 THEN 1 ELSE 0 END)::BIGINT AS first_four FROM links GROUP BY target""")
+@query(f"""WITH RECURSIVE {MANIFEST_SQL}, {_WALK}, links AS (SELECT target, max(back) OVER (PARTITION BY target) AS depth, back, cur AS id FROM walk)
+SELECT target, CAST(depth - back AS INTEGER) AS link_no, id FROM links WHERE back > 0 OR depth = 0""")
 def restore_prefix(spark, sf):
-    links = chains.links_of(chains.resolve(fx.manifest(spark, sf)))
-    return links.groupBy("target").agg(F.count("*").alias("links"), F.count_if(F.col("link_no") <= 3).alias("first_four"))
+    """Every chain cut behind its last dump's parent; a base alone stays."""
+    m = fx.manifest(spark, sf)
+    stops = m.select(F.col("id").alias("target"), F.coalesce(F.nullif(F.col("parent_id"), F.lit("")), F.col("id")).alias("last"))
+    return chains.up_to_each(chains.links_of(chains.resolve(m)), stops)
 
 
 @query(f"""WITH {MANIFEST_SQL} SELECT m.id, m.base_id, CASE WHEN m.driver <> b.driver THEN 'driver' ELSE 'profile' END AS reason FROM manifest m JOIN manifest b ON m.base_id = b.id
@@ -153,13 +159,10 @@ def chain_compatibility(spark, sf):
     return chains.incompatible(fx.manifest(spark, sf))
 
 
-@query(f"WITH {MANIFEST_SQL} SELECT id, created, row_number() OVER (ORDER BY created DESC, id) AS place FROM manifest QUALIFY place <= 500")
+@query(f"WITH {MANIFEST_SQL} SELECT id, profile, driver, size_bytes, created FROM manifest ORDER BY created DESC, id")
 def list_dumps(spark, sf):
-    """The newest 500 dumps: a listing's page."""
-    from pyspark.sql import Window
-
-    page = manifests.newest_first(fx.manifest(spark, sf)).limit(500)
-    return page.select("id", "created", F.row_number().over(Window.orderBy(F.desc("created"), "id")).cast("long").alias("place"))
+    """All dumps, newest first."""
+    return manifests.newest_first(fx.manifest(spark, sf).select("id", "profile", "driver", "size_bytes", "created"))
 
 
 @query(f"WITH {MANIFEST_SQL} SELECT id, profile, size_bytes, created FROM manifest WHERE CAST(substr(id, 2) AS BIGINT) % 29 <> 0 AND CAST(substr(id, 2) AS BIGINT) % 31 <> 0")
@@ -245,6 +248,13 @@ def plan_dumps(spark, sf):
     return retention.dumps_of_plan(_plan(spark, sf), fx.manifest(spark, sf)).select("root", "id", "size_bytes", "decision")
 
 
+@query(f"""WITH {MANIFEST_SQL.replace("manifest AS", "all_dumps AS")}, manifest AS (SELECT * FROM all_dumps WHERE profile = '1-URGENT'), {CHAINS_SQL}
+SELECT root, newest, members, CASE WHEN row_number() OVER (ORDER BY newest DESC, root) <= 30 THEN 'keep' ELSE 'prune' END AS decision FROM chains""")
+def profile_prune(spark, sf):
+    """What keeping 30 chains of one profile means for its dumps."""
+    return backup.prune(fx.manifest(spark, sf), RetentionPolicy(keep_last=30), NOW, profile="1-URGENT")[0].select("root", "newest", "members", "decision")
+
+
 # ------------------------------------------------------------------ content, statistics, operation log
 
 
@@ -262,8 +272,9 @@ def verify_checksums(spark, sf):
     return verify.verify(record, verify.content_sums(_bodies(spark, sf)))
 
 
-@query("""WITH p AS (SELECT source AS id, doc_id AS part, octet_length(encode(text)) AS n, sha256(text) AS h FROM documents)
-SELECT id, CAST(sum(n) AS BIGINT) AS size_bytes, 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY part)) AS checksum FROM p GROUP BY id""")
+@query("""WITH p AS (SELECT source AS id, doc_id AS part, octet_length(encode(text)) AS n, sha256(text) AS h, substr(sha256(CAST(doc_id AS VARCHAR)), 1, 3) AS block FROM documents),
+  b AS (SELECT id, block, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY part)) AS h FROM p GROUP BY id, block)
+SELECT id, CAST(sum(n) AS BIGINT) AS size_bytes, 'sha256:' || sha256(string_agg(h, chr(10) ORDER BY block)) AS checksum FROM b GROUP BY id""")
 def dump_sizes(spark, sf):
     """Each source is a dump, each document a part of it."""
     return verify.dump_sums(table(spark, sf, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("part"), F.col("text").alias("content")))
@@ -277,8 +288,18 @@ def table_stats(spark, sf):
     return statistics.table_rows({t: table(spark, sf, t) for t in TABLES})
 
 
+@query("""WITH r AS (SELECT coalesce(source, '?') AS name, count(*) AS n, sum(n_chars) AS size FROM documents GROUP BY 1)
+SELECT name, n AS "rows", CAST(CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 0 ELSE size END AS BIGINT) AS size_bytes FROM r""")
+def source_inspection(spark, sf):
+    """Rows and sizes of sources, largest first; some sizes are negative and some unknown."""
+    d = table(spark, sf, "documents").groupBy(F.coalesce("source", F.lit("?")).alias("name")).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("size"))
+    sizes = d.where("rows % 5 <> 0").select("name", F.when(F.col("rows") % 3 == 0, -F.col("size")).otherwise(F.col("size")).alias("size_bytes"))
+    return statistics.inspect(d.select("name", "rows"), sizes)
+
+
 @query()
 def table_inspection(spark, sf):
+    """Rows and bytes of the tables' files. SQL doesn't see file sizes: tested against the file system."""
     found = {t: table(spark, sf, t) for t in TABLES}
     return statistics.inspect(statistics.table_rows(found), statistics.table_files(found))
 
@@ -365,6 +386,13 @@ def canonical_roundtrip(spark, sf):
     return rows_io.load_rows(spark, path)["orders"].withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+@query("SELECT doc_id, md5(text) AS body_md5, length(text) AS n_chars FROM documents")
+def binary_text(spark, sf):
+    """Texts as binary columns, decoded before they are encoded as rows."""
+    raw = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
+    return types.binary_as_text(raw).select("doc_id", F.md5(F.col("body").cast("binary")).alias("body_md5"), F.length("body").cast("long").alias("n_chars"))
+
+
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_key_check(spark, sf):
     return rows_io.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

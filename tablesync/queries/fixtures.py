@@ -64,6 +64,13 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(name("o_orderkey").alias("id"), "profile", driver.alias("driver"), F.floor("o_totalprice").cast("long").alias("size_bytes"), F.col("o_orderdate").alias("created"), base.alias("base_id"), F.coalesce(name("prev"), F.lit("")).alias("parent_id"))
 
 
+def skewed_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest with bases that claim to be younger than what builds on them."""
+    m = manifest(spark, sf_dir)
+    late = (F.col("parent_id") == "") & (F.substring("id", 2, 20).cast("long") % 3 == 0)
+    return m.withColumn("created", F.when(late, F.col("created") + F.expr("interval 9000 days")).otherwise(F.col("created")))
+
+
 def broken_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest with dumps missing, and with increments that are their own parents."""
     m = manifest(spark, sf_dir).withColumn("n", F.substring("id", 2, 20).cast("long"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
-from ..model import CHANGE
+from ..model import CHANGE, RetentionPolicy
 from ..plans import backup
 from ..sources import rows as rows_io
-from ..storage import scratch
-from ..streaming.cdc import BucketedTable, apply_stream, change_stream
+from ..storage import published_table, remove, scratch
+from ..streaming.cdc import BucketedTable, apply_stream, cdc, change_stream
 from ..streaming.state import current_rows
 from . import fixtures as fx
 from .core import ORACLE_SQL, query
@@ -23,54 +25,102 @@ def _steps(log, parts: int):
     return [last * (i + 1) // parts for i in range(parts)]
 
 
+def _day(n: int) -> datetime.datetime:
+    return datetime.datetime(2001, 1, 1) + datetime.timedelta(days=n)
+
+
+COMMON = {"profile": "p", "driver": "postgres"}
+
+
+def _chain(spark, sf, root: str, label: str, first_day: int, increments: int) -> None:
+    """A base of the accounts before any change, and increments that cut the change log into equal parts."""
+    log, parent = fx.change_log(spark, sf), f"{label}base"
+    backup.full_backup({"accounts": fx.accounts(spark, sf)}, root, parent, created=_day(first_day), end_pos=0, **COMMON)
+    for i, end in enumerate(_steps(log, increments) if increments else [], 1):
+        backup.incremental_backup(log, root, f"{label}inc{i}", parent_id=parent, created=_day(first_day + i), end_pos=end, **COMMON)
+        parent = f"{label}inc{i}"
+
+
 @query(f"""WITH {ACCOUNTS_SQL}, {CHANGES_SQL}, part AS (SELECT * FROM changes WHERE seq <= (SELECT (max(event_id) + 1) * 2 // 3 FROM events)), {fold_sql('part')} SELECT * FROM folded""")
 def point_in_chain_restore(spark, sf):
     """A base and three increments, restored up to the second."""
-    root, log = scratch(spark, "dumps"), fx.change_log(spark, sf)
-    common = {"profile": "p", "driver": "postgres"}
-    import datetime
-
-    day = lambda n: datetime.datetime(2001, 1, 1 + n)
-    backup.full_backup({"accounts": fx.accounts(spark, sf)}, root, "base", created=day(0), end_pos=0, **common)
-    parent = "base"
-    for i, end in enumerate(_steps(log, 3), 1):
-        backup.incremental_backup(log, root, f"inc{i}", parent_id=parent, created=day(i), end_pos=end, **common)
-        parent = f"inc{i}"
+    root = scratch(spark, "dumps")
+    _chain(spark, sf, root, "", 0, 3)
     return backup.restore(spark, root, "inc3", {"accounts": ["id"]}, driver="postgres", up_to="inc2")["accounts"]
 
 
-@query("SELECT 'base' AS id, true AS ok, count(*) AS \"rows\" FROM orders")
-def backup_verify(spark, sf):
-    root, orders = scratch(spark, "dumps"), table(spark, sf, "orders")
-    import datetime
-
-    backup.full_backup({"orders": orders}, root, "base", profile="p", driver="postgres", created=datetime.datetime(2001, 1, 1), end_pos=0)
+@query(FOLD)
+def restore_write(spark, sf):
+    """A chain restored over an older copy of its table in the target."""
+    root, target = scratch(spark, "dumps"), scratch(spark, "target")
+    _chain(spark, sf, root, "", 0, 2)
+    backup.sync({"accounts": fx.accounts(spark, sf)}, target)
+    backup.restore_to(spark, root, "inc2", {"accounts": ["id"]}, target, driver="postgres", clean=True)
+    return published_table(spark, target, "accounts")
+
+
+@query("""SELECT 'customer' AS name, CAST(c_custkey AS BIGINT) AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'orders', o_orderkey FROM orders""")
+def sync_replace(spark, sf):
+    """Two tables are copied; then one of them, which has changed meanwhile, is copied again."""
+    target, customer = scratch(spark, "target"), table(spark, sf, "customer")
+    backup.sync({"customer": customer, "orders": table(spark, sf, "orders")}, target)
+    backup.sync({"customer": customer.where("c_custkey % 2 = 0")}, target, tables=["customer"])
+    keys = {"customer": "c_custkey", "orders": "o_orderkey"}
+    out = [published_table(spark, target, n).select(F.lit(n).alias("name"), F.col(k).cast("long").alias("k")) for n, k in keys.items()]
+    return out[0].unionByName(out[1])
+
+
+@query(f"""WITH {ACCOUNTS_SQL}, {CHANGES_SQL}, kept AS (SELECT 'b' AS label UNION ALL SELECT 'c')
+SELECT label || 'base' AS id, true AS ok, (SELECT count(*) FROM accounts) AS "rows" FROM kept UNION ALL SELECT 'binc1', true, count(*) FROM changes""")
+def prune_apply(spark, sf):
+    """Three chains of which the two newest are kept: what the catalog holds behind the deletions."""
+    root = scratch(spark, "dumps")
+    for label, day, increments in (("a", 0, 2), ("b", 10, 1), ("c", 20, 0)):
+        _chain(spark, sf, root, label, day, increments)
+    backup.apply_prune(spark, root, RetentionPolicy(keep_last=2), _day(30))
+    return _checked(spark, root)
+
+
+def _checked(spark, root: str):
+    """(id, ok, rows) of all dumps below root."""
     seen = backup.verify_dumps(spark, root).select("id", "ok")
     rows = backup.list_dumps(spark, root).select(F.col("id").alias("m_id"), F.aggregate("tables", F.lit(0).cast("long"), lambda s, t: s + t["rows"]).alias("rows"))
     return seen.join(rows, F.col("id") == F.col("m_id")).select("id", "ok", "rows")
 
 
-def _log_files(spark, sf, parts: int = 4) -> str:
-    """The change log as files of consecutive positions, written one after the other."""
-    path, log, since = scratch(spark, "log"), fx.change_log(spark, sf), 0
+@query("SELECT 'base' AS id, true AS ok, count(*) AS \"rows\" FROM orders")
+def backup_verify(spark, sf):
+    root, orders = scratch(spark, "dumps"), table(spark, sf, "orders")
+    backup.full_backup({"orders": orders}, root, "base", created=_day(0), end_pos=0, **COMMON)
+    return _checked(spark, root)
+
+
+def _parts(log, parts: int):
+    """The log cut into runs of consecutive positions."""
+    since = 0
     for end in _steps(log, parts):
-        log.where((F.col("pos") > since) & (F.col("pos") <= end)).coalesce(1).write.mode("append").parquet(path)
+        yield log.where((F.col("pos") > since) & (F.col("pos") <= end))
         since = end
-    return path
+
+
+def _buckets(rows: int) -> int:
+    return max(4, rows // 2_000_000)
 
 
 def _table(spark, sf, label: str) -> BucketedTable:
     base = fx.accounts(spark, sf)
-    out = BucketedTable(spark, scratch(spark, label), base.schema, ["id"], buckets=4)
+    out = BucketedTable(spark, scratch(spark, label), base.schema, ["id"], buckets=_buckets(base.count()))
     out.create(base, 0)
     return out
 
 
 @query(FOLD)
 def cdc_apply_stream(spark, sf):
-    """Snapshot, then the log as a stream of files."""
-    target = _table(spark, sf, "cdc")
-    apply_stream(change_stream(spark, _log_files(spark, sf), 1), target, scratch(spark, "cdc-checkpoint"), tables=["accounts"]).awaitTermination()
+    """Snapshot, then the log as a stream whose files arrive in four runs."""
+    target, path, checkpoint = _table(spark, sf, "cdc"), scratch(spark, "log"), scratch(spark, "cdc-checkpoint")
+    for part in _parts(fx.change_log(spark, sf), 4):
+        part.write.mode("append").parquet(path)
+        apply_stream(change_stream(spark, path), target, checkpoint, tables=["accounts"]).awaitTermination()
     return target.read()
 
 
@@ -78,29 +128,40 @@ def cdc_apply_stream(spark, sf):
 def cdc_resume(spark, sf):
     """The stream stops with half of the log there, starts again from its checkpoint, and its last batch is delivered once more."""
     target, checkpoint, path = _table(spark, sf, "resume"), scratch(spark, "resume-checkpoint"), scratch(spark, "log")
-    log = fx.change_log(spark, sf)
-    half = _steps(log, 2)[0]
-    log.where(F.col("pos") <= half).coalesce(1).write.parquet(path)
-    apply_stream(change_stream(spark, path), target, checkpoint).awaitTermination()
-    later = log.where(F.col("pos") > half)
-    later.coalesce(1).write.mode("append").parquet(path)
-    apply_stream(change_stream(spark, path), target, checkpoint).awaitTermination()
-    target.apply(later, target.position()[1])  # redelivery changes nothing
+    for part in _parts(fx.change_log(spark, sf), 2):
+        part.write.mode("append").parquet(path)
+        apply_stream(change_stream(spark, path), target, checkpoint).awaitTermination()
+    target.apply(part, *target.position()[1:])  # redelivery changes nothing
+    return target.read()
+
+
+@query(FOLD)
+def cdc_new_checkpoint(spark, sf):
+    """The job with saved state: half of the log, then its checkpoint is lost and the whole log is there."""
+    root, path, log = scratch(spark, "cdc-job"), scratch(spark, "log"), fx.change_log(spark, sf)
+    base = fx.accounts(spark, sf)
+    for part in _parts(log, 2):
+        part.write.mode("append").parquet(path)
+        target, running = cdc(spark, "shop", "copy", log=path, root=root, schema=base.schema, keys=["id"], position=lambda: 0, snapshot=lambda: fx.accounts(spark, sf), buckets=_buckets(base.count()), tables=["accounts"])
+        running.awaitTermination()
+        remove(spark, target.root.rpartition("/")[0] + "/checkpoint")
     return target.read()
 
 
 @query(FOLD)
 def keyed_state_stream(spark, sf):
-    """Current row of each key as a stream: the base as inserts, then the log."""
+    """Current row of each key as a stream: the base as inserts and half of the log, then the other half."""
     base = fx.accounts(spark, sf)
     values = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in ("segment", "balance")]))
     inserts = base.select(F.lit(0).cast("decimal(20,0)").alias("pos"), F.lit(0).cast("long").alias("seq"), F.lit("insert").alias("op"), F.lit("accounts").alias("tbl"), F.create_map(F.lit("id"), F.col("id").cast("string")).alias("key"), values.alias("values"))
-    path, out = scratch(spark, "state-log"), scratch(spark, "state-out")
-    inserts.unionByName(fx.change_log(spark, sf)).select(*CHANGE.names).write.parquet(path)
+    path, out, checkpoint = scratch(spark, "state-log"), scratch(spark, "state-out"), scratch(spark, "state-checkpoint")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    states = current_rows(change_stream(spark, path), "id")
-    write = lambda batch, _: batch.write.mode("append").parquet(out)
-    states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", scratch(spark, "state-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    first, second = _parts(fx.change_log(spark, sf), 2)
+    for rows in (inserts.unionByName(first), second):
+        rows.select(*CHANGE.names).write.mode("append").parquet(path)
+        states = current_rows(change_stream(spark, path), "id")
+        states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(out).groupBy("key").agg(F.max_by(F.struct("alive", "row"), "seq").alias("s")).where("s.alive")
     return last.select(F.col("key").cast("long").alias("id"), F.try_element_at("s.row", F.lit("segment")).alias("segment"), F.try_element_at("s.row", F.lit("balance")).cast("decimal(18,2)").alias("balance"))
 

@@ -1,13 +1,18 @@
-"""Where jobs keep what must outlive an executor."""
+"""Where jobs keep what must outlive an executor, and how they publish it."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Conflict(RuntimeError):
+    """Another writer has published the version first."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; in a local session without one, a new temporary folder."""
     sc = spark.sparkContext
@@ -31,21 +36,86 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
 
 
-def rename(spark: SparkSession, source: str, target: str) -> bool:
-    """Atomic where the file system's rename is; False if target exists."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(source).getFileSystem(spark._jsc.hadoopConfiguration())
-    return not fs.exists(hadoop.Path(target)) and fs.rename(hadoop.Path(source), hadoop.Path(target))
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; False if there is none."""
+    fs, where = _fs(spark, path)
+    return fs.delete(where, True)
 
 
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names below a folder, none if it does not exist."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, where = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def publish(spark: SparkSession, path: str, content: str) -> bool:
+    """Make a file with its whole content, or return False and leave the one that is there: of writers at the same time one wins.
+
+    The content is written beside its place. A local file then appears there by a hard link, which the system refuses where a file exists;
+    elsewhere by renaming a file, which HDFS refuses in the same step as it looks. On a store without atomic renames one writer at a time
+    is needed.
+    """
+    fs, place = _fs(spark, path)
+    fs.mkdirs(place.getParent())
+    draft = spark._jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(content.encode()))
+    finally:
+        out.close()
+    try:
+        if fs.getScheme() != "file":
+            return fs.rename(draft, place)
+        nio = spark._jvm.java.nio.file.Files
+        local = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:
+            nio.createLink(local(place), local(draft))
+        except Exception as e:
+            if "FileAlreadyExistsException" in str(e):
+                return False
+            raise
+        return True
+    finally:
+        if fs.exists(draft):
+            fs.delete(draft, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the files v0, v1 ... below a folder, oldest first."""
+    return sorted(int(n[1:]) for n in names(spark, folder) if n[:1] == "v" and n[1:].isdigit())
+
+
+def published_tables(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
+    """The newest version below root (-1: none yet) and the path of each of its tables."""
+    known = versions(spark, f"{root}/versions")
+    return (known[-1], json.loads(read_text(spark, f"{root}/versions/v{known[-1]}"))) if known else (-1, {})
+
+
+def publish_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
+    """Write tables below root and publish a version that names them beside the ones it had: readers see all of them or none."""
+    version, paths = published_tables(spark, root)
+    data = f"{root}/data/{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{data}/{name}")
+    if not publish(spark, f"{root}/versions/v{version + 1}", json.dumps(paths | {n: f"{data}/{n}" for n in tables})):
+        raise Conflict(f"version {version + 1} of {root} was published by another writer")
+    return version + 1
+
+
+def published_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(published_tables(spark, root)[1][name])

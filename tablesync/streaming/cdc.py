@@ -1,102 +1,113 @@
 """Continuous apply of a change log to a bucketed, versioned table.
 
 The table is cut into buckets by a hash of its key. A version names the folder of each bucket; a batch rewrites only the buckets that its
-changes touch, then publishes the next version by renaming a folder into place. A version also records the batch and the last position it
-holds, so a batch that is delivered again finds itself applied, and a failed batch leaves nothing that readers see.
+changes touch, then publishes the next version as one file. A version also records what it holds: the batch, the stream that the batch
+belongs to, and the last position. A batch that is delivered again finds itself applied; another stream (a new checkpoint) replays from
+that position on, which changes nothing that was applied; a failed batch leaves nothing that readers see.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.positions import stream_job_id
 from ..model import CHANGE
 from ..operators.apply import merge
 from ..operators.changes import only_tables, typed, valid
-from ..storage import names, rename
-
-#: start: position captured before the snapshot; pos: the last position applied.
-_STATE = "bucket int, path string, batch_id long, start decimal(20,0), pos decimal(20,0)"
+from ..storage import Conflict, names, publish, read_text, versions
 
 
 class BucketedTable:
     """A keyed table below root whose versions are published atomically."""
 
     def __init__(self, spark: SparkSession, root: str, schema: StructType, keys: list[str], buckets: int = 16):
+        """buckets holds for a table that create() makes; one that exists keeps its own number."""
         self.spark, self.root, self.schema, self.keys, self.buckets = spark, root.rstrip("/"), schema, keys, buckets
 
     def version(self) -> int:
-        return max([int(n[1:]) for n in names(self.spark, f"{self.root}/versions") if n[:1] == "v" and n[1:].isdigit()], default=-1)
-
-    def _state(self, version: int) -> list:
-        """One row per bucket: a small, fixed number."""
-        return self.spark.read.schema(_STATE).json(f"{self.root}/versions/v{version}").collect()
-
-    def _publish(self, version: int, paths: dict[int, str], batch_id: int, start, pos) -> None:
-        draft = f"{self.root}/drafts/{uuid.uuid4().hex}"
-        at = [None if p is None else Decimal(p) for p in (start, pos)]
-        self.spark.createDataFrame([(b, p, batch_id, *at) for b, p in sorted(paths.items())], _STATE).coalesce(1).write.json(draft)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        where = hadoop.Path(f"{self.root}/versions")
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(where)
-        if not rename(self.spark, draft, f"{self.root}/versions/v{version}"):
-            raise RuntimeError(f"version {version} was published by another writer")
-
-    def _bucket(self, df: DataFrame):
-        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(self.buckets)).cast("int")
-
-    def _write(self, df: DataFrame, label: str) -> str:
+        return max(versions(self.spark, f"{self.root}/versions"), default=-1)
+
+    def _state(self, version: int) -> dict:
+        """paths (of each bucket), stream, batch_id, start (the position captured before the snapshot) and pos (the last one applied)."""
+        state = json.loads(read_text(self.spark, f"{self.root}/versions/v{version}"))
+        return state | {k: None if state[k] is None else Decimal(state[k]) for k in ("start", "pos")}
+
+    def _publish(self, version: int, paths: list[str], stream: str, batch_id: int, start, pos) -> None:
+        at = {k: None if v is None else str(int(v)) for k, v in (("start", start), ("pos", pos))}
+        if not publish(self.spark, f"{self.root}/versions/v{version}", json.dumps({"paths": paths, "stream": stream, "batch_id": batch_id, **at})):
+            raise Conflict(f"version {version} was published by another writer")
+
+    def _bucket(self, df: DataFrame, buckets: int):
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self.keys]), F.lit(buckets)).cast("int")
+
+    def _write(self, df: DataFrame, label: str, buckets: int) -> str:
         path = f"{self.root}/data/{label}-{uuid.uuid4().hex}"
-        df.withColumn("_bucket", self._bucket(df)).repartitionById(self.buckets, "_bucket").write.partitionBy("_bucket").parquet(path)
+        df.withColumn("_bucket", self._bucket(df, buckets)).repartitionById(buckets, "_bucket").write.partitionBy("_bucket").parquet(path)
         return path
 
     def create(self, snapshot: DataFrame, pos) -> None:
         """Version 0 from a snapshot. pos was captured before it was taken: changes behind pos are replayed on top."""
-        path = self._write(snapshot.select(*self.schema.names), "snapshot")
-        self._publish(0, {b: f"{path}/_bucket={b}" for b in range(self.buckets)}, -1, pos, pos)
+        path = self._write(snapshot.select(*self.schema.names), "snapshot", self.buckets)
+        self._publish(0, [f"{path}/_bucket={b}" for b in range(self.buckets)], "", -1, pos, pos)
 
     def _read_buckets(self, paths: list[str]) -> DataFrame:
         found = [p for p in paths if names(self.spark, p)]
         return self.spark.read.schema(self.schema).parquet(*found) if found else self.spark.createDataFrame([], self.schema)
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self._read_buckets([r.path for r in self._state(self.version() if version is None else version)])
+        return self._read_buckets(self._state(self.version() if version is None else version)["paths"])
 
-    def position(self):
+    def position(self) -> tuple:
+        """The last position applied, and the batch and stream that brought it."""
         state = self._state(self.version())
-        return state[0].pos, state[0].batch_id
+        return state["pos"], state["batch_id"], state["stream"]
+
+    def apply(self, changes: DataFrame, batch_id: int, stream: str = "") -> None:
+        """Merge a batch of a stream and publish the next version; a batch of the same stream that is already in it is left alone.
 
-    def apply(self, changes: DataFrame, batch_id: int) -> None:
-        """Merge a batch and publish the next version; a batch that is already in it is left alone."""
+        Batch numbers count within a stream. The first batches of another one are replayed from the last position applied, that position
+        included, for it may have been applied in part; replaying what was applied gives the same rows.
+        """
         version = self.version()
         state = self._state(version)
-        start, applied = state[0].start, state[0].batch_id
-        if batch_id <= applied:
+        paths, start, pos = state["paths"], state["start"], state["pos"]
+        if stream == state["stream"] and batch_id <= state["batch_id"]:
             return
         if start is not None:  # what the snapshot holds may be spread over any number of batches
             changes = changes.where(F.col("pos") > F.lit(start))
+        if stream != state["stream"] and state["stream"] and pos is not None:
+            changes = changes.where(F.col("pos") >= F.lit(pos))
         changes = changes.persist()
         try:
             key = [typed(F.element_at("key", k), self.schema, k).alias(k) for k in self.keys]
-            touched = changes.select(*key).select(self._bucket(changes).alias("b")).distinct()
-            hit = {r.b for r in touched.collect()}  # at most one row per bucket
+            keyed = changes.select(*key)
+            hit = sorted(r.b for r in keyed.select(self._bucket(keyed, len(paths)).alias("b")).distinct().collect())  # at most one row per bucket
             last = changes.agg(F.max("pos")).first()[0]
-            paths = {r.bucket: r.path for r in state}
+            replayed = stream != state["stream"] and state["stream"] and (last is None or last <= pos)
             if hit:
                 merged = merge(self._read_buckets([paths[b] for b in hit]), changes, self.keys)
-                new = self._write(merged, f"batch-{batch_id}")
-                paths |= {b: f"{new}/_bucket={b}" for b in hit}
-            self._publish(version + 1, paths, batch_id, start, max((p for p in (state[0].pos, last) if p is not None), default=None))
+                new = self._write(merged, f"batch-{batch_id}", len(paths))
+                paths = [f"{new}/_bucket={b}" if b in hit else p for b, p in enumerate(paths)]
+            if replayed:  # this stream has not yet come behind what the last one applied: its next batch is to be cut in the same way
+                stream, batch_id = state["stream"], state["batch_id"]
+            if hit or not replayed:
+                self._publish(version + 1, paths, stream, batch_id, start, max((p for p in (pos, last) if p is not None), default=None))
         finally:
             changes.unpersist()
 
 
 def change_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A change log's files as a stream, oldest first; max_files_per_trigger limits what a batch reads."""
+    """A change log's files as a stream, oldest first; max_files_per_trigger limits what a batch reads.
+
+    Files are to be written in the order of the positions they hold, for a batch holds the files of a time.
+    """
     reader = spark.readStream.schema(CHANGE)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -104,11 +115,32 @@ def change_stream(spark: SparkSession, path: str, max_files_per_trigger: int | N
 
 
 def apply_stream(stream: DataFrame, table: BucketedTable, checkpoint: str, *, tables: list[str] = (), mode: str = "fail", available_now: bool = True, trigger: str | None = None):
-    """Start the query that applies a stream. Restarted with the same checkpoint it goes on where it stopped."""
+    """Start the query that applies a stream. Restarted with the same checkpoint it goes on where it stopped, with another one behind what
+    the table holds."""
+    spark = table.spark
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        table.apply(valid(only_tables(batch, list(tables)), mode), batch_id)
+        own = json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]  # Spark writes it before the first batch
+        table.apply(valid(only_tables(batch, list(tables)), mode), batch_id, own)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger or "10 seconds")
     return writer.start()
+
+
+def job_id(spark: SparkSession, source: str, target: str) -> str:
+    return spark.range(1).select(stream_job_id(F.lit(source), F.lit(target))).first()[0]
+
+
+def cdc(spark: SparkSession, source: str, target: str, *, log: str, root: str, schema: StructType, keys: list[str], position: Callable, snapshot: Callable[[], DataFrame], buckets: int = 16, max_files_per_trigger: int | None = None, **options) -> tuple:
+    """The whole job from source to target: (table, running query). Its state lies below root/<job id>, one for each (source, target).
+
+    On the first run position() is asked before snapshot() is taken, so what happens meanwhile is replayed, not lost. Later runs find the
+    table and go on from its checkpoint; where that was lost, from the position that the table records. options are those of apply_stream.
+    """
+    home = f"{root.rstrip('/')}/{job_id(spark, source, target)}"
+    table = BucketedTable(spark, f"{home}/table", schema, keys, buckets)
+    if table.version() < 0:
+        at = position()
+        table.create(snapshot(), at)
+    return table, apply_stream(change_stream(spark, log, max_files_per_trigger), table, f"{home}/checkpoint", **options)

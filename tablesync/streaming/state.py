@@ -15,26 +15,43 @@ OUT = "key string, seq long, alive boolean, row map<string,string>"
 
 
 class CurrentRow(StatefulProcessor):
-    """Keeps a key's row as JSON and applies its changes in order of seq. Input: (k, seq, op, values as JSON)."""
+    """Keeps a key's row as JSON and folds its changes into it. Input: (k, seq, op, vals: JSON of the columns but the key's).
+
+    A batch's changes come in any order and are folded as they come, by the rule of apply.fold: of updates only the latest of each column
+    is held, of deletes the last one; inserts alone are held, those behind the last delete.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("row", STATE)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = json.loads(self.state.get()[0]) if self.state.exists() else None
-        last = -1
-        for r in sorted(rows, key=lambda r: r.seq):
-            values = json.loads(r.vals) if r.vals else {}
-            last = r.seq
+        last, gone = -1, -1
+        inserts: dict[int, str | None] = {}
+        latest: dict[str, tuple[int, str | None]] = {}
+        for r in rows:
+            last = max(last, r.seq)
             if r.op == "insert":
-                now = values if now is None else now
-            elif r.op == "update":
-                now = now if now is None else now | values
+                if r.seq > gone:
+                    inserts[r.seq] = r.vals
             elif r.op == "delete":
-                now = None
+                if r.seq > gone:
+                    gone = r.seq
+                    inserts = {s: v for s, v in inserts.items() if s > gone}
+            elif r.op == "update":
+                for column, value in json.loads(r.vals or "{}").items():
+                    if column not in latest or latest[column][0] < r.seq:
+                        latest[column] = (r.seq, value)
+        since = -1
+        if gone >= 0 or now is None:
+            now = None
+            if inserts:
+                since = min(inserts)
+                now = json.loads(inserts[since] or "{}")
         if now is None:
             self.state.clear()
         else:
+            now |= {c: v for c, (seq, v) in latest.items() if seq > since}
             self.state.update((json.dumps(now),))
         yield Row(key=key[0], seq=last, alive=now is not None, row=now)
 
@@ -45,7 +62,9 @@ class CurrentRow(StatefulProcessor):
 def current_rows(changes: DataFrame, key: str) -> DataFrame:
     """Streaming (key, seq, alive, row): the state of a key after each batch that changes it. Needs the RocksDB state store.
 
-    changes is a stream of change rows; rows of base come in as inserts with seq 0 if they are part of the stream.
+    changes is a stream of change rows; rows of base come in as inserts with seq 0 if they are part of the stream. row holds the columns
+    but the key's, which no update writes.
     """
-    rows = changes.select(F.element_at("key", key).alias("k"), "seq", "op", F.to_json("values", {"ignoreNullFields": "false"}).alias("vals"))
+    others = F.map_filter("values", lambda c, _: c != F.lit(key))
+    rows = changes.select(F.element_at("key", key).alias("k"), "seq", "op", F.to_json(others, {"ignoreNullFields": "false"}).alias("vals"))
     return rows.groupBy("k").transformWithState(CurrentRow(), OUT, "Update", "None")

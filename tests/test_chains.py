@@ -21,6 +21,7 @@ def manifest(spark, rows):
     return spark.createDataFrame([tuple(x.get(n) for n in MANIFEST.names) for x in full], MANIFEST)
 
 
+# fixed values: a full dump, a chain of three and an orphan
 CASES = [("full1", day(50), "", ""), ("base2", day(40), "base2", ""), ("inc2a", day(39), "base2", "base2"), ("inc2b", day(38), "base2", "inc2a"), ("orphan", day(5), "gone", "gone")]
 
 
@@ -39,6 +40,10 @@ def test_resolution(spark):
     assert [r.id for r in chains.up_to(links, "inc2a").orderBy("link_no").collect()] == ["base2", "inc2a"]
     with pytest.raises(ValueError):
         chains.up_to(links, "full1")
+    stops = lambda last: spark.createDataFrame([("inc2b", last)], "target string, last string")
+    assert [r.id for r in chains.up_to_each(links, stops("inc2a")).orderBy("link_no").collect()] == ["base2", "inc2a"]
+    with pytest.raises(Exception, match="no part of the chain"):
+        chains.up_to_each(links, stops("full1")).collect()
 
 
 def passes(members, root):

@@ -1,12 +1,21 @@
 import datetime
+import os
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from tablesync.model import CHANGE
+import __spark_entry__ as entry
+from tablesync.model import CHANGE, RetentionPolicy
 from tablesync.plans import backup
+from tablesync.storage import Conflict, publish, published_table, published_tables, read_text
 from tablesync.streaming.cdc import BucketedTable, apply_stream, change_stream
 
+from .conftest import SF
+
 DAY = datetime.datetime(2026, 1, 1)
 
 
@@ -15,7 +24,7 @@ def changes(spark, rows):
 
 
 def widgets(spark):
-    return spark.createDataFrame([(1, "wrench"), (2, "doomed")], "id int, name string")
+    return spark.createDataFrame([(1, "bolt"), (2, "leaving")], "id int, name string")
 
 
 def names(df):
@@ -24,15 +33,15 @@ def names(df):
 
 def test_backup_chain(spark, tmp_path):
     root, common = f"file://{tmp_path}", {"profile": "p", "driver": "postgres"}
-    log = changes(spark, [(1, "insert", "widgets", 3, {"id": "3", "name": "fresh"}), (2, "update", "widgets", 1, {"name": "spanner"}), (3, "delete", "widgets", 2, {}), (4, "delete", "other", 1, {}), (5, "insert", "widgets", 9, {"name": "late"})])
+    log = changes(spark, [(1, "insert", "widgets", 3, {"id": "3", "name": "fresh"}), (2, "update", "widgets", 1, {"name": "screw"}), (3, "delete", "widgets", 2, {}), (4, "delete", "other", 1, {}), (5, "insert", "widgets", 9, {"name": "late"})])
     backup.full_backup({"widgets": widgets(spark), "parts": widgets(spark)}, root, "base", created=DAY, end_pos=0, exclude_data=["parts"], **common)
     backup.incremental_backup(log, root, "inc1", parent_id="base", created=DAY, end_pos=2, **common)
     backup.incremental_backup(log, root, "inc2", parent_id="inc1", created=DAY, end_pos=4, **common)
     keys = {"widgets": ["id"], "parts": ["id"]}
     got = backup.restore(spark, root, "inc2", keys, driver="postgres")
-    assert names(got["widgets"]) == {1: "spanner", 3: "fresh"} and got["parts"].count() == 0
-    assert names(backup.restore(spark, root, "inc2", keys, driver="postgres", up_to="inc1", tables=["widgets"])["widgets"]) == {1: "spanner", 2: "doomed", 3: "fresh"}
-    assert names(backup.restore(spark, root, "base", keys, driver="postgres")["widgets"]) == {1: "wrench", 2: "doomed"}
+    assert names(got["widgets"]) == {1: "screw", 3: "fresh"} and got["parts"].count() == 0
+    assert names(backup.restore(spark, root, "inc2", keys, driver="postgres", up_to="inc1", tables=["widgets"])["widgets"]) == {1: "screw", 2: "leaving", 3: "fresh"}
+    assert names(backup.restore(spark, root, "base", keys, driver="postgres")["widgets"]) == {1: "bolt", 2: "leaving"}
     with pytest.raises(ValueError):
         backup.restore(spark, root, "inc2", keys, driver="postgres", up_to="nope")
     with pytest.raises(backup.Incompatible):
@@ -48,8 +57,13 @@ def test_backup_chain(spark, tmp_path):
 
 
 def test_sync_and_cross_engine(spark, tmp_path):
-    backup.sync({"a": widgets(spark), "b": widgets(spark)}, f"file://{tmp_path}", tables=["a"])
-    assert names(spark.read.parquet(f"file://{tmp_path}/a")) == {1: "wrench", 2: "doomed"} and not (tmp_path / "b").exists()
+    target = f"file://{tmp_path}"
+    backup.sync({"a": widgets(spark), "b": widgets(spark)}, target, tables=["a"])
+    assert names(published_table(spark, target, "a")) == {1: "bolt", 2: "leaving"} and list(published_tables(spark, target)[1]) == ["a"]
+    broken = widgets(spark).withColumn("name", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        backup.sync({"b": widgets(spark), "a": broken}, target)
+    assert names(published_table(spark, target, "a")) == {1: "bolt", 2: "leaving"} and list(published_tables(spark, target)[1]) == ["a"]
     out = backup.cross_engine({"a": spark.sql("select cast(1 as smallint) as n, cast('z' as binary) as b")})["a"]
     assert [t for _, t in out.dtypes] == ["int", "string"]
 
@@ -61,16 +75,16 @@ def test_stream_restarts_without_gap_or_repeat(spark, tmp_path):
     changes(spark, [(1, "delete", "widgets", 1, {}), (2, "insert", "widgets", 3, {"id": "3", "name": "fresh"})]).write.parquet(log)
     run = lambda: apply_stream(change_stream(spark, log, 1), table, f"file://{tmp_path}/cp", tables=["widgets"]).awaitTermination()
     run()
-    assert names(table.read()) == {1: "wrench", 2: "doomed", 3: "fresh"}  # position 1 lies in the snapshot
+    assert names(table.read()) == {1: "bolt", 2: "leaving", 3: "fresh"}  # position 1 lies in the snapshot
     before = table.version()
     run()
     assert table.version() == before  # nothing new, no new version
     more = changes(spark, [(3, "update", "widgets", 3, {"name": "newer"}), (4, "delete", "widgets", 2, {}), (5, "delete", "others", 1, {})])
     more.write.mode("append").parquet(log)
     run()
-    assert names(table.read()) == {1: "wrench", 3: "newer"}
-    table.apply(more, table.position()[1])
-    assert names(table.read()) == {1: "wrench", 3: "newer"} and names(table.read(0)) == {1: "wrench", 2: "doomed"}
+    assert names(table.read()) == {1: "bolt", 3: "newer"}
+    table.apply(more, *table.position()[1:])
+    assert names(table.read()) == {1: "bolt", 3: "newer"} and names(table.read(0)) == {1: "bolt", 2: "leaving"}
 
 
 def test_a_bad_change_publishes_nothing(spark, tmp_path):
@@ -80,15 +94,96 @@ def test_a_bad_change_publishes_nothing(spark, tmp_path):
     changes(spark, [(1, "delete", "widgets", 1, {}), (2, "truncate", "widgets", 2, {})]).write.parquet(log)
     with pytest.raises(Exception):
         apply_stream(change_stream(spark, log), table, f"file://{tmp_path}/cp").awaitTermination()
-    assert table.version() == 0 and names(table.read()) == {1: "wrench", 2: "doomed"}
+    assert table.version() == 0 and names(table.read()) == {1: "bolt", 2: "leaving"}
     apply_stream(change_stream(spark, log), table, f"file://{tmp_path}/cp2", mode="quarantine").awaitTermination()
-    assert names(table.read()) == {2: "doomed"}
+    assert names(table.read()) == {2: "leaving"}
+
+
+def test_of_writers_at_the_same_time_one_wins(spark, tmp_path):
+    for turn in range(10):
+        path, gate = f"file://{tmp_path}/v{turn}", threading.Barrier(6)
+
+        def write(i):
+            gate.wait()
+            return publish(spark, path, f"writer {i}")
+
+        with ThreadPoolExecutor(6) as pool:
+            won = list(pool.map(write, range(6)))
+        assert sum(won) == 1 and read_text(spark, path) == f"writer {won.index(True)}"
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith("v")] == []
 
 
-def test_race_of_two_writers(spark, tmp_path):
+def test_a_version_is_published_once(spark, tmp_path):
     table = BucketedTable(spark, f"file://{tmp_path}/t", widgets(spark).schema, ["id"], buckets=2)
     table.create(widgets(spark), 0)
-    with pytest.raises(RuntimeError):
+    with pytest.raises(Conflict):
         table.create(widgets(spark), 0)
 
 
+def test_a_new_checkpoint_loses_and_repeats_nothing(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    table = BucketedTable(spark, f"file://{tmp_path}/t", widgets(spark).schema, ["id"], buckets=2)
+    table.create(widgets(spark), 0)
+    run = lambda n: apply_stream(change_stream(spark, log, 1), table, f"file://{tmp_path}/cp{n}").awaitTermination()
+    batches = [
+        [(1, "update", "widgets", 1, {"name": "a"}), (2, "insert", "widgets", 3, {"id": "3", "name": "b"})],
+        [(3, "delete", "widgets", 3, {}), (3, "insert", "widgets", 3, {"id": "3", "name": "c"})],
+        [(4, "update", "widgets", 1, {"name": "d"})],
+        [(5, "delete", "widgets", 2, {}), (6, "insert", "widgets", 4, {"id": "4", "name": "e"})],
+    ]
+    want = [{1: "a", 2: "leaving", 3: "b"}, {1: "a", 2: "leaving", 3: "c"}, {1: "d", 2: "leaving", 3: "c"}, {1: "d", 3: "c", 4: "e"}]
+    for n, (rows, after) in enumerate(zip(batches, want)):
+        # two changes at one position are ordered by seq
+        spark.createDataFrame([(Decimal(p), 10 * p + i, op, t, {"id": str(k)}, v) for i, (p, op, t, k, v) in enumerate(rows)], CHANGE).coalesce(1).write.mode("append").parquet(log)
+        run(n)  # each time with a checkpoint that knows nothing, from the first file on
+        assert names(table.read()) == after
+    assert int(table.position()[0]) == 6
+
+
+def test_restore_into_a_target(spark, tmp_path):
+    root, target, keys = f"file://{tmp_path}/d", f"file://{tmp_path}/t", {"widgets": ["id"]}
+    backup.full_backup({"widgets": widgets(spark)}, root, "base", created=DAY, end_pos=0, profile="p", driver="postgres")
+    with pytest.raises(backup.Incompatible):
+        backup.full_backup({"widgets": widgets(spark)}, root, "base", created=DAY, end_pos=0, profile="p", driver="postgres")
+    listed = backup.inspect_dump(spark, root, "base").first()
+    assert [(t.name, t.rows, t.size_bytes) for t in listed.tables] == [("widgets", 2, listed.size_bytes)] and listed.size_bytes > 0
+    write = lambda **o: backup.restore_to(spark, root, "base", keys, target, driver="postgres", **o)
+    with pytest.raises(backup.Incompatible):
+        write(data_only=True)
+    assert write(schema_only=True) == 0 and published_table(spark, target, "widgets").count() == 0
+    with pytest.raises(backup.Incompatible):
+        write()
+    assert write(data_only=True) == 1 and names(published_table(spark, target, "widgets")) == {1: "bolt", 2: "leaving"}
+    with pytest.raises(ValueError, match="duplicate"):
+        write(data_only=True)
+    assert write(clean=True) == 2 and published_tables(spark, target)[0] == 2
+    with pytest.raises(ValueError):
+        write(clean=True, data_only=True)
+    with pytest.raises(backup.Incompatible):
+        backup.restore_to(spark, root, "base", keys, target, driver="mysql", clean=True)
+    assert published_tables(spark, target)[0] == 2
+
+
+def test_prune_deletes_leaves_first_and_stops_a_chain_at_a_failure(spark, tmp_path, monkeypatch):
+    root, common = f"file://{tmp_path}", {"profile": "p", "driver": "postgres"}
+    log = changes(spark, [(1, "delete", "widgets", 1, {}), (2, "delete", "widgets", 2, {})])
+    for label, day in (("x", 1), ("y", 2), ("z", 9)):
+        at = DAY + datetime.timedelta(days=day)
+        backup.full_backup({"widgets": widgets(spark)}, root, label, created=at, end_pos=0, **common)
+        backup.incremental_backup(log, root, f"{label}1", parent_id=label, created=at, end_pos=1, **common)
+    remove = backup.remove
+    monkeypatch.setattr(backup, "remove", lambda s, p: remove(s, p) if "/y1" not in p else False)
+    got = backup.apply_prune(spark, root, RetentionPolicy(keep_last=1), DAY + datetime.timedelta(days=10)).collect()
+    assert [(r.id, r.deleted) for r in got] == [("x1", True), ("x", True), ("y1", False)]
+    assert sorted(r.id for r in backup.manifest(spark, root).collect()) == ["y", "y1", "z", "z1"]
+    assert sorted(p.name for p in (tmp_path / "data").iterdir()) == ["y", "y1", "z", "z1"]
+
+
+def test_inspection_gives_the_files_sizes(spark):
+    got = {r.name: (r.rows, r.size_bytes) for r in entry.queries()["table_inspection"](spark, SF).collect()}
+    for name in ("region", "orders"):
+        assert got[name] == (pq.read_metadata(f"{SF}/{name}.parquet").num_rows, os.path.getsize(f"{SF}/{name}.parquet"))
+    sizes = [r.size_bytes for r in entry.queries()["table_inspection"](spark, SF).collect()]
+    assert sizes == sorted(sizes, reverse=True)
+
+

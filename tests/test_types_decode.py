@@ -63,6 +63,7 @@ def test_text_expressions(spark):
 
 
 def test_transcript(spark, tmp_path):
+    # fixed values: the lines and positions of a decoded transcript
     text = """# at 4
 ### INSERT INTO `test`.`widgets`
 ### SET
@@ -98,11 +99,35 @@ def test_transcript(spark, tmp_path):
     ]
 
 
+def test_a_long_transcript_in_many_splits(spark, tmp_path):
+    lines, want = ["#700101 Rotate to bin.000042  pos: 4"], []
+    for n in range(3000):
+        if n % 7 == 0:
+            lines.append(f"# at {100 * n}")
+        lines += ["### INSERT INTO `s`.`t`", "### SET", f"###   @1={n}", f"###   @2='{'x' * (n % 40)}'"]
+        nxt = 100 * (n - n % 7 + 7)
+        want.append((n + 1, nxt if nxt < 300_000 else 100 * (n - n % 7) + 1, str(n), "x" * (n % 40)))
+    (tmp_path / "one.txt").write_text("\n".join(lines) + "\n")
+    cat = spark.createDataFrame([("t", 1, "id", True), ("t", 2, "v", False)], "tbl string, ordinal int, col string, pk boolean")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        read = rows_io.read_lines(spark, f"file://{tmp_path}")
+        assert read.select("split").distinct().count() > 10
+        got = decode.transcript_changes(read, cat).orderBy("seq").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.seq, int(r.pos), r["values"]["id"], r["values"]["v"]) for r in got] == want
+    assert {r.file for r in got} == {"bin.000042"}
+
+
 def test_tuples(spark):
     rel = spark.createDataFrame([(1, "t", 1, "id", True), (1, "t", 2, "v", False), (2, "k", 1, "a", False), (2, "k", 2, "b", False)], "rel_id int, tbl string, ordinal int, col string, is_key boolean")
     cells = [(1, "insert", 1, "new", 1, "t", "5"), (1, "insert", 1, "new", 2, "n", None), (2, "update", 1, "old", 1, "t", "4"), (2, "update", 1, "new", 1, "t", "5"), (2, "update", 1, "new", 2, "u", None), (3, "delete", 2, "old", 1, "t", "x"), (3, "delete", 2, "old", 2, "n", None), (4, "begin", 1, "new", 1, "t", "1"), (5, "insert", 9, "new", 1, "t", "1")]
     df = spark.createDataFrame(cells, "seq long, op string, rel_id int, image string, ordinal int, kind string, value string")
-    got = decode.tuple_changes(df, rel).orderBy("seq").collect()
+    with pytest.raises(Exception, match="unknown relation 9"):
+        decode.tuple_changes(df, rel).collect()
+    got = decode.tuple_changes(df, rel, unknown="skip").orderBy("seq").collect()
     assert [(r.seq, r.key, r["values"]) for r in got] == [(1, {"id": "5"}, {"id": "5", "v": None}), (2, {"id": "4"}, {"id": "5"}), (3, {"a": "x", "b": None}, {})]
     assert [r.rel_id for r in decode.unknown_relations(df, rel).collect()] == [9]
 
