@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablesync.llm import shards
+from tablesync.llm import neighbours, shards
 from tablesync.llm.neighbours import estimates, one_bit_codes, rotation, search
 from tablesync.llm.quotes import link_quotes
 
@@ -36,7 +36,7 @@ def test_search_against_brute_force(spark):
     centre = rng.standard_normal((20, 48))
     rows = [(i, (centre[i % 20] + 0.7 * rng.standard_normal(48)).tolist()) for i in range(1500)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got, want = found(search(df, df.where("vec_id % 50 = 0"), row_block=200, query_block=7)), brute(rows, set(range(0, 1500, 50)), 5)
+    got, want = found(search(df, df.where("vec_id % 50 = 0"), sample_rows=100, growth=3, query_block=7)), brute(rows, set(range(0, 1500, 50)), 5)
     hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
     assert hits >= 0.97 * 5 * len(want)
 
@@ -50,17 +50,42 @@ def test_odd_vectors_ties_and_repeats(spark):
 
 def test_many_copies_of_one_vector(spark):
     df = spark.range(900).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0), F.when(F.col("id") % 3 == 0, 3.0).otherwise(F.col("id") / 100)).alias("embedding"))
-    got = found(search(df, df.where("vec_id = 300"), row_block=100))
+    got = found(search(df, df.where("vec_id = 300"), sample_rows=100))
     assert [v for v, _ in got[300]] == [0, 3, 6, 9, 12]
 
 
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 64)))
-    a, b, turn = unit(2000), unit(20), rotation(64, 3)
-    est, err = estimates(*one_bit_codes(a, turn), b @ turn.T, 2.5)
-    assert (np.abs(est - a @ b.T) <= err[:, None]).mean() > 0.97
-    assert abs((est - a @ b.T).mean()) < 0.005
+    a, b = unit(2000), unit(20)
+    for bits in (64, 256):
+        turn = rotation(64, bits, 3)
+        codes, f = one_bit_codes(a, turn)
+        assert codes.shape == (2000, bits // 8)
+        est, err = estimates(codes, f, b @ turn.T, 2.5)
+        assert (np.abs(est - a @ b.T) <= err[:, None]).mean() > 0.97
+        assert abs((est - a @ b.T).mean()) < 0.005 and err.max() < 3 / np.sqrt(bits)
+
+
+def test_the_query_finds_the_nearest_and_measures_few(spark, monkeypatch):
+    """Recall of the registered query over its whole table, and the share of pairs that its codes leave to be measured."""
+    sf_dir, left = "/root/testdata/sf0.1", []
+    plain = neighbours._survivors
+    monkeypatch.setattr(neighbours, "_survivors", lambda *a: left.append(plain(*a)) or left[-1])
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], dtype=float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got, hits, asked = found(neighbours.op7_one_bit_search(spark, sf_dir)), 0, np.flatnonzero(ids % 50 == 0)
+    for q in asked:
+        score = np.where(ids == ids[q], -2, v @ v[q])
+        hits += len({x for x, _ in got[ids[q]]} & set(ids[np.argsort(-score)[:5]].tolist()))
+    assert hits >= 0.98 * 5 * len(asked)
+    assert left[-1].count() < 0.1 * len(ids) * len(asked)
+
+
+def test_vectors_with_other_columns(spark):
+    df = spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.cos("id"), F.sin("id")).alias("embedding"), *[F.lit("x").alias(c) for c in ("v", "q", "t", "code", "f", "ids", "row_id", "q_row", "score", "rank", "query_id")])
+    assert len(found(search(df, df.where("vec_id < 2")))[1]) == 5
 
 
 # ------------------------------------------------------------------ quotations
