@@ -49,10 +49,21 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path that is no longer read."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+#: A class counts as heavy if it holds more than one in so many rows; so there are fewer heavy classes than this.
+HEAVY = 10_000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with classes, one for each value of rows' column key: columns of_<key>, weight (its number of rows) and others.
+
+    The heavy classes, fewer than HEAVY, are broadcast, so that rows of one class stay spread; the others meet by a shuffle, which
+    brings at most one in HEAVY of the total rows together for a class. how: inner or left.
+    """
+    on = F.col(key) == F.col(f"of_{key}")
+    heavy, light = classes.where(F.col(weight) * HEAVY > total), classes.where(F.col(weight) * HEAVY <= total)
+    keys = F.broadcast(heavy.select(F.col(f"of_{key}").alias("heavy_key")))
+    in_heavy = F.col(key) == F.col("heavy_key")
+    return rows.join(keys, in_heavy, "left_semi").join(F.broadcast(heavy), on, how).unionByName(rows.join(keys, in_heavy, "left_anti").join(light, on, how))
 
 
 def n_words(text: Column) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_udf, written
+from .common import join_classes, table, text_udf, written
 from .graph import components
 
 SEGMENTS, SEGMENT_BITS = 4, 16
@@ -72,29 +72,31 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame) -> DataFrame:
-    """(fp, root, component_id, group_rows) for each fingerprint of fps (doc_id, fp): component_id is the least doc_id of all documents that links reach.
+    """(fp, n, root, component_id, group_rows) for each fingerprint of fps (doc_id, fp): n rows have it, and component_id is the least doc_id of
+    all documents that links reach.
 
     Equal fingerprints are one class. Null doc_ids don't count for component_id, which is null where a group has no other.
     """
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = components(links(classes.select("fp")))
-    roots = classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    groups = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows")).withColumnRenamed("root", "group_root")
-    return roots.join(groups, F.col("root") == F.col("group_root")).select("fp", "root", "component_id", "group_rows")
+    roots = written(classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    groups = roots.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows"), F.count("*").alias("n_fps"))
+    return join_classes(roots, groups, "root", "n_fps", roots.count()).select("fp", "n", "root", "component_id", "group_rows")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """docs without all but one row of each group of near duplicates: the row of the least doc_id stays.
 
-    Of rows that repeat this doc_id and text one stays. A group whose doc_ids are all null keeps one row of its least fingerprint.
+    Of rows that repeat this doc_id and text one stays. A group whose doc_ids are all null keeps one row of its least fingerprint. Texts
+    without words, null and empty ones included, are one group. No rows: no rows. Copies of one text are not brought together in a task.
     """
     from pyspark.sql import Window
 
     held = written(fingerprints(docs, shingle), "fingerprints")
     ids = held.select(F.col("row.doc_id").alias("doc_id"), "fp")
     groups = written(near_duplicates(ids), "groups")
-    crowded = groups.where("group_rows > 1").select(F.col("fp").alias("group_fp"), "root", "component_id")
-    rows = ids.join(crowded, F.col("fp") == F.col("group_fp")).groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
+    crowded = groups.where("group_rows > 1").select(F.col("fp").alias("of_fp"), F.col("n").alias("fp_rows"), "root", "component_id")
+    rows = join_classes(ids, crowded, "fp", "fp_rows", held.count()).groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
     winners = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = winners.groupBy(F.col("root").alias("win_root")).agg(F.min("fp").alias("win_fp"))
     kept = winners.join(first, (F.col("root") == F.col("win_root")) & (F.col("fp") == F.col("win_fp")))
@@ -110,6 +112,6 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fps = written(fingerprints(docs).select(F.col("row.doc_id").alias("doc_id"), "fp"), "fps")
-    groups = near_duplicates(fps).withColumnRenamed("fp", "group_fp")
-    joined = fps.join(groups, F.col("fp") == F.col("group_fp"))
+    groups = written(near_duplicates(fps).withColumnRenamed("fp", "of_fp"), "groups")
+    joined = join_classes(fps, groups, "fp", "n", fps.count())
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
