@@ -1,9 +1,9 @@
 """Op 10: a sharded table with size-tiered compaction and a versioned manifest, with DataFrame functions only.
 
-Layout below a root: data/<job>/... holds immutable Parquet shards; manifest/v<number> holds, as Parquet, one row for each live shard (file,
-bytes, rows). A version is written beside its place and then renamed into it; a rename onto an existing version fails, so of two writers
-one wins and the other must start from the new version. Readers take the newest version, or any older one. Shards that no version names
-are invisible: a job that died leaves nothing but garbage for vacuum().
+Layout below a root: data/<job>/... holds immutable Parquet shards; lists/<name> holds, as Parquet, one row for each live shard of a version
+(file, bytes, rows), and manifest/v<number> is one small file that names the version's list. It comes into being whole or not at all, and
+never over another one, so of any number of writers at the same time one wins; the others must start from the new version. Readers take the
+newest version, or any older one. Shards that no version names are invisible: a job that died leaves nothing but garbage for vacuum().
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import Conflict, publish, read_text, remove
+from ..storage import versions as numbers
 from .common import scratch, table
 
 ENTRY = "file string, bytes long, rows long"
@@ -20,24 +22,9 @@ ENTRY = "file string, bytes long, rows long"
 MAX_BROADCAST_SHARDS = 100_000
 
 
-class Conflict(RuntimeError):
-    """Another writer has committed the version first."""
-
-
-def _fs(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    where = hadoop.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
-
-
 def versions(spark: SparkSession, root: str) -> list[int]:
     """Committed version numbers, oldest first."""
-    fs, hadoop = _fs(spark, root)
-    where = hadoop.Path(f"{root}/manifest")
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+    return numbers(spark, f"{root}/manifest")
 
 
 def entries(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -45,17 +32,19 @@ def entries(spark: SparkSession, root: str, version: int | None = None) -> DataF
     known = versions(spark, root)
     if not known:
         return spark.createDataFrame([], ENTRY)
-    return spark.read.schema(ENTRY).parquet(f"{root}/manifest/v{known[-1] if version is None else version}")
+    return spark.read.schema(ENTRY).parquet(_list_of(spark, root, known[-1] if version is None else version))
+
+
+def _list_of(spark: SparkSession, root: str, version: int) -> str:
+    return f"{root}/lists/{read_text(spark, f'{root}/manifest/v{version}')}"
 
 
 def commit(spark: SparkSession, root: str, live: DataFrame, base: int) -> int:
-    """Make live the version after base, atomically."""
-    draft = f"{root}/drafts/{uuid.uuid4().hex}"
-    live.select("file", "bytes", "rows").coalesce(8).write.parquet(draft)
-    fs, hadoop = _fs(spark, root)
-    place = hadoop.Path(f"{root}/manifest/v{base + 1}")
-    fs.mkdirs(hadoop.Path(f"{root}/manifest"))
-    if fs.exists(place) or not fs.rename(hadoop.Path(draft), place):
+    """Make live the version after base, atomically; a Conflict if another writer was first."""
+    name = uuid.uuid4().hex
+    live.select("file", "bytes", "rows").coalesce(8).write.parquet(f"{root}/lists/{name}")
+    if not publish(spark, f"{root}/manifest/v{base + 1}", name):
+        remove(spark, f"{root}/lists/{name}")
         raise Conflict(f"version {base + 1} exists")
     return base + 1
 
@@ -67,7 +56,11 @@ def _written_shards(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def append(df: DataFrame, root: str, *, shard_rows: int = 4000, codec: str = "zstd") -> int:
-    """Write an arrival as shards of at most shard_rows rows, as its partitions lie (no shuffle), and commit them. An empty one commits no shard."""
+    """Write an arrival as shards of at most shard_rows rows, as its partitions lie (no shuffle), and commit them; the version's number.
+
+    Rows are kept as they are: nulls in any column, empty and long texts, repeats, and columns of any name. An arrival without rows
+    commits a version without a new shard.
+    """
     spark = df.sparkSession
     base = max(versions(spark, root), default=0)
     path = f"{root}/data/append-{uuid.uuid4().hex}"
@@ -96,6 +89,7 @@ def compact(spark: SparkSession, root: str, schema, *, target_bytes: int = 128 <
     """Merge once what plan_merges names and commit; the newest version if there is nothing to merge.
 
     Each row is moved once, to the task of its merge, which writes one file. Old shards stay for readers of older versions, until vacuum().
+    Rows are kept as they are (see append); no shards, or none to merge: no new version. If another writer commits meanwhile: a Conflict.
     """
     base = max(versions(spark, root), default=0)
     plan = plan_merges(entries(spark, root), target_bytes, fan_in).persist()
@@ -133,13 +127,14 @@ def vacuum(spark: SparkSession, root: str, keep_versions: int = 2) -> int:
     kept, old = known[-keep_versions:], known[:-keep_versions]
     if not old:
         return 0
-    fs, hadoop = _fs(spark, root)
     live = {r.file for v in kept for r in entries(spark, root, v).select("file").toLocalIterator()}
     gone = {r.file for v in old for r in entries(spark, root, v).select("file").toLocalIterator()} - live
     for v in old:
-        fs.delete(hadoop.Path(f"{root}/manifest/v{v}"), True)
+        entries_of = _list_of(spark, root, v)
+        remove(spark, f"{root}/manifest/v{v}")
+        remove(spark, entries_of)
     for file in gone:
-        fs.delete(hadoop.Path(file), False)
+        remove(spark, file)
     return len(gone)
 
 
