@@ -1,7 +1,7 @@
 """Op 3: quotation linking for chat and mail threads, with DataFrame and SQL functions only.
 
 A line's quote level is the number of > before it. Lines that announce a deeper quotation belong to no text. The others of level 0 are the
-message's own text. Runs of lines of one deeper level are quoted passages. A passage, and each of its paragraphs, is normalised (case and white space) and
+message's own text, with a blank line where a quotation stood. Runs of lines of one deeper level are quoted passages. A passage, and each of its paragraphs, is normalised (case and white space) and
 hashed, and meets the messages whose own text, or a paragraph of it, has that hash. The links make reply trees, whose paths order each
 conversation with replies behind what they answer.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import join_classes, table, written
 from .graph import components
 
 _PREFIX = r"^((?:[ \t]*>)+)"
@@ -35,9 +35,15 @@ def _announces(lines: Column, x: Column, i: Column) -> Column:
 
 
 def own_text(lines: Column) -> Column:
-    """The lines of level 0 that announce no quotation, without blank lines at both ends."""
-    own = F.filter(lines, lambda x, i: (x["level"] == 0) & ~_announces(lines, x, i))
-    joined = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
+    """The lines of level 0 that announce no quotation, a blank line for each quotation, and no blank lines at both ends.
+
+    So what stands before and behind an inline quotation are paragraphs of their own, as those who quote one of them see it.
+    """
+    def own(x: Column, i: Column) -> Column:
+        first_quoted = (x["level"] > 0) & F.coalesce(F.get(lines, i - 1)["level"] == 0, F.lit(True))
+        return F.when((x["level"] == 0) & ~_announces(lines, x, i), x["body"]).when(first_quoted, "")
+
+    joined = F.array_join(F.transform(lines, own), "\n")  # drops nulls
     return F.regexp_replace(joined, r"^\s*\n|\s+$", "")
 
 
@@ -57,6 +63,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     path: (conv_id, turn) from the root down to the message; sorting a thread by path puts replies behind what they answer. n_quoted,
     n_found: passages in the message and how many of them were found.
 
+    A path holds a step for each message above, so a thread of n replies to replies has n^2 / 2 steps in its paths.
     A message without a found quotation is a root. Null text is empty. Messages with a null conv_id or turn link to nothing. Rows that
     repeat (conv_id, turn) share a parent. No rows: no rows.
     """
@@ -81,7 +88,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     inside = first.select(F.col("hash").alias("i_hash"), F.col("conv_id").alias("i_conv"), F.col("turn").alias("i_turn"))
     anywhere = first.groupBy(F.col("hash").alias("g_hash")).agg(F.min(F.struct("conv_id", "turn")).alias("g"))
     met = asked.join(inside, (F.col("hash") == F.col("i_hash")) & (F.col("conv_id") == F.col("i_conv")) & (F.col("i_turn") < F.col("turn")), "left")
-    met = met.join(anywhere, (F.col("hash") == F.col("g_hash")) & (F.col("g.conv_id") < F.col("conv_id")), "left")
+    times = asked.groupBy(F.col("hash").alias("n_hash")).agg(F.count("*").alias("n_asked"))
+    anywhere = anywhere.join(times, F.col("g_hash") == F.col("n_hash")).select(F.col("g_hash").alias("of_hash"), "g", "n_asked")
+    met = join_classes(met, anywhere, "hash", "n_asked", asked.count(), "left").withColumn("g", F.when(F.col("g.conv_id") < F.col("conv_id"), F.col("g")))
     found = met.withColumn("at", F.when(F.col("i_turn").isNotNull(), F.struct(F.col("conv_id"), F.col("i_turn").alias("turn"))).otherwise(F.col("g")))
     rank = F.when(F.col("at").isNotNull(), F.struct("level", F.col("i_turn").isNull().alias("elsewhere"), (-F.col("at.turn")).alias("back"), F.col("at.conv_id").alias("p_conv"), F.col("at.turn").alias("p_turn")))
     per_run = found.groupBy("conv_id", "turn", "copy", "level", "run").agg(F.min(rank).alias("best"))
@@ -127,8 +136,8 @@ ORACLE = rf"""WITH RECURSIVE split AS (SELECT conv_id, turn, role, string_split_
   raw AS (SELECT conv_id, turn, role, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM split),
   lines AS (SELECT conv_id, turn, role, pos, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
     regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS body FROM raw),
-  ahead AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next_level FROM lines),
-  own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 AND NOT (next_level > 0 AND regexp_matches(body, '{ANNOUNCES}')) THEN body END,
+  ahead AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next_level, coalesce(lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS last_level FROM lines),
+  own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 AND NOT (next_level > 0 AND regexp_matches(body, '{ANNOUNCES}')) THEN body WHEN level > 0 AND last_level = 0 THEN '' END,
     chr(10) ORDER BY pos), ''), '^\s*\n|\s+$', '', 'g') AS text FROM ahead GROUP BY conv_id, turn, role),
   runs AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS run FROM lines WHERE level > 0),
   passages AS (SELECT conv_id, turn, level, run, string_agg(body, chr(10) ORDER BY pos) AS p FROM runs GROUP BY conv_id, turn, level, run),
