@@ -161,15 +161,16 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, *, max_rules: int = 1
 def fit_rules(docs: DataFrame, labels: DataFrame, *, max_labelled: int = 6000, **options) -> list[Rule]:
     """Rules from labels (doc_id, quality 0/1) on docs. At most max_labelled labelled documents are used, taken in hash order.
 
-    Labels of unknown documents or null quality are left out; of several labels of a document the lowest counts.
+    Labels of unknown documents or null quality are left out; of several labels of a document the lowest counts, of several rows of a
+    document one, chosen by a hash of its text.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = hash_sample(known.select(F.col("doc_id").alias("labelled_id"), "quality"), "labelled_id", max_labelled)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("text", "quality")
-    found = with_stats(rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled_id")).select("labelled_id", "text", "quality")
+    found = with_stats(rows.groupBy("labelled_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality")))
     numbers = measures(lambda s: F.col(f"quality_stats.{s}"))
-    # repeated rows of a labelled document could lengthen the result: the limit holds what reaches the driver to the bound
-    got = found.select((F.col("row.quality") == 0).alias("bad"), *[c.alias(n) for n, c in numbers.items()]).limit(2 * max_labelled).toPandas()
+    got = found.select("row.labelled_id", (F.col("row.quality") == 0).alias("bad"), *[c.alias(n) for n, c in numbers.items()]).toPandas()
+    got = got.sort_values("labelled_id")  # folds fall by place: reruns learn the same
     return learn_rules({n: got[n].to_numpy(dtype=float) for n in numbers}, got["bad"].to_numpy(dtype=bool), **options)
 
 
