@@ -107,7 +107,8 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), repeat_limit:
     laid = written(laid, "mix-laid")
 
     quota = laid.groupBy("source").agg((F.first("passes") * F.first("n_blocks") + F.count_if("last")).alias("n"))
-    quotas = quota.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("source", F.lit("\u0000null")).alias("source"), "n"))).alias("q"))
+    named = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))  # a text for each source, the null one too, and unlike all others
+    quotas = quota.agg(F.sort_array(F.collect_list(F.struct(named.alias("source"), "n"))).alias("q"))
     leaves = split_tree(quotas, levels, seed)
     ends = leaves.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("leaf"))
     ends = ends.select(F.col("source").alias("end_source"), F.expr("transform(leaf, (x, i) -> aggregate(slice(leaf, 1, i + 1), 0L, (s, y) -> s + y.n))").alias("ends"))
@@ -119,7 +120,7 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), repeat_limit:
     rows = rows.withColumn("ahead", F.coalesce(F.sum("spot_size").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     cuts = rows.where("ahead < budget and ahead + spot_size >= budget").select("p_source", "p_block", F.col("spot").alias("cut"), ((F.col("budget") - F.col("ahead")) / F.col("n")).cast("long").alias("cut_words"))
 
-    plan = laid.join(ends, F.coalesce("source", F.lit("\u0000null")) == F.col("end_source")).join(cuts, same("source", "p_source") & (F.col("block") == F.col("p_block")), "left")
+    plan = laid.join(ends, named == F.col("end_source")).join(cuts, same("source", "p_source") & (F.col("block") == F.col("p_block")), "left")
     draws = F.expr("transform(sequence(0L, passes), p -> named_struct('pass', p, 'shard', size(filter(ends, e -> e <= p * n_blocks + rank)), 'last', p = passes))")
     drawn = F.expr("filter(draws, d -> not d.last or last)")
     plan = plan.withColumn("draws", draws).select(F.col("source").alias("plan_source"), F.col("block").alias("plan_block"), "source_size", "target", drawn.alias("plan_draws"), "budget", "cut", "cut_words")
