@@ -2,7 +2,7 @@
 
 For each language the model has log frequencies of words and of character n-grams (n = 4 to 1, words padded with spaces). A known word
 scores by its log frequency in every language. For an unseen word the longest n of which an n-gram is known decides: its known n-grams of
-that length score, averaged, less a penalty for each step down. The sums over a text give the language and, as a softmax, its score.
+that length score, averaged and weakened by a factor for each step down. The sums over a text give the language and, as a softmax, its score.
 """
 
 from __future__ import annotations

@@ -38,7 +38,7 @@ def text_features(text: str | None) -> set[str]:
 class Chain:
     categories: list[str]
     features: dict[str, int]
-    #: One row a category: bias, weights of the features, weights of the earlier categories' log odds (0 for the rest).
+    #: One row a category: bias, weights of the features, weights of the earlier categories' probabilities (0 for the rest).
     weights: np.ndarray
 
 

@@ -60,6 +60,12 @@ def test_mix_of_odd_rows(odd, clashing, empty):
     assert mix(with_size(empty)).count() == 0
 
 
+def test_sources_of_odd_names(spark):
+    names = [None, "", "=", "\u0000null", "null", "a"]
+    docs = spark.createDataFrame([(i, "one two three", names[i % 6]) for i in range(120)], "doc_id long, text string, source string")
+    check([(r.doc_id, r.text, None, r.source) for r in docs.collect()], mix(with_size(docs), shards=4, blocks=8), 4)
+
+
 def test_reruns_agree(odd):
     a, b = (sorted(map(str, mix(with_size(odd.repartition(n))).select("row.doc_id", "draws").collect())) for n in (2, 5))
     assert a == b

@@ -44,6 +44,56 @@ def test_language_of_odd_tables(odd, clashing, empty):
     assert {r.lang_pred for r in language.predict(odd, language.fit(empty)).collect()} == {"und"}
 
 
+def test_scores_against_counting_by_hand(spark):
+    """The whole model recomputed from the training texts, and every text scored word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    options = {"min_word_count": 2, "min_gram_count": 3, "smoothing": 0.5, "backoff": 0.7}
+    rows = docs.select("text", "lang", language.is_held_out(F.col("doc_id")).alias("held")).collect()
+    find = re.compile(r"[^\W\d_]+").findall
+    langs = sorted({r.lang for r in rows if r.lang and r.text and not r.held})
+    words = {x: Counter() for x in langs}
+    for r in rows:
+        if r.lang and r.text and not r.held:
+            words[r.lang].update(find(r.text.lower()))
+
+    def log_frequencies(counts, least):
+        known = {w for c in counts.values() for w, n in c.items() if n >= least}
+        kept = {x: {w: n for w, n in c.items() if n >= least} for x, c in counts.items()}
+        return {w: np.array([np.log((kept[x].get(w, 0) + 0.5) / (sum(kept[x].values()) + 0.5 * max(1, len(known)))) for x in langs]) for w in known}
+
+    tables = {0: log_frequencies(words, 2)}
+    for k in language.ORDERS:
+        grams = {x: Counter() for x in langs}
+        for x, c in words.items():
+            for w, n in c.items():
+                for i in range(len(w) + 3 - k):
+                    grams[x][f" {w} "[i : i + k]] += n
+        tables[k] = log_frequencies(grams, 3)
+
+    def by_hand(text):
+        found = find((text or "").lower())
+        if not found:
+            return "und", 0.0
+        total = np.zeros(len(langs))
+        for w in found:
+            if w in tables[0]:
+                total += tables[0][w]
+                continue
+            for step, k in enumerate(language.ORDERS):
+                known = [tables[k][g] for i in range(len(w) + 3 - k) if (g := f" {w} "[i : i + k]) in tables[k]]
+                if known:
+                    total += np.mean([g - g.max() for g in known], axis=0) * 0.7**step
+                    break
+        share = np.exp((total - total.max()) / np.sqrt(len(found)))
+        return langs[int(np.argmax(total))], share.max() / share.sum()
+
+    got = language.predict(docs.select("text"), language.fit(docs, **options)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = by_hand(r.row.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9)
+
+
 # ------------------------------------------------------------------ quality
 
 
@@ -124,6 +174,23 @@ def test_toxic_documents_on_held_out_labels(spark):
     assert np.mean(bad) >= 0.8 and np.mean(good) <= 0.005
 
 
+def test_probabilities_against_brute_force(spark):
+    """Each document's features, listed one by one, through the chain's formula."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    names = ["low_quality", "toxic"]
+    chain = toxicity.fit(docs, labels.select("doc_id", (F.col("quality") == 0).cast("int").alias("low_quality"), "toxic"), names)
+    assert len(chain.features) > 3
+    for r in toxicity.predict(docs.select("text"), chain).collect():
+        held, earlier = set(), []
+        for w in re.split(r"[\W\d_]+", (r.row.text or "").lower()):
+            held |= {w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)} & chain.features.keys()
+        for c, name in enumerate(names):
+            row = chain.weights[c]
+            z = row[0] + sum(row[1 + chain.features[f]] for f in held) + sum(p * row[1 + len(chain.features) + i] for i, p in enumerate(earlier))
+            earlier.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            assert r.toxicity[name] == pytest.approx(earlier[-1], abs=1e-9)
+
+
 def test_toxicity_of_odd_tables(odd, clashing, empty, labels):
     chain = toxicity.fit(odd, labels, ["quality", "toxic"], min_docs=1)
     got = toxicity.predict(clashing, chain).collect()

@@ -130,6 +130,34 @@ def test_an_announcing_line_inside_a_quotation(spark):
     assert [p.turn for p in got[3].path] == [0, 1, 2, 3]
 
 
+def test_answers_between_quoted_lines(spark):
+    rows = [
+        (1, 0, "u", "one\n\ntwo"),
+        (1, 1, "a", "> one\nfirst answer\n> two\nsecond answer"),
+        (1, 2, "u", ">> one\n> first answer\nwhy"),
+        (1, 3, "a", "> second answer\nwhat"),
+    ]
+    got = {r.turn: r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1].text == "first answer\n\nsecond answer"
+    assert {t: r.parent.turn if r.parent else None for t, r in got.items()} == {0: None, 1: 0, 2: 1, 3: 1}
+    assert {t: (r.n_quoted, r.n_found) for t, r in got.items()} == {0: (0, 0), 1: (2, 2), 2: (2, 2), 3: (1, 1)}
+
+
+def test_long_texts_and_other_columns(spark):
+    long = "\n\n".join(f"paragraph {i} of many" for i in range(20_000))
+    rows = [(1, 0, "u", long), (1, 1, "a", "> paragraph 19999 of many\nyes"), (2, 0, "u", "\n".join("> " + x for x in long.split("\n")) + "\nno")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = df.select("*", *[F.lit(1).alias(c) for c in ("hash", "level", "run", "lines", "copy", "root", "node", "parent", "thread_id", "g", "at", "best", "of_hash", "heavy_key")])
+    got = {(r.conv_id, r.turn): r for r in link_quotes(clash).collect()}
+    assert tuple(got[1, 1].parent) == (1, 0) and tuple(got[2, 0].parent) == (1, 0) and got[1, 0].text == long and got[2, 0].text == "no"
+
+
+def test_a_passage_that_most_messages_quote(spark):
+    rows = [(c, t, "u", "> the very common words\nme too" if t else "the very common words") for c in range(40) for t in range(8)]
+    got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 320 and all((r.turn == 0) == (r.parent is None) for r in got) and all(r.parent.turn == 0 and r.parent.conv_id == r.conv_id for r in got if r.turn)
+
+
 def test_a_deep_reply_chain(spark):
     rows = [(7, 0, "u", "start 0")] + [(7, i, "u", f"> start {i - 1}\nstart {i}") for i in range(1, 40)]
     got = link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("turn = 39").first()
@@ -165,6 +193,36 @@ def test_plan_keeps_like_sizes_together(spark):
     assert plan["s0"].merge == plan["s5"].merge != plan["s6"].merge and plan["s6"].merge is not None
 
 
+def test_of_commits_at_the_same_time_one_wins(spark, odd, tmp_path):
+    import threading
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"file://{tmp_path}/store"
+    shards.append(odd, root)
+    live, gate = shards.entries(spark, root), threading.Barrier(4)
+    real = shards.publish
+
+    def held_back(*a):  # every writer has written its list before one commits
+        gate.wait()
+        return real(*a)
+
+    def write(i):
+        try:
+            return shards.commit(spark, root, live.withColumn("rows", F.lit(100 + i).cast("long")), 1)
+        except shards.Conflict:
+            return None
+
+    shards.publish = held_back
+    try:
+        with ThreadPoolExecutor(4) as pool:
+            got = list(pool.map(write, range(4)))
+    finally:
+        shards.publish = real
+    assert sorted(got, key=str) == [2, None, None, None]
+    assert {r.rows for r in shards.entries(spark, root).collect()} == {100 + got.index(2)}
+    assert len([p for p in (tmp_path / "store" / "lists").iterdir()]) == 2
+
+
 def test_a_lost_race_is_a_conflict(spark, odd, tmp_path):
     root = f"file://{tmp_path}/store"
     shards.append(odd, root)

@@ -31,6 +31,11 @@ def test_chunks_give_the_ids_of_whole_texts(encoder):
         assert ids.tolist() == whole(encoder, text), repr(text)
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        ChunkEncoder(vocabulary_path("word_bpe_49k.json"))
+
+
 def test_memory_is_bounded(encoder, monkeypatch):
     from tablesync.llm import tokens
 
@@ -86,6 +91,11 @@ def test_files_hold_all_documents_in_order(spark, odd, encoder, tmp_path):
     assert not any(want.values())
 
 
+def test_files_of_clashing_columns(spark, clashing, tmp_path):
+    write_token_files(clashing, f"file://{tmp_path}/files", shards=2)
+    assert read_token_files(spark, f"file://{tmp_path}/files").count() == len(odd_rows())
+
+
 def test_files_of_an_empty_table(spark, empty, tmp_path):
     write_token_files(empty, f"file://{tmp_path}/files")
     assert read_token_files(spark, f"file://{tmp_path}/files").count() == 0
