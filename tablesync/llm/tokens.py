@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory at about 200 MB.
-MAX_CHUNKS = 1_200_000
+#: Chunks that a worker remembers before it starts anew; bounds its memory at about 300 MB, buffers included.
+MAX_CHUNKS = 800_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The byte-level pre-tokenizer's pattern: a fixed value.
@@ -194,7 +194,7 @@ class ChunkEncoder:
         return out
 
 
-def batches(texts: pa.Array, most_bytes: int = 4_000_000):
+def batches(texts: pa.Array, most_bytes: int = 2_000_000):
     """Index ranges of texts of about most_bytes bytes, one text at least."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
     start = size = 0
