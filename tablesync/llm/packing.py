@@ -124,17 +124,20 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 0, max_
             return out
 
         end, size = np.array([end_id], dtype=np.uint32), 0
-        for part in parts:
-            ids, texts = part.column("doc_id").to_pylist(), part.column("text")
-            for a, b in batches(texts):
-                for doc_id, doc in zip(ids[a:b], encoder.encode(texts.slice(a, b - a))):
-                    held.append((doc_id, np.concatenate([doc, end])))
-                    size += len(doc) + 1
-                    if size >= max(chunk_ids, 4 * max_len):
-                        yield emit(last=False)
-                        size = sum(len(x) for _, x in held) - packed
-        if held:
-            yield emit(last=True)
+        try:
+            for part in parts:
+                ids, texts = part.column("doc_id").to_pylist(), part.column("text")
+                for a, b in batches(texts):
+                    for doc_id, doc in zip(ids[a:b], encoder.encode(texts.slice(a, b - a))):
+                        held.append((doc_id, np.concatenate([doc, end])))
+                        size += len(doc) + 1
+                        if size >= max(chunk_ids, 4 * max_len):
+                            yield emit(last=False)
+                            size = sum(len(x) for _, x in held) - packed
+            if held:
+                yield emit(last=True)
+        finally:
+            encoder.rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory at about 300 MB, buffers included.
-MAX_CHUNKS = 800_000
+#: Chunks that a worker remembers before it starts anew; bounds its memory at about 270 MB, buffers included.
+MAX_CHUNKS = 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The byte-level pre-tokenizer's pattern: a fixed value.
@@ -85,6 +85,11 @@ class ChunkEncoder:
         self.memo: dict[str, int] = {}
         self.ids, self.stops, self.n_ids = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 14, dtype=np.int64), 0
 
+    def rest(self) -> None:
+        """Let go of what was learned: Spark keeps idle workers, and they would hold it beside those of other stages."""
+        self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
