@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .language import op8_language_id
+from .lines import ORACLE as OP13_SQL
+from .lines import op13_line_dedup
 from .mixing import op5_mixing
 from .neighbours import op7_one_bit_search
 from .packing import op6_packing
@@ -12,6 +14,7 @@ from .quotes import op3_quotation_linking
 from .shards import ORACLE as OP10_SQL
 from .shards import op10_compaction
 from .simhash import op2_simhash
+from .spelling import op11_spelling
 from .token_files import op4_token_files
 from .toxicity import op1_toxicity
 
@@ -26,6 +29,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_compaction": op10_compaction,
+    "op11_spelling": op11_spelling,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_quotation_linking": OP3_SQL, "op10_compaction": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quotation_linking": OP3_SQL, "op10_compaction": OP10_SQL, "op13_line_dedup": OP13_SQL}
