@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .language import op8_language_id
 from .lines import ORACLE as OP13_SQL
 from .lines import op13_line_dedup
@@ -30,6 +31,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_compaction": op10_compaction,
     "op11_spelling": op11_spelling,
+    "op12_alignment": op12_alignment,
     "op13_line_dedup": op13_line_dedup,
 }
 

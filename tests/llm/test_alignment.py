@@ -1,0 +1,108 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from tablesync.llm.alignment import Aligner, align, shared_ends
+from tablesync.llm.queries import QUERIES
+from tablesync.llm.tokens import vocabulary_path
+
+from .conftest import odd_rows
+
+
+@pytest.fixture(scope="module")
+def aligner():
+    return Aligner(vocabulary_path(), vocabulary_path("piece_bpe_32k.model"))
+
+
+def by_hand(aligner, text):
+    """(a ids, b ids, groups, linked pairs of occurrences) of a whole text, byte by byte; None without tokens."""
+    if not text:
+        return None
+    a = aligner.byte_bpe.encode(" " + text, add_special_tokens=False).ids
+    b = aligner.piece_bpe.encode(text)
+    raw = (" " + text).encode()
+    if b"".join(aligner.a_bytes[i] for i in a) != raw or b"".join(aligner.b_bytes[i] for i in b) != raw:
+        return None
+    of_a = [i for i, t in enumerate(a) for _ in aligner.a_bytes[t]]
+    of_b = [i for i, t in enumerate(b) for _ in aligner.b_bytes[t]]
+    ends = {k for k in range(len(raw)) if (k + 1 == len(raw) or of_a[k] != of_a[k + 1]) and (k + 1 == len(raw) or of_b[k] != of_b[k + 1])}
+    groups, ga, gb = [], [], []
+    for k in range(len(raw)):
+        ga += [of_a[k]] if of_a[k] not in ga else []
+        gb += [of_b[k]] if of_b[k] not in gb else []
+        if k in ends:
+            groups.append(",".join(str(a[i]) for i in ga) + "|" + ",".join(str(b[i]) for i in gb))
+            ga, gb = [], []
+    return a, b, groups, [(a[x], b[y]) for x, y in sorted(set(zip(of_a, of_b)))]
+
+
+def expected(aligner, rows):
+    found = [by_hand(aligner, text) for _, text in rows]
+    docs = Counter(p for f in found if f for p in set(f[3]))
+    most = defaultdict(int)
+    for (a, _), n in docs.items():
+        most[a] = max(most[a], n)
+    for (doc_id, _), f in zip(rows, found):
+        if f is None:
+            yield doc_id, 0, 0, 0, 0, 0, 0, ""
+        else:
+            a, b, groups, links = f
+            yield doc_id, len(a), len(b), len(groups), len(links), sum(docs[p] == most[p[0]] for p in links), sum(docs[p] for p in links), hashlib.sha256(";".join(groups).encode()).hexdigest()
+
+
+def order(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_shared_ends_equal_the_intersection():
+    rng = random.Random(5)
+    for n in range(400):
+        top = rng.randint(1, 300)
+        a, b = (np.array(sorted({*rng.sample(range(1, top + 1), rng.randint(0, top) // rng.choice([1, 1, 2, 9])), top})) for _ in range(2))
+        assert a[shared_ends(a, b)].tolist() == sorted({*a.tolist()} & {*b.tolist()})
+    assert shared_ends(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)).tolist() == []
+
+
+def test_groups_of_whole_texts(aligner):
+    rng = random.Random(9)
+    bits = [" ", "  ", "\n", " \n", "\t", "a", "Bc", "d.", "1999", "'s", "é", "　", "<|endoftext|>", "<s>", "</s>", "<0x41>", " ", "日本", "▁", "\U0001f600", "connection", "\0"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        want = by_hand(aligner, text)
+        assert aligner.groups(text) == (";".join(want[2]) if want else ""), repr(text)
+
+
+def test_memory_starts_anew(spark, aligner, monkeypatch):
+    from tablesync.llm import alignment
+
+    monkeypatch.setattr(alignment, "MAX_CHUNKS", 3)
+    rows = [(i, f"some words of text {i} and {i % 3}") for i in range(40)]
+    got = align(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), block_pairs=50).collect()
+    assert order(got) == order(expected(aligner, rows))
+
+
+def test_odd_rows(aligner, odd, clashing, empty):
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    for docs in (odd, clashing):
+        assert order(align(docs).collect()) == order(expected(aligner, rows))
+    assert align(empty).collect() == []
+
+
+def test_blocks_share_counts(spark, aligner):
+    """Pairs are counted over all blocks and partitions, ties are all best, and a text with a literal piece mark has no tokens."""
+    rng = random.Random(2)
+    words = ["alpha", "beta", "Gamma!", "x" * 30, "naïve", "▁"]
+    rows = [(i, " ".join(rng.choice(words[: 5 + (i % 7 == 0)]) for _ in range(rng.randint(0, 20)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert order(align(docs, block_pairs=40).collect()) == order(expected(aligner, rows))
+
+
+def test_registered_query(spark, aligner):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = QUERIES["op12_alignment"](spark, sf)
+    assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    assert order(got.collect()) == order(expected(aligner, rows))
