@@ -1,6 +1,6 @@
 """Backup chains: parent links, grouping, member order, restore prefixes, compatibility.
 
-Links are followed by pointer doubling: each round joins every open path with the path of where it ends, so the rounds grow with the
+Links are followed by pointer doubling: each round joins every open link with the link of where it ends, so the rounds grow with the
 logarithm of the longest chain. Manifests are small beside the data they describe; each round's state is checkpointed.
 """
 
@@ -17,32 +17,48 @@ def is_base():
     return (base == "") | (base == F.col("id"))
 
 
+def _parents(manifest: DataFrame) -> DataFrame:
+    """(id, up, base): up is the parent's id, null for a base and where none is given."""
+    return manifest.select("id", F.when(is_base(), None).otherwise(F.nullif(F.col("parent_id"), F.lit(""))).alias("up"), is_base().alias("base"))
+
+
 def resolve(manifest: DataFrame) -> DataFrame:
-    """(id, path, status, broken_at) for every dump: path lists ids from the base to the dump.
+    """(id, status, broken_at, depth) for every dump: depth is the number of links below it, down to the base or to where the chain breaks.
 
-    status: 'ok', 'missing parent' (broken_at names it; path is what was walked), 'no parent' (an increment without a parent id) or 'cycle'.
+    status: 'ok', 'missing parent' (broken_at names it), 'no parent' (an increment without a parent id) or 'cycle'.
     """
-    rows = manifest.select("id", F.when(is_base(), None).otherwise(F.nullif(F.col("parent_id"), F.lit(""))).alias("up"), is_base().alias("base"))
+    rows = _parents(manifest)
     ids = rows.select(F.col("id").alias("of"), F.lit(True).alias("known"))
     start = rows.join(ids, F.col("up") == F.col("of"), "left")
     status = F.when(F.col("base"), "ok").when(F.col("up").isNull(), "no parent").when(F.col("known").isNull(), "missing parent")
-    state = cut(start.select("id", F.array("id").alias("path"), F.when(status.isNull(), F.col("up")).alias("up"), status.alias("status"), F.when(status == "missing parent", F.col("up")).alias("broken_at")))
+    state = cut(start.select("id", F.when(status.isNull(), F.col("up")).alias("up"), status.isNull().cast("long").alias("depth"), status.alias("status"), F.when(status == "missing parent", F.col("up")).alias("broken_at")))
     still = None
     while (open_ := state.where("up is not null").count()) and open_ != still:
         still = open_
-        above = state.select(F.col("id").alias("of"), F.col("path").alias("head"), F.col("up").alias("n_up"), F.col("status").alias("n_status"), F.col("broken_at").alias("n_broken"))
+        above = state.select(F.col("id").alias("of"), F.col("up").alias("n_up"), F.col("depth").alias("n_depth"), F.col("status").alias("n_status"), F.col("broken_at").alias("n_broken"))
         joined = state.join(above, F.col("up") == F.col("of"), "left")
         moved = F.col("of").isNotNull()
         pick = lambda new, old: F.when(moved, F.col(new)).otherwise(F.col(old)).alias(old)
-        state = cut(joined.select("id", F.when(moved, F.concat("head", "path")).otherwise(F.col("path")).alias("path"), pick("n_up", "up"), pick("n_status", "status"), pick("n_broken", "broken_at")))
-    return state.select("id", F.when(F.col("status").isNull(), F.array("id")).otherwise(F.col("path")).alias("path"), F.coalesce("status", F.lit("cycle")).alias("status"), "broken_at")
+        state = cut(joined.select("id", pick("n_up", "up"), (F.col("depth") + F.coalesce("n_depth", F.lit(0))).alias("depth"), pick("n_status", "status"), pick("n_broken", "broken_at")))
+    return state.select("id", F.coalesce("status", F.lit("cycle")).alias("status"), "broken_at", F.when(F.col("status").isNotNull(), F.col("depth")).alias("depth"))
+
 
+def links(manifest: DataFrame, targets: list[str] | None = None, resolved: DataFrame | None = None) -> DataFrame:
+    """(target, link_no, id): the dumps that restore each target in order, 0 for the base. Broken targets have none.
 
-def links_of(resolved: DataFrame, targets: list[str] | None = None) -> DataFrame:
-    """(target, link_no, id): the dumps that restore each target in order, 0 for the base. Broken targets have none."""
-    good = resolved.where("status = 'ok'")
-    good = good.where(F.col("id").isin(*targets)) if targets else good
-    return good.select(F.col("id").alias("target"), F.posexplode("path").alias("link_no", "id"))
+    A round doubles how far back each target sees: what it has seen so far is joined once with the links of that length. So a chain of n
+    links takes log2(n) rounds, and named targets take their own chains' rows alone beside the links. resolved: resolve(manifest).
+    """
+    good = (resolve(manifest) if resolved is None else resolved).where("status = 'ok'").select(F.col("id").alias("target"), "depth")
+    good = cut(good.where(F.col("target").isin(*targets)) if targets is not None else good)
+    seen, jump, length, still = good.select("target", F.col("target").alias("id"), F.lit(0).cast("long").alias("back")), _parents(manifest).where("up is not null").select(F.col("id").alias("of"), "up"), 1, None
+    jump = cut(jump)
+    while (open_ := jump.count()) and open_ != still:  # links that never end are those of cycles
+        still = open_
+        seen = cut(seen.unionByName(seen.join(jump, F.col("id") == F.col("of")).select("target", F.col("up").alias("id"), (F.col("back") + length).alias("back"))))
+        jump = cut(jump.join(jump.select(F.col("of").alias("n_of"), F.col("up").alias("n_up")), F.col("up") == F.col("n_of")).select("of", F.col("n_up").alias("up")))
+        length *= 2
+    return seen.join(good.withColumnRenamed("target", "g_target"), F.col("target") == F.col("g_target")).select("target", (F.col("depth") - F.col("back")).cast("int").alias("link_no"), "id")
 
 
 def up_to(links: DataFrame, last: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import assignment_ordinal, assignment_value, marker_offset, rotate_target, table_name
 
-_OPERATION = r"^### (INSERT INTO|UPDATE|DELETE FROM)\s+(.*)$"
+OPERATION = r"^### (INSERT INTO|UPDATE|DELETE FROM)\s+(.*)$"
 
 
 def transcript_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def transcript_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     split = Window.partitionBy("path", "split")
     so_far, behind = split.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0), split.orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
-    op = F.when(F.rlike("line", F.lit(_OPERATION)), F.regexp_extract("line", _OPERATION, 1))
+    op = F.when(F.rlike("line", F.lit(OPERATION)), F.regexp_extract("line", OPERATION, 1))
     marked = lines.withColumn("op_text", op).withColumn("marker", marker_offset(F.col("line"))).withColumn("rotate", rotate_target(F.col("line")))
     section = F.when(F.rlike("line", F.lit(r"^### (SET|WHERE)\s*$")), F.regexp_extract("line", r"^### (SET|WHERE)", 1)).when(F.col("op_text").isNotNull(), F.lit(""))
     marked = marked.withColumn("part", section)
@@ -45,7 +45,7 @@ def transcript_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     heads = carried.where("op_text is not null").select(
         F.col("path").alias("h_path"), F.col("block").alias("h_block"), F.col("markers").alias("h_markers"), "file", F.col("block").alias("seq"),
         F.when(F.col("op_text") == "INSERT INTO", "insert").when(F.col("op_text") == "UPDATE", "update").otherwise("delete").alias("op"),
-        table_name(F.regexp_extract("line", _OPERATION, 2)).alias("tbl"), F.coalesce("end", F.col("start") + 1).alias("pos"),
+        table_name(F.regexp_extract("line", OPERATION, 2)).alias("tbl"), F.coalesce("end", F.col("start") + 1).alias("pos"),
     )
     body = F.regexp_replace("line", r"^###\s*", "")
     cells = carried.where(F.startswith("line", F.lit("###")) & F.col("op_text").isNull()).select("path", "block", "markers", "section", assignment_ordinal(body).alias("n"), assignment_value(body).alias("v")).where("n is not null")

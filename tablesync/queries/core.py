@@ -130,7 +130,7 @@ _WALK = """walk AS (SELECT id AS target, id AS cur, 0 AS back FROM manifest
 
 @query(f"WITH RECURSIVE {MANIFEST_SQL}, {_WALK} SELECT target, CAST(max(back) OVER (PARTITION BY target) - back AS INTEGER) AS link_no, cur AS id FROM walk")
 def resolve_chain(spark, sf):
-    return chains.links_of(chains.resolve(fx.manifest(spark, sf)))
+    return chains.links(fx.manifest(spark, sf))
 
 
 @query(f"""WITH RECURSIVE {MANIFEST_SQL}, broken AS (SELECT id, base_id, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 101 = 0 AND parent_id <> '' THEN id ELSE parent_id END AS parent_id
@@ -150,7 +150,7 @@ def restore_prefix(spark, sf):
     """Every chain cut behind its last dump's parent; a base alone stays."""
     m = fx.manifest(spark, sf)
     stops = m.select(F.col("id").alias("target"), F.coalesce(F.nullif(F.col("parent_id"), F.lit("")), F.col("id")).alias("last"))
-    return chains.up_to_each(chains.links_of(chains.resolve(m)), stops)
+    return chains.up_to_each(chains.links(m), stops)
 
 
 @query(f"""WITH {MANIFEST_SQL} SELECT m.id, m.base_id, CASE WHEN m.driver <> b.driver THEN 'driver' ELSE 'profile' END AS reason FROM manifest m JOIN manifest b ON m.base_id = b.id
@@ -280,6 +280,20 @@ def dump_sizes(spark, sf):
     return verify.dump_sums(table(spark, sf, "documents").select(F.col("source").alias("id"), F.col("doc_id").alias("part"), F.col("text").alias("content")))
 
 
+@query("""WITH changed AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 997 = 3), gone AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 1009 = 5 AND o_orderkey % 997 <> 3),
+  extra AS (SELECT -o_orderkey AS k FROM orders WHERE o_orderkey % 1013 = 7), was AS (SELECT o_orderkey AS k FROM orders),
+  now AS (SELECT k FROM was WHERE k NOT IN (SELECT k FROM gone) UNION ALL SELECT k FROM extra),
+  hit AS (SELECT DISTINCT substr(sha256(CAST(k AS VARCHAR)), 1, 3) AS block FROM (SELECT k FROM changed UNION ALL SELECT k FROM gone UNION ALL SELECT k FROM extra)),
+  sizes AS (SELECT substr(sha256(CAST(k AS VARCHAR)), 1, 3) AS block, sum(a) AS n_recorded, sum(b) AS n_found FROM (SELECT k, 1 AS a, 0 AS b FROM was UNION ALL SELECT k, 0, 1 FROM now) GROUP BY 1)
+SELECT block, CAST(n_recorded AS BIGINT) AS n_recorded, CAST(n_found AS BIGINT) AS n_found FROM sizes WHERE block IN (SELECT block FROM hit)""")
+def verify_blocks(spark, sf):
+    """The blocks of orders in which a copy with rows changed, missing and added differs."""
+    orders, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    copy = orders.where((k % 1009 != 5) | (k % 997 == 3)).withColumn("o_totalprice", F.when(k % 997 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    copy = copy.unionByName(orders.where(k % 1013 == 7).withColumn("o_orderkey", -k))
+    return verify.differing_blocks(*[verify.content_blocks(df, ["o_orderkey"]) for df in (orders, copy)])
+
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 
 
@@ -340,8 +354,14 @@ def _catalog(spark, sf, native: list[str]) -> DataFrame:
     return table(spark, sf, "events").select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("tbl"), n.cast("int").alias("ordinal"), F.concat(F.lit("c"), n.cast("string")).alias("col"), kind.alias("data_type"), wide.alias("column_type"), (n % 4 != 0).alias("nullable"), (n % 3 * 6).cast("int").alias("precision"), (n % 3).cast("int").alias("scale"))
 
 
-def _case(column: str, rules: dict[str, str]) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in rules.items()) + " END"
+# The rules once more, as SQL written out by hand: fixed values.
+_PG_KIND = """CASE dt WHEN 'integer' THEN 'int' WHEN 'smallint' THEN 'int' WHEN 'bigint' THEN 'bigint' WHEN 'text' THEN 'text' WHEN 'character varying' THEN 'varchar' WHEN 'boolean' THEN 'boolean'
+  WHEN 'numeric' THEN 'numeric' WHEN 'decimal' THEN 'numeric' WHEN 'uuid' THEN 'uuid' WHEN 'timestamp with time zone' THEN 'timestamptz' WHEN 'json' THEN 'json' WHEN 'jsonb' THEN 'json' END"""
+_MY_KIND = """CASE WHEN dt IN ('int', 'tinyint') THEN 'int' WHEN dt = 'bigint' THEN 'bigint' WHEN dt IN ('text', 'mediumtext', 'char') THEN 'text' WHEN dt = 'varchar' THEN 'varchar' WHEN dt = 'decimal' THEN 'numeric'
+  WHEN dt IN ('datetime', 'timestamp') THEN 'timestamptz' WHEN dt = 'json' THEN 'json' END"""
+_PG_NAME = """CASE canonical WHEN 'int' THEN 'integer' WHEN 'timestamptz' THEN 'timestamptz' WHEN 'json' THEN 'jsonb' ELSE canonical END"""
+_MY_NAME = """CASE canonical WHEN 'int' THEN 'INT' WHEN 'bigint' THEN 'BIGINT' WHEN 'text' THEN 'TEXT' WHEN 'varchar' THEN 'VARCHAR' WHEN 'boolean' THEN 'TINYINT(1)' WHEN 'numeric' THEN 'DECIMAL' WHEN 'uuid' THEN 'CHAR(36)'
+  WHEN 'timestamptz' THEN 'TIMESTAMP' WHEN 'json' THEN 'JSON' END"""
 
 
 def _listed(native: list[str]) -> str:
@@ -353,15 +373,15 @@ WHEN canonical = 'numeric' AND precision > 0 THEN name || '(' || precision || ',
 
 
 @query(f"""WITH c AS (SELECT 'c' || event_id AS col, lower({_listed(_PG)}) AS dt, event_id % 4 <> 0 AS nullable, event_id % 3 * 6 AS precision, event_id % 3 AS scale FROM events),
-  k AS (SELECT *, {_case('dt', types.FROM_POSTGRES)} AS canonical FROM c), t AS (SELECT *, {_case('canonical', types.TO_MYSQL)} AS name FROM k)
+  k AS (SELECT *, {_PG_KIND} AS canonical FROM c), t AS (SELECT *, {_MY_NAME} AS name FROM k)
 SELECT col, canonical, {_SIZED} AS native FROM t""")
 def type_plan(spark, sf):
     return types.type_plan(_catalog(spark, sf, _PG), "postgres", "mysql").select("col", "canonical", "native")
 
 
 @query(f"""WITH c AS (SELECT event_id, lower({_listed(_MY)}) AS dt, 'c' || event_id AS col, event_id % 4 <> 0 AS nullable, event_id % 3 * 6 AS precision, event_id % 3 AS scale FROM events),
-  k AS (SELECT *, CASE WHEN dt = 'tinyint' AND event_id % 2 = 0 THEN 'boolean' WHEN dt = 'char' AND event_id % 2 = 0 THEN 'uuid' ELSE {_case('dt', types.FROM_MYSQL)} END AS canonical FROM c),
-  t AS (SELECT *, {_case('canonical', types.TO_POSTGRES)} AS name FROM k) SELECT col, canonical, {_SIZED} AS native FROM t""")
+  k AS (SELECT *, CASE WHEN dt = 'tinyint' AND event_id % 2 = 0 THEN 'boolean' WHEN dt = 'char' AND event_id % 2 = 0 THEN 'uuid' ELSE {_MY_KIND} END AS canonical FROM c),
+  t AS (SELECT *, {_PG_NAME} AS name FROM k) SELECT col, canonical, {_SIZED} AS native FROM t""")
 def type_plan_reverse(spark, sf):
     return types.type_plan(_catalog(spark, sf, _MY), "mariadb", "postgres").select("col", "canonical", "native")
 
@@ -386,6 +406,31 @@ def canonical_roundtrip(spark, sf):
     return rows_io.load_rows(spark, path)["orders"].withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+@query("""SELECT 'orders' AS tbl, CAST(o_orderkey AS VARCHAR) AS k, o_orderstatus AS text, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount FROM orders
+UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_mktsegment, CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) FROM customer UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), n_name, NULL FROM nation""")
+def variant_rows(spark, sf):
+    """Three tables as canonical rows, read in one scan as variants; a row's own table says which of its columns are taken."""
+    path = scratch(spark, "variants")
+    ready = {"orders": ["o_totalprice"], "customer": ["c_acctbal"], "nation": []}
+    rows_io.write_rows({n: table(spark, sf, n).withColumns({c: fx.money(c) for c in cents} | ({"o_orderdate": F.col("o_orderdate").cast("timestamp")} if n == "orders" else {})) for n, cents in ready.items()}, path)
+    rows = rows_io.load_variants(spark, path)
+
+    def pick(kind: str, **paths: str):
+        return F.coalesce(*[F.when(F.col("tbl") == n, F.variant_get("row", f"$.{c}", kind)) for n, c in paths.items()])
+
+    return rows.select("tbl", pick("string", orders="o_orderkey", customer="c_custkey", nation="n_nationkey").alias("k"), pick("string", orders="o_orderstatus", customer="c_mktsegment", nation="n_name").alias("text"), pick("decimal(18,2)", orders="o_totalprice", customer="c_acctbal").cast("string").alias("amount"))
+
+
+@query(f"WITH {CHANGES_SQL} SELECT seq, op, CAST(id AS VARCHAR) AS key_id FROM changes WHERE seq > (SELECT max(event_id) // 3 FROM events) AND seq <= (SELECT max(event_id) // 2 FROM events)")
+def bounded_log(spark, sf):
+    """A log laid out by position, of which a stretch is read."""
+    log, path = fx.change_log(spark, sf), scratch(spark, "log")
+    last = int(log.agg(F.max("pos")).first()[0] or 1) - 1
+    span = max(1, last // 64)
+    rows_io.write_log(log, path, span)
+    return rows_io.read_log(spark, path, span, last // 3, last // 2).select("seq", "op", F.element_at("key", "id").alias("key_id"))
+
+
 @query("SELECT doc_id, md5(text) AS body_md5, length(text) AS n_chars FROM documents")
 def binary_text(spark, sf):
     """Texts as binary columns, decoded before they are encoded as rows."""
@@ -423,22 +468,14 @@ def change_log_roundtrip(spark, sf):
 CASE WHEN op = 'delete' THEN NULL ELSE segment END AS segment, CASE WHEN op = 'delete' OR NOT has_balance THEN NULL ELSE CAST(balance AS VARCHAR) END AS balance FROM changes""")
 def transcript_changes(spark, sf):
     """The change log rendered as transcripts, one per 1,000 events, and decoded again."""
-    e, n = fx.change_log(spark, sf), F.col("seq") - 1
-    lit = lambda name: F.coalesce(F.concat(F.lit("'"), F.try_element_at("values", F.lit(name)), F.lit("' /* meta */")), F.lit("NULL"))
-    cells = F.array(F.concat(F.lit("###   @1="), F.element_at("key", "id")), F.concat(F.lit("###   @2="), lit("segment")), F.concat(F.lit("###   @3="), lit("balance")))
-    head = F.when(F.col("op") == "insert", "### INSERT INTO `db`.`accounts`").when(F.col("op") == "update", "### UPDATE `db`.`accounts`").otherwise("### DELETE FROM `db`.`accounts`")
-    where, set_ = F.array(F.lit("### WHERE")), F.array(F.lit("### SET"))
-    block = F.when(F.col("op") == "insert", F.concat(F.array(head), set_, cells)).when(F.col("op") == "update", F.concat(F.array(head), where, cells, set_, cells)).otherwise(F.concat(F.array(head), where, cells))
-    number = F.floor(n / 1000).cast("long")
-    rotate = F.when(n % 1000 == 0, F.array(F.concat(F.lit("#700101 Rotate to bin."), F.lpad(number.cast("string"), 6, "0"), F.lit("  pos: 4")))).otherwise(F.array().cast("array<string>"))
-    close = F.array(F.concat(F.lit("# at "), (n % 1000 * 100 + 100).cast("string")))
-    lines = e.select(number.alias("no"), "seq", F.posexplode(F.concat(rotate, F.array(F.concat(F.lit("# at "), (n % 1000 * 100).cast("string"))), block, close)).alias("i", "value"))
     path = scratch(spark, "transcripts")
-    lines.repartition("no").sortWithinPartitions("no", "seq", "i").select("no", "value").write.partitionBy("no").text(path)
-    catalog = spark.createDataFrame([("accounts", 1, "id", True), ("accounts", 2, "segment", False), ("accounts", 3, "balance", False)], "tbl string, ordinal int, col string, pk boolean")
-    out = decode.transcript_changes(rows_io.read_lines(spark, path), catalog)
+    fx.transcript_lines(spark, sf).repartition("no").sortWithinPartitions("no", "seq", "i").select("no", "value").write.partitionBy("no").text(path)
+    return transcript_columns(decode.transcript_changes(rows_io.read_lines(spark, path), fx.transcript_catalog(spark)))
+
+
+def transcript_columns(decoded: DataFrame) -> DataFrame:
     value = lambda c: F.try_element_at("values", F.lit(c)).alias(c)
-    return out.select("file", "pos", "op", F.element_at("key", "id").alias("key_id"), value("segment"), value("balance"))
+    return decoded.select("file", "pos", "op", F.element_at("key", "id").alias("key_id"), value("segment"), value("balance"))
 
 
 @query("""SELECT event_id + 1 AS seq, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op, 'accounts' AS tbl, CAST(user_id AS VARCHAR) AS key_id,

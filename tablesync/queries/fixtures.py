@@ -15,9 +15,9 @@ def money(c: str):
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base table: customers with an even key that occur as users."""
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct()
-    base = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").join(users, F.col("c_custkey") == F.col("u"), "left_semi")
+    """Base table: all customers but those whose first event is a signup, which makes them anew."""
+    first = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("u")).agg(F.min_by("event_type", "event_id").alias("first"))
+    base = table(spark, sf_dir, "customer").join(first.where("first = 'signup'"), F.col("c_custkey") == F.col("u"), "left_anti")
     return base.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), money("c_acctbal").alias("balance"))
 
 
@@ -40,6 +40,20 @@ def change_log(spark: SparkSession, sf_dir: str, by_type: bool = False) -> DataF
     return e.select(seq.cast("decimal(20,0)").alias("pos"), seq.alias("seq"), op.alias("op"), tbl.alias("tbl"), F.create_map(F.lit("id"), F.col("user_id").cast("string")).alias("key"), F.map_from_entries(values).alias("values"))
 
 
+#: Tables of many_tables() and their keys.
+MANY = {"accounts": ["id"], "holdings": ["id", "slot"], "nicknames": ["name"]}
+
+
+def many_tables(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Bases of three tables, the first one's rows being those of accounts, and one log of all: events take turns."""
+    base, n = accounts(spark, sf_dir), F.col("seq") - 1
+    bases = {"accounts": base, "holdings": base.select("id", F.lit(0).alias("slot"), "segment", "balance"), "nicknames": base.select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"), "segment", "balance")}
+    user = F.element_at("key", "id")
+    tbl = F.element_at(F.array(*[F.lit(t) for t in MANY]), (n % 3 + 1).cast("int"))
+    key = F.when(n % 3 == 0, F.col("key")).when(n % 3 == 1, F.create_map(F.lit("id"), user, F.lit("slot"), F.floor(n / 3 % 2).cast("int").cast("string"))).otherwise(F.create_map(F.lit("name"), F.concat(F.lit("u"), user)))
+    return bases, change_log(spark, sf_dir).withColumn("tbl", tbl).withColumn("key", key)
+
+
 def faulty_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log with empty keys, an unknown operation and updates that set nothing."""
     c, n = change_log(spark, sf_dir), F.col("seq") - 1
@@ -50,6 +64,24 @@ def faulty_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("pos", "seq", op.alias("op"), "tbl", key.alias("key"), values.alias("values"))
 
 
+def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(no, seq, i, value): the change log rendered as transcripts, one per 1,000 events; seq and i order the lines of a transcript."""
+    e, n = change_log(spark, sf_dir), F.col("seq") - 1
+    lit = lambda name: F.coalesce(F.concat(F.lit("'"), F.try_element_at("values", F.lit(name)), F.lit("' /* meta */")), F.lit("NULL"))
+    cells = F.array(F.concat(F.lit("###   @1="), F.element_at("key", "id")), F.concat(F.lit("###   @2="), lit("segment")), F.concat(F.lit("###   @3="), lit("balance")))
+    head = F.when(F.col("op") == "insert", "### INSERT INTO `db`.`accounts`").when(F.col("op") == "update", "### UPDATE `db`.`accounts`").otherwise("### DELETE FROM `db`.`accounts`")
+    where, set_ = F.array(F.lit("### WHERE")), F.array(F.lit("### SET"))
+    block = F.when(F.col("op") == "insert", F.concat(F.array(head), set_, cells)).when(F.col("op") == "update", F.concat(F.array(head), where, cells, set_, cells)).otherwise(F.concat(F.array(head), where, cells))
+    number = F.floor(n / 1000).cast("long")
+    rotate = F.when(n % 1000 == 0, F.array(F.concat(F.lit("#700101 Rotate to bin."), F.lpad(number.cast("string"), 6, "0"), F.lit("  pos: 4")))).otherwise(F.array().cast("array<string>"))
+    close = F.array(F.concat(F.lit("# at "), (n % 1000 * 100 + 100).cast("string")))
+    return e.select(number.alias("no"), "seq", F.posexplode(F.concat(rotate, F.array(F.concat(F.lit("# at "), (n % 1000 * 100).cast("string"))), block, close)).alias("i", "value"))
+
+
+def transcript_catalog(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("accounts", 1, "id", True), ("accounts", 2, "segment", False), ("accounts", 3, "balance", False)], "tbl string, ordinal int, col string, pk boolean")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dump per order: a customer's orders are chains that start at each status F."""
     o = table(spark, sf_dir, "orders")
@@ -89,7 +121,7 @@ NOW = "2001-08-02 00:00:00"
 # ---------------------------------------------------------------- the same in DuckDB's SQL
 
 ACCOUNTS_SQL = """accounts AS (SELECT c_custkey AS id, c_mktsegment AS segment, CAST(c_acctbal AS DECIMAL(18,2)) AS balance FROM customer
-  WHERE c_custkey % 2 = 0 AND c_custkey IN (SELECT user_id FROM events))"""
+  WHERE c_custkey NOT IN (SELECT user_id FROM (SELECT user_id, arg_min(event_type, event_id) AS first FROM events GROUP BY user_id) WHERE first = 'signup'))"""
 
 CHANGES_SQL = """changes AS (SELECT event_id + 1 AS seq, user_id AS id, event_type AS tbl,
   CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
@@ -112,6 +144,11 @@ def fold_sql(changes: str = "changes", base: str = "accounts") -> str:
   folded AS (SELECT s.id, seg.segment, bal.balance FROM starts s LEFT JOIN seg ON s.id = seg.id AND seg.r = 1 LEFT JOIN bal ON s.id = bal.id AND bal.r = 1)"""
 
 
+#: many_tables() with a text for the key of every table.
+MANY_SQL = f"""{ACCOUNTS_SQL}, {CHANGES_SQL},
+  many_base AS (SELECT 'accounts:' || id AS id, segment, balance FROM accounts UNION ALL SELECT 'holdings:' || id || '/0', segment, balance FROM accounts UNION ALL SELECT 'nicknames:u' || id, segment, balance FROM accounts),
+  many AS (SELECT seq, CASE (seq - 1) % 3 WHEN 0 THEN 'accounts:' || id WHEN 1 THEN 'holdings:' || id || '/' || ((seq - 1) // 3 % 2) ELSE 'nicknames:u' || id END AS id, op, has_segment, segment, has_balance, balance FROM changes)"""
+
 MANIFEST_SQL = """ordered AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
   chained AS (SELECT *, sum(CASE WHEN o_orderstatus = 'F' OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS chain FROM ordered),
   linked AS (SELECT *, first_value(o_orderkey) OVER w AS first_key, first_value(o_orderpriority) OVER w AS prof, lag(o_orderkey) OVER w AS prev

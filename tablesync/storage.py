@@ -58,6 +58,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern matches, found by one listing."""
+    fs, where = _fs(spark, pattern)
+    return sorted(s.getPath().toString() for s in fs.globStatus(where) or [])
+
+
 def publish(spark: SparkSession, path: str, content: str) -> bool:
     """Make a file with its whole content, or return False and leave the one that is there: of writers at the same time one wins.
 
@@ -95,15 +101,30 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the files v0, v1 ... below a folder, oldest first."""
-    return sorted(int(n[1:]) for n in names(spark, folder) if n[:1] == "v" and n[1:].isdigit())
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    return [int(n[1:]) for n in names(spark, f"{root}/versions") if n[:1] == "v" and n[1:].isdigit()]
+
+
+def latest_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest version below root, -1 if there is none."""
+    return max(_numbers(spark, root), default=-1)
+
+
+def version_state(spark: SparkSession, root: str, version: int) -> dict:
+    """What a version below root consists of."""
+    return json.loads(read_text(spark, f"{root}/versions/v{version}"))
+
+
+def publish_version(spark: SparkSession, root: str, version: int, state: dict) -> None:
+    """Make a version below root with what it consists of; of writers at the same time one wins and the others get a Conflict."""
+    if not publish(spark, f"{root}/versions/v{version}", json.dumps(state)):
+        raise Conflict(f"version {version} of {root} was published by another writer")
 
 
 def published_tables(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
     """The newest version below root (-1: none yet) and the path of each of its tables."""
-    known = versions(spark, f"{root}/versions")
-    return (known[-1], json.loads(read_text(spark, f"{root}/versions/v{known[-1]}"))) if known else (-1, {})
+    version = latest_version(spark, root)
+    return version, version_state(spark, root, version) if version >= 0 else {}
 
 
 def publish_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> int:
@@ -112,8 +133,7 @@ def publish_tables(spark: SparkSession, root: str, tables: dict[str, DataFrame])
     data = f"{root}/data/{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{data}/{name}")
-    if not publish(spark, f"{root}/versions/v{version + 1}", json.dumps(paths | {n: f"{data}/{n}" for n in tables})):
-        raise Conflict(f"version {version + 1} of {root} was published by another writer")
+    publish_version(spark, root, version + 1, paths | {n: f"{data}/{n}" for n in tables})
     return version + 1
 
 

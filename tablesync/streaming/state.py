@@ -5,66 +5,84 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import Row
 
-STATE = "row string"
-OUT = "key string, seq long, alive boolean, row map<string,string>"
+OUT = "key string, seq long, alive boolean, vals string"
 
 
 class CurrentRow(StatefulProcessor):
-    """Keeps a key's row as JSON and folds its changes into it. Input: (k, seq, op, vals: JSON of the columns but the key's).
+    """Keeps a key's row column by column and folds its changes into it.
 
-    A batch's changes come in any order and are folded as they come, by the rule of apply.fold: of updates only the latest of each column
-    is held, of deletes the last one; inserts alone are held, those behind the last delete.
+    Input: (k, seq, op, name, value), a row for each column of a change, or one without a name. A batch's changes come in any order, as pandas
+    pieces, and are folded as they come, by the rule of apply.fold: of updates only the latest of each column is held, of deletes the last
+    one. Which insert counts is known at the end of the batch only, so inserts wait in the state store. Memory is needed for a piece and
+    for the columns of a row, whatever the number of changes.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("row", STATE)
+        self.alive = handle.getValueState("alive", "alive boolean")
+        self.row = handle.getMapState("row", "name string", "value string")
+        self.inserts = handle.getMapState("inserts", "seq long, name string", "value string")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now = json.loads(self.state.get()[0]) if self.state.exists() else None
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.alive.update((True,))
+        for vals in initialState["vals"]:
+            for name, value in json.loads(vals).items():
+                self.row.updateValue((name,), (value,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, gone = -1, -1
-        inserts: dict[int, str | None] = {}
         latest: dict[str, tuple[int, str | None]] = {}
-        for r in rows:
-            last = max(last, r.seq)
-            if r.op == "insert":
-                if r.seq > gone:
-                    inserts[r.seq] = r.vals
-            elif r.op == "delete":
-                if r.seq > gone:
-                    gone = r.seq
-                    inserts = {s: v for s, v in inserts.items() if s > gone}
-            elif r.op == "update":
-                for column, value in json.loads(r.vals or "{}").items():
-                    if column not in latest or latest[column][0] < r.seq:
-                        latest[column] = (r.seq, value)
+        for piece in rows:
+            last = max(last, int(piece["seq"].max()))
+            deletes = piece.loc[piece["op"] == "delete", "seq"]
+            gone = max(gone, int(deletes.max())) if len(deletes) else gone
+            updates = piece[(piece["op"] == "update") & piece["name"].notna()].sort_values("seq").drop_duplicates("name", keep="last")
+            for seq, name, value in zip(updates["seq"], updates["name"], updates["value"]):
+                if name not in latest or latest[name][0] < seq:
+                    latest[name] = (int(seq), value)
+            inserts = piece[(piece["op"] == "insert") & (piece["seq"] > gone)]
+            for seq, name, value in zip(inserts["seq"], inserts["name"], inserts["value"]):
+                self.inserts.updateValue((int(seq), name or ""), (value,))
+        alive = self.alive.exists() and gone < 0
+        if gone >= 0:
+            self.row.clear()
         since = -1
-        if gone >= 0 or now is None:
-            now = None
-            if inserts:
-                since = min(inserts)
-                now = json.loads(inserts[since] or "{}")
-        if now is None:
-            self.state.clear()
+        if self.inserts.exists():
+            if not alive and (waiting := min((seq for seq, _ in self.inserts.keys() if seq > gone), default=-1)) >= 0:
+                alive, since = True, waiting
+                for (seq, name), (value,) in self.inserts.iterator():
+                    if seq == since and name:
+                        self.row.updateValue((name,), (value,))
+            self.inserts.clear()
+        if alive:
+            self.alive.update((True,))
+            for name, (seq, value) in latest.items():
+                if seq > since:
+                    self.row.updateValue((name,), (value,))
         else:
-            now |= {c: v for c, (seq, v) in latest.items() if seq > since}
-            self.state.update((json.dumps(now),))
-        yield Row(key=key[0], seq=last, alive=now is not None, row=now)
+            self.alive.clear()
+        row = {name: value for (name,), (value,) in self.row.iterator()} if alive and self.row.exists() else {}
+        yield pd.DataFrame({"key": [key[0]], "seq": [last], "alive": [alive], "vals": [json.dumps(row)]})
 
     def close(self) -> None:
         pass
 
 
-def current_rows(changes: DataFrame, key: str) -> DataFrame:
+def current_rows(changes: DataFrame, key: str, base: DataFrame | None = None) -> DataFrame:
     """Streaming (key, seq, alive, row): the state of a key after each batch that changes it. Needs the RocksDB state store.
 
-    changes is a stream of change rows; rows of base come in as inserts with seq 0 if they are part of the stream. row holds the columns
-    but the key's, which no update writes.
+    changes is a stream of change rows. base is the table that they follow on; the state starts from its rows, which are sent only once they
+    change. row holds the columns but the key's, as text; no update writes the key's. Changes without a key are left out.
     """
-    others = F.map_filter("values", lambda c, _: c != F.lit(key))
-    rows = changes.select(F.element_at("key", key).alias("k"), "seq", "op", F.to_json(others, {"ignoreNullFields": "false"}).alias("vals"))
-    return rows.groupBy("k").transformWithState(CurrentRow(), OUT, "Update", "None")
+    cells = F.explode_outer(F.map_entries(F.map_filter("values", lambda c, _: c != F.lit(key))))
+    rows = changes.select(F.element_at("key", key).alias("k"), "seq", "op", cells.alias("c")).where("k is not null").select("k", "seq", "op", F.col("c.key").alias("name"), F.col("c.value").alias("value"))
+    start = None
+    if base is not None:
+        others = F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in base.columns if c != key])
+        start = base.select(F.col(f"`{key}`").cast("string").alias("k"), F.to_json(others, {"ignoreNullFields": "false"}).alias("vals")).groupBy("k")
+    states = rows.groupBy("k").transformWithStateInPandas(CurrentRow(), OUT, "Update", "None", start)
+    return states.select("key", "seq", "alive", F.from_json("vals", "map<string,string>").alias("row"))

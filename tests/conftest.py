@@ -19,6 +19,7 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()

@@ -46,13 +46,13 @@ def test_merge_equals_replay(spark, seed):
 
 
 def test_single_operations(spark):
-    target = spark.createDataFrame([(1, "wrench", None), (2, "doomed", Decimal(2))], SCHEMA)
-    log = as_changes(spark, [("insert", 1, {"a": "other"}), ("insert", 3, {"a": "fresh"}), ("insert", 3, {"a": "later"}), ("update", 1, {"a": "spanner"}), ("update", 9, {"a": "none"}), ("delete", 2, {})])
+    target = spark.createDataFrame([(1, "oak", None), (2, "elm", Decimal(2))], SCHEMA)
+    log = as_changes(spark, [("insert", 1, {"a": "other"}), ("insert", 3, {"a": "ash"}), ("insert", 3, {"a": "later"}), ("update", 1, {"a": "yew"}), ("update", 9, {"a": "none"}), ("delete", 2, {})])
     rows = lambda df: sorted((r.id, r.a) for r in df.collect())
-    assert rows(apply.insert_ignore(target, log, ["id"])) == [(1, "wrench"), (2, "doomed"), (3, "fresh")]
-    assert rows(apply.update_by_key(target, log, ["id"])) == [(1, "spanner"), (2, "doomed")]
-    assert rows(apply.delete_by_key(target, log, ["id"])) == [(1, "wrench")]
-    assert rows(apply.merge(target, log, ["id"])) == [(1, "spanner"), (3, "fresh")]
+    assert rows(apply.insert_ignore(target, log, ["id"])) == [(1, "oak"), (2, "elm"), (3, "ash")]
+    assert rows(apply.update_by_key(target, log, ["id"])) == [(1, "yew"), (2, "elm")]
+    assert rows(apply.delete_by_key(target, log, ["id"])) == [(1, "oak")]
+    assert rows(apply.merge(target, log, ["id"])) == [(1, "yew"), (3, "ash")]
 
 
 def test_rejects_and_modes(spark):

@@ -21,29 +21,40 @@ def manifest(spark, rows):
     return spark.createDataFrame([tuple(x.get(n) for n in MANIFEST.names) for x in full], MANIFEST)
 
 
-# fixed values: a full dump, a chain of three and an orphan
-CASES = [("full1", day(50), "", ""), ("base2", day(40), "base2", ""), ("inc2a", day(39), "base2", "base2"), ("inc2b", day(38), "base2", "inc2a"), ("orphan", day(5), "gone", "gone")]
+#: A dump alone, a base with a forked chain on it, and one whose base is gone.
+CASES = [("solo", day(60), "", ""), ("may", day(44), "may", ""), ("may+1", day(43), "may", "may"), ("may+2", day(41), "may", "may+1"), ("stray", day(6), "april", "april")]
 
 
 def test_grouping(spark):
     got = {r.root: (r.members, r.bytes) for r in chains.group(manifest(spark, CASES)).collect()}
-    assert got == {"full1": (1, 100), "base2": (3, 300), "gone": (1, 100)}
+    assert got == {"solo": (1, 100), "may": (3, 300), "april": (1, 100)}
 
 
 def test_resolution(spark):
     m = manifest(spark, [*CASES, ("c1", day(3), "b", "c2"), ("c2", day(2), "b", "c1"), ("behind", day(1), "b", "c1"), ("np", day(1), "b", "")])
-    got = {r.id: (r.path, r.status, r.broken_at) for r in chains.resolve(m).collect()}
-    assert got["inc2b"] == (["base2", "inc2a", "inc2b"], "ok", None) and got["full1"] == (["full1"], "ok", None)
-    assert got["orphan"][1:] == ("missing parent", "gone") and got["np"][1] == "no parent"
-    assert [got[i][1] for i in ("c1", "c2", "behind")] == ["cycle"] * 3
-    links = chains.links_of(chains.resolve(m), ["inc2b"])
-    assert [r.id for r in chains.up_to(links, "inc2a").orderBy("link_no").collect()] == ["base2", "inc2a"]
+    got = {r.id: (r.status, r.broken_at, r.depth) for r in chains.resolve(m).collect()}
+    assert got["may+2"] == ("ok", None, 2) and got["solo"] == ("ok", None, 0)
+    assert got["stray"][:2] == ("missing parent", "april") and got["np"][0] == "no parent"
+    assert [got[i] for i in ("c1", "c2", "behind")] == [("cycle", None, None)] * 3
+    every = {(r.target, r.link_no, r.id) for r in chains.links(m).collect()}
+    assert every == {("solo", 0, "solo"), ("may", 0, "may"), ("may+1", 0, "may"), ("may+1", 1, "may+1"), ("may+2", 0, "may"), ("may+2", 1, "may+1"), ("may+2", 2, "may+2")}
+    links = chains.links(m, ["may+2", "stray", "c1"])
+    assert [r.id for r in chains.up_to(links, "may+1").orderBy("link_no").collect()] == ["may", "may+1"]
     with pytest.raises(ValueError):
-        chains.up_to(links, "full1")
-    stops = lambda last: spark.createDataFrame([("inc2b", last)], "target string, last string")
-    assert [r.id for r in chains.up_to_each(links, stops("inc2a")).orderBy("link_no").collect()] == ["base2", "inc2a"]
+        chains.up_to(links, "solo")
+    stops = lambda last: spark.createDataFrame([("may+2", last)], "target string, last string")
+    assert [r.id for r in chains.up_to_each(links, stops("may+1")).orderBy("link_no").collect()] == ["may", "may+1"]
     with pytest.raises(Exception, match="no part of the chain"):
-        chains.up_to_each(links, stops("full1")).collect()
+        chains.up_to_each(links, stops("solo")).collect()
+
+
+def test_a_chain_of_ten_thousand_links(spark):
+    n = 10_000
+    rows = spark.range(n).select(F.format_string("d%05d", "id").alias("id"), F.lit("d00000").alias("base_id"), F.when(F.col("id") == 0, "").otherwise(F.format_string("d%05d", F.col("id") - 1)).alias("parent_id"))
+    found = chains.resolve(rows)
+    assert found.where("status = 'ok'").agg(F.count("*"), F.max("depth")).first() == (n, n - 1)
+    got = chains.links(rows, ["d09999", "d00003"], found)
+    assert got.where("target = 'd09999' and id = format_string('d%05d', link_no)").count() == n and got.count() == n + 4
 
 
 def passes(members, root):
@@ -88,14 +99,14 @@ def test_member_order_on_random_chains(spark):
 
 def test_delete_order_stops_at_failures(spark):
     members = chains.member_order(manifest(spark, CASES))
-    failed = spark.createDataFrame([("inc2a",)], "id string")
-    got = chains.delete_order(members.where("root = 'base2'"), failed).orderBy("delete_no").collect()
-    assert [r.id for r in got] == ["inc2b", "inc2a"]
+    failed = spark.createDataFrame([("may+1",)], "id string")
+    got = chains.delete_order(members.where("root = 'may'"), failed).orderBy("delete_no").collect()
+    assert [r.id for r in got] == ["may+2", "may+1"]
 
 
 def test_compatibility(spark):
-    m = manifest(spark, CASES).withColumn("driver", F.when(F.col("id") == "inc2b", "mysql").otherwise(F.col("driver")))
-    assert [(r.id, r.reason) for r in chains.incompatible(m).collect()] == [("inc2b", "driver")]
+    m = manifest(spark, CASES).withColumn("driver", F.when(F.col("id") == "may+2", "mysql").otherwise(F.col("driver")))
+    assert [(r.id, r.reason) for r in chains.incompatible(m).collect()] == [("may+2", "driver")]
 
 
 # ------------------------------------------------------------------ retention
@@ -117,7 +128,7 @@ def test_rules(spark):
     assert kept(spark, FIVE, RetentionPolicy()) == {f"f{i}" for i in range(5)}
     assert kept(spark, FIVE, RetentionPolicy(keep_last=2)) == {"f0", "f1"}
     assert kept(spark, FIVE, RetentionPolicy(max_age_seconds=2 * 86400)) == {"f0", "f1"}
-    assert kept(spark, CASES, RetentionPolicy(max_age_seconds=39 * 86400)) == {"base2", "gone"}  # the newest member counts
+    assert kept(spark, CASES, RetentionPolicy(max_age_seconds=42 * 86400)) == {"may", "april"}  # the newest member counts
     assert kept(spark, FIVE, RetentionPolicy(keep_last=1, gfs_monthly=9)) == {"f0"}
     twice = [*FIVE, ("late", day(1) + datetime.timedelta(hours=3), "", "")]
     assert kept(spark, twice, RetentionPolicy(gfs_daily=2)) == {"f0", "late"}
@@ -145,4 +156,4 @@ def test_prune_job(spark):
     m = manifest(spark, [("keep", day(0), "", ""), *CASES[1:4], ("other", day(90), "", "", "q")])
     planned, report, order = prune(m, RetentionPolicy(keep_last=1), NOW, profile="p")
     assert {r.decision: (r.chains, r.dumps, r.bytes) for r in report.collect()} == {"keep": (1, 1, 100), "prune": (1, 3, 300)}
-    assert [r.id for r in order.orderBy("delete_no").collect()] == ["inc2b", "inc2a", "base2"]
+    assert [r.id for r in order.orderBy("delete_no").collect()] == ["may+2", "may+1", "may"]

@@ -51,52 +51,84 @@ def test_positions(spark):
 
 
 def test_text_expressions(spark):
-    cases = [("@1=42", 1, "42", False), ("@2='wrench'", 2, "wrench", False), ("@3='a''b'", 3, "a'b", False), ("@4=NULL", 4, None, True), ("@5='NULL'", 5, "NULL", False), ("@6='x' /* VARSTRING(60) meta=60 */", 6, "x", False), ("@7='a /* b'", 7, "a /* b", False), ("@8='a /* b' /* TYPE meta */", 8, "a /* b", False), (r"@9='it\'s \\ '", 9, r"it's \ ", False), ("@10=''", 10, "", False)]
-    df = spark.createDataFrame([(c[0],) for c in cases] + [("not an assign",)], "b string")
+    cases = [
+        ("@12=-7.50", 12, "-7.50", False), ("@1='Lyon'", 1, "Lyon", False), ("@2='L''Isle-d''Abeau'", 2, "L'Isle-d'Abeau", False), ("@3=NULL", 3, None, True), ("@3='NULL'", 3, "NULL", False),
+        ("@4='null'", 4, "null", False), ("@5=2024-02-29 /* DATE meta=0 nullable=1 is_null=0 */", 5, "2024-02-29", False), ("@6='1 /* 2 */ 3' /* STRING(9) */", 6, "1 /* 2 */ 3", False),
+        ("@7='/*'", 7, "/*", False), (r"@8='back\\slash and \'tick\''", 8, r"back\slash and 'tick'", False), ("@9='' /* empty */", 9, "", False),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases] + [("at 5 = 6",)], "b string")
     got = df.select(assignment_ordinal(F.col("b")).alias("n"), assignment_value(F.col("b")).alias("v")).collect()
     assert [(r.n, r.v.text, r.v.is_null) for r in got[:-1]] == [c[1:] for c in cases]
     assert got[-1].n is None
-    names = {"`test`.`widgets`": "widgets", "test.widgets": "widgets", "`widgets`": "widgets", "`db`.`tbl` WHERE something": "tbl"}
+    names = {"`harbour`.`ships`": "ships", "harbour.ships": "ships", "`ships`": "ships", "ships": "ships", "`harbour`.`berths` SET": "berths"}
     assert [r[0] for r in spark.createDataFrame([(n,) for n in names], "r string").select(table_name(F.col("r"))).collect()] == list(names.values())
     r = spark.range(1).select(marker_offset(F.lit("# at 1234")).alias("m"), marker_offset(F.lit("# of 1")).alias("o"), rotate_target(F.lit("#1 Rotate to bin.000002  pos: 4")).alias("f"), clamp(F.lit(-3)).alias("c"), clamp(F.lit(None).cast("long")).alias("z")).first()
     assert tuple(r) == (1234, None, "bin.000002", 0, 0)
 
 
-def test_transcript(spark, tmp_path):
-    # fixed values: the lines and positions of a decoded transcript
-    text = """# at 4
-### INSERT INTO `test`.`widgets`
+#: Three events, the second of which holds two changes; only the forms of the lines are fixed values.
+HARBOUR = """# at 900
+### DELETE FROM `harbour`.`ships`
+### WHERE
+###   @1='Aurora'
+###   @2=NULL
+# at 1310
+### INSERT INTO `harbour`.`ships`
 ### SET
-###   @1=1
-###   @2='wrench' /* VARSTRING */
-# at 120
-### UPDATE `test`.`widgets`
+###   @1='Borea' /* STRING(20) */
+###   @2=41
+###   @3='beyond the columns'
+### UPDATE `harbour`.`ships`
 ### WHERE
-###   @1=1
-###   @2='wrench'
+###   @1='Borea'
+###   @2=41
 ### SET
-###   @1=1
+###   @1='Boreas'
 ###   @2=NULL
-###   @3='dropped'
-# at 240
-### DELETE FROM `test`.`widgets`
+# at 1777
+### UPDATE `harbour`.`tides`
 ### WHERE
-###   @1=1
-###   @2='NULL'
-# at 360
-### INSERT INTO `test`.`keyless`
+###   @1=3
 ### SET
-###   @1=9
+###   @1=4
 """
-    (tmp_path / "bin.txt").write_text(text)
-    cat = spark.createDataFrame([("widgets", 1, "id", True), ("widgets", 2, "name", False), ("keyless", 1, "x", False)], "tbl string, ordinal int, col string, pk boolean")
+HARBOUR_CATALOG = [("ships", 1, "name", True), ("ships", 2, "crew", False), ("tides", 1, "height", False)]
+HARBOUR_CHANGES = [
+    ("delete", "ships", 1310, {"name": "Aurora"}, {}),
+    ("insert", "ships", 1777, {"name": "Borea"}, {"name": "Borea", "crew": "41"}),
+    ("update", "ships", 1777, {"name": "Borea"}, {"name": "Boreas", "crew": None}),
+    ("update", "tides", 1778, {"height": "3"}, {"height": "4"}),
+]
+
+
+def test_transcript(spark, tmp_path):
+    (tmp_path / "log.txt").write_text(HARBOUR)
+    cat = spark.createDataFrame(HARBOUR_CATALOG, "tbl string, ordinal int, col string, pk boolean")
     got = decode.transcript_changes(rows_io.read_lines(spark, f"file://{tmp_path}"), cat).orderBy("seq").collect()
-    assert [(r.op, r.tbl, int(r.pos), r.key, r["values"]) for r in got] == [
-        ("insert", "widgets", 120, {"id": "1"}, {"id": "1", "name": "wrench"}),
-        ("update", "widgets", 240, {"id": "1"}, {"id": "1", "name": None}),
-        ("delete", "widgets", 360, {"id": "1"}, {}),
-        ("insert", "keyless", 361, {"x": "9"}, {"x": "9"}),
-    ]
+    assert [(r.op, r.tbl, int(r.pos), r.key, r["values"]) for r in got] == HARBOUR_CHANGES
+
+
+def test_transcript_as_a_stream_cut_anywhere(spark, tmp_path):
+    """Wherever a file's growth is cut, a block is sent with the marker behind it, once, and lines that come again are passed over."""
+    from tablesync.streaming.transcripts import transcript_stream
+
+    lines = list(enumerate([*HARBOUR.splitlines(), "# End of log file"]))
+    cat = spark.createDataFrame(HARBOUR_CATALOG, "tbl string, ordinal int, col string, pk boolean")
+    cuts = [[], [3], [1, 8, 9, 16, 20], [len(lines) - 1]]
+    read, out, sent = f"file://{tmp_path}/in", f"file://{tmp_path}/out", {}
+    for k in range(6):
+        rows = []
+        for f, at in enumerate(cuts):
+            bounds = [0, *at, *[len(lines)] * (6 - len(at))]
+            rows += [(f"f{f}", n, text) for n, text in lines[max(0, bounds[k] - 2) : bounds[k + 1]]]  # two lines are delivered again
+        spark.createDataFrame(rows, "path string, line_no long, line string").write.mode("append").parquet(read)
+        stream = transcript_stream(spark.readStream.schema("path string, line_no long, line string").parquet(read), cat)
+        write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/{n}")
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        sent[k] = spark.read.parquet(f"{out}/{k}").where("path = 'f2'").count()
+    got = spark.read.parquet(*[f"{out}/{k}" for k in range(6)]).orderBy("path", "seq").collect()
+    assert [(r.path, r.op, r.tbl, int(r.pos), r.key, r["values"]) for r in got] == [(f"f{f}", *c) for f in range(4) for c in HARBOUR_CHANGES]
+    assert sent == {0: 0, 1: 1, 2: 0, 3: 0, 4: 2, 5: 1}
 
 
 def test_a_long_transcript_in_many_splits(spark, tmp_path):
