@@ -101,13 +101,14 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def _numbers(spark: SparkSession, root: str) -> list[int]:
-    return [int(n[1:]) for n in names(spark, f"{root}/versions") if n[:1] == "v" and n[1:].isdigit()]
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the files v0, v1 ... below a folder, oldest first."""
+    return sorted(int(n[1:]) for n in names(spark, folder) if n[:1] == "v" and n[1:].isdigit())
 
 
 def latest_version(spark: SparkSession, root: str) -> int:
     """The number of the newest version below root, -1 if there is none."""
-    return max(_numbers(spark, root), default=-1)
+    return max(versions(spark, f"{root}/versions"), default=-1)
 
 
 def version_state(spark: SparkSession, root: str, version: int) -> dict:
