@@ -56,21 +56,21 @@ def _walked_pairs(words: DataFrame) -> DataFrame:
     half = F.floor(size / 2).cast("int")
     starts = both.select("w", F.when(F.startswith("w", F.lit(">")), half).otherwise(size - half).alias("start"))
     starts.write.partitionBy("start").parquet(f"{root}/starts")
-    bounds = spark.read.parquet(f"{root}/starts").agg(F.min("start"), F.max(size)).first()
+    stored = spark.read.schema("w string, start int").parquet(f"{root}/starts")
+    bounds = stored.agg(F.min("start"), F.max(size)).first()
     if bounds[0] is None:
         return spark.createDataFrame([], "a string, b string")
     first, depth = bounds
     steps = both.select("w", F.explode(F.sequence(F.lit(first), size - 1)).alias("depth"))
     edges = steps.select("depth", F.col("w").substr(F.lit(1), F.col("depth") + 1).alias("parent"), F.col("w").substr(F.col("depth") + 2, F.lit(1)).alias("ch")).distinct()
     edges.write.partitionBy("depth").parquet(f"{root}/edges")
-    starts = spark.read.schema("w string, start int").parquet(f"{root}/starts")
     edges = spark.read.schema("parent string, ch string, depth int").parquet(f"{root}/edges")
     letter = lambda ahead: F.col("w").substr(F.col("pos") + 2 + ahead, F.lit(1))  # noqa: E731  of w, behind its > or <
     state = lambda pos, node, edits: F.struct(pos.cast("int").alias("pos"), node.alias("node"), F.lit(edits).alias("edits"))
     child, same = F.concat("node", "ch"), F.col("ch") == letter(0)
     level = "w string, pos int, node string, edits int"
     for d in range(first, depth):
-        here = starts.where(F.col("start") == d).select("w", F.lit(d).alias("pos"), F.col("w").substr(1, d + 1).alias("node"), F.lit(0).alias("edits"))
+        here = stored.where(F.col("start") == d).select("w", F.lit(d).alias("pos"), F.col("w").substr(1, d + 1).alias("node"), F.lit(0).alias("edits"))
         if d > first:
             here = here.unionByName(spark.read.schema(level).parquet(f"{root}/levels/level={d - 1}").where(F.col("pos") < size))
         met = here.join(edges.where(F.col("depth") == d).drop("depth"), (F.col("node") == F.col("parent")) & ((F.col("edits") == 0) | same))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablesync.llm import spelling
 from tablesync.llm.lines import LineRuns, dedup_lines, line_hashes
@@ -93,7 +94,7 @@ def test_a_run_loses_its_code_point(spark):
     rows = [(i, "Ünderstood ÉTUDES Words " * 3) for i in range(400)]
     got = {r.word: r.n for r in count_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == expected_words(rows) and len(got) > 3
-    assert "Études" not in got and "Études".replace("t", "t") not in got and "ÉtUDES" not in got
+    assert got["Études"] > 1000 and got["Ünderstood"] > 1000  # A-Z alone are lower-cased
 
 
 def test_registered_spelling_query(spark):
@@ -180,7 +181,7 @@ def test_runs_are_merged_by_level_and_joined_without_a_shuffle(spark):
     totals = runs.totals()
     plan = totals._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "SortMergeJoin" in plan
-    want = {(r.h1, r.h2): (r.n, r.top) for r in lines.groupBy("h1", "h2").agg({"doc_id": "max", "*": "count"}).toDF("h1", "h2", "top", "n").collect()}
+    want = {(r.h1, r.h2): (r.n, r.top) for r in lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect()}
     assert {(r.h1, r.h2): (r.n, r.keeper) for r in totals.collect()} == want
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == old
     runs.close()
