@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ MAX_CHUNKS = 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: The byte-level pre-tokenizer's pattern: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Zero, and characters on whose being white space regular expression libraries differ: strings with one are encoded by themselves.
-_UNSURE = "[\\x00\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]"
+#: Zero, and characters on whose being white space regular expression libraries differ.
+_ODD_SPACE = "\\x00\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff"
 
 
 def _alphabet() -> np.ndarray:
@@ -37,6 +39,23 @@ def _alphabet() -> np.ndarray:
 _ALPHABET = _alphabet()
 
 
+@lru_cache(maxsize=1)
+def _unsure() -> str:
+    """A regular expression for characters that the tokenizer's engine and others may take for different kinds.
+
+    Engines differ by the version of Unicode that they know. A character that Unicode 3.2 had, as a letter, number, space or other just as
+    today, is the same to all of them; any other counts as unsure. Strings with one are left to the tokenizer itself, as a whole.
+    """
+    def kind(c: str) -> str:
+        return c[0] if c[0] in "LN" or c == "Zs" else "C" if c == "Cn" else "other"
+
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    bad = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and (kind(new(c := chr(i))) == "C" or kind(old(c)) != kind(new(c)))]
+    breaks = np.flatnonzero(np.diff(bad) > 1)
+    starts, ends = [bad[0], *[bad[i + 1] for i in breaks]], [*[bad[i] for i in breaks], bad[-1]]
+    return "[" + _ODD_SPACE + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]"
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -72,7 +91,7 @@ class ChunkEncoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.pieces = regex.compile(PATTERN).findall
         special = self.tokenizer.get_added_tokens_decoder()
-        self.alone = re.compile("|".join([_UNSURE, *(re.escape(t.content) for t in special.values())])).search
+        self.alone = re.compile("|".join([_unsure(), *(re.escape(t.content) for t in special.values())])).search
         strings = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         #: Bytes of the text that each id stands for: one character of a byte-level token is one byte.
         self.n_bytes = np.array([len(s.encode() if i in special else s) for i, s in enumerate(strings)], dtype=np.int64)
@@ -126,11 +145,13 @@ class ChunkEncoder:
         """Remember strings that aren't known: chunks with their space, or beginnings of texts."""
         words, joined, cut = [], [], []
         for s in strings:
-            if s[s[:1] == " " :].isalpha():
+            if s.isascii() and s[s[:1] == " " :].isalpha():
                 words.append(s)
             elif not s or self.alone(s):
                 ids = self._ids(s)
                 self._remember([s], ids, np.array([len(ids)]))
+            elif s[s[:1] == " " :].isalpha():
+                words.append(s)
             elif s[0] == " " and " " not in s[1:]:
                 joined.append(s)
             else:

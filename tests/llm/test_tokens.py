@@ -31,6 +31,17 @@ def test_chunks_give_the_ids_of_whole_texts(encoder):
         assert ids.tolist() == whole(encoder, text), repr(text)
 
 
+def test_every_code_point_is_cut_as_the_tokenizer_cuts_it(encoder):
+    """Each between a letter and an apostrophe, and between a space and a number; nothing but surrogates is left out."""
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = ["".join(f"a{c}'s {c}1\n" for c in points[at : at + 8]) for at in range(0, len(points), 8)]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        for text, mine, whole in zip(part, encoder.encode(part), encoder.tokenizer.encode_batch(part, add_special_tokens=False)):
+            assert mine.tolist() == whole.ids, [hex(ord(c)) for c in text]
+    encoder._forget()
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         ChunkEncoder(vocabulary_path("word_bpe_49k.json"))
