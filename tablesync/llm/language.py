@@ -26,32 +26,52 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    #: word or n-gram (n-grams carry their order as a prefix, as in "3:abc") -> row of scores
+    #: word or n-gram (n-grams carry their order as a prefix, as in "3:abc") -> row
     rows: dict[str, int]
-    scores: np.ndarray
+    #: Row r has the entries from stops[r] to stops[r + 1]: a language and what its log frequency is above that of an unseen piece.
+    stops: np.ndarray
+    language: np.ndarray
+    above: np.ndarray
+    #: Log frequency of an unseen piece by order (0 for words, and n) and language.
+    unseen: np.ndarray
     backoff: float
 
+    def scores(self, row: int, order: int) -> np.ndarray:
+        """Log frequency of a piece in every language."""
+        out = self.unseen[order].copy()
+        at = slice(self.stops[row], self.stops[row + 1])
+        out[self.language[at]] += self.above[at]
+        return out
+
+    def total(self, rows: np.ndarray) -> np.ndarray:
+        """Sum of the log frequencies of words, whose rows may repeat."""
+        sizes = self.stops[rows + 1] - self.stops[rows]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.stops[rows] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return len(rows) * self.unseen[0] + np.bincount(self.language[at], weights=self.above[at], minlength=len(self.languages))
+
 
 def is_held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 0 when divided by 5. A null id counts as the empty text, whose remainder is 0."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_languages: int = 1000, min_word_count: int = 2, min_gram_count: int = 3, max_words: int = 60_000, max_grams: int = 60_000, smoothing: float = 0.5, backoff: float = 0.7) -> Model:
+def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_entries: int = 1_000_000, min_word_count: int = 2, min_gram_count: int = 3, max_words: int = 60_000, max_grams: int = 60_000, smoothing: float = 0.5, backoff: float = 0.7) -> Model:
     """Learn from docs (doc_id, text, lang) that aren't held out and have a lang.
 
-    The training rows are at most max_docs_per_language of each of the max_languages most frequent languages, in hash order of doc_id; the model keeps the most frequent
-    max_words words and max_grams n-grams of each language. No rows: a model without languages, which answers 'und'.
+    The training rows are at most max_docs_per_language of each language, in hash order of doc_id. The model has one entry for each piece and language:
+    the most frequent max_words words and max_grams n-grams of each language, fewer where that would be more than max_entries in all.
+    Rows that repeat a doc_id and lang are sampled alike. No rows: a model without languages, which answers 'und'.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
     # a hash threshold for each language leaves about 1.5 times the bound, so few rows meet in the task that ranks a language
-    sizes = labelled.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "s_lang").limit(max_languages)
-    near = labelled.select("doc_id", "lang").join(F.broadcast(sizes), F.col("lang") == F.col("s_lang"))
+    sizes = labelled.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("docs"))
+    near = labelled.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("s_lang"))
     near = near.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) < F.lit(1.5 * max_docs_per_language * (1 << 40)) / F.col("docs"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = near.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs_per_language)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
-    train = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.expr("doc_id = chosen_id and lang = chosen_lang"))
+    train = labelled.select("doc_id", "lang", "text").join(chosen, F.expr("doc_id = chosen_id and lang = chosen_lang"))
     words = train.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
@@ -68,7 +88,9 @@ def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_languages: in
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), name))
         return df.where(F.col("n") >= least).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", F.col(name).alias("piece"), "n").collect()
 
-    found = [top(words, "word", min_word_count, max_words), top(counts, "piece", min_gram_count, max_grams)]
+    n_languages = max(1, words.agg(F.count_distinct("lang")).first()[0])
+    bound = lambda most: max(1, min(most, max_entries // (2 * n_languages)))
+    found = [top(words, "word", min_word_count, bound(max_words)), top(counts, "piece", min_gram_count, bound(max_grams))]
     languages = sorted({r.lang for part in found for r in part})
     words.unpersist()
     column = {x: i for i, x in enumerate(languages)}
@@ -76,31 +98,34 @@ def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_languages: in
     for part in found:
         for r in part:
             rows.setdefault(r.piece, len(rows))
-    table_ = np.zeros((len(rows), len(languages)))
-    for part in found:
-        for r in part:
-            table_[rows[r.piece], column[r.lang]] += r.n
+    row = np.array([rows[r.piece] for part in found for r in part], dtype=np.int64)
+    language = np.array([column[r.lang] for part in found for r in part], dtype=np.int64)
+    n = np.array([r.n for part in found for r in part], dtype=np.float64)
     kind = np.array([int(p[0]) if p[1:2] == ":" else 0 for p in rows], dtype=np.int64) if rows else np.zeros(0, dtype=np.int64)
+    unseen = np.zeros((max(ORDERS) + 1, len(languages)))
     for k in (0, *ORDERS):
-        mine = table_[kind == k]
-        table_[kind == k] = np.log((mine + smoothing) / (mine.sum(axis=0) + smoothing * max(1, len(mine))))
-    return Model(languages, rows, table_, backoff)
+        mine = kind[row] == k
+        unseen[k] = np.log(smoothing) - np.log(np.bincount(language[mine], weights=n[mine], minlength=len(languages)) + smoothing * max(1, int((kind == k).sum())))
+    order = np.argsort(row, kind="stable")
+    stops = np.searchsorted(row[order], np.arange(len(rows) + 1))
+    return Model(languages, rows, stops, language[order], np.log((n[order] + smoothing) / smoothing), unseen, backoff)
 
 
 class Scorer:
-    """Scores texts; remembers unseen words, up to MAX_UNSEEN, as rows of one matrix."""
+    """Scores texts; remembers unseen words, up to MAX_UNSEEN (fewer with many languages), as rows of one matrix."""
 
     def __init__(self, model: Model):
         self.model = model
         self.unseen: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.languages)))
+        self.most = min(MAX_UNSEEN, 4_000_000 // max(1, len(model.languages)))
 
     def _back_off(self, word: str) -> np.ndarray:
         rows, padded = self.model.rows, f" {word} "
         for step, k in enumerate(ORDERS):
             known = [r for i in range(len(padded) - k + 1) if (r := rows.get(f"{k}:{padded[i : i + k]}")) is not None]
             if known:
-                score = self.model.scores[known]
+                score = np.array([self.model.scores(r, k) for r in known])
                 return (score - score.max(axis=1, keepdims=True)).mean(axis=0) * self.model.backoff**step
         return np.zeros(len(self.model.languages))
 
@@ -118,8 +143,8 @@ class Scorer:
         if not words or not self.model.languages or not any(c.isalpha() for c in text):
             return UNDETERMINED, 0.0
         places = list(map(self.model.rows.get, words))
-        total = self.model.scores[[p for p in places if p is not None]].sum(axis=0)
-        if len(self.unseen) > MAX_UNSEEN:
+        total = self.model.total(np.array([p for p in places if p is not None], dtype=np.int64))
+        if len(self.unseen) > self.most:
             self.unseen.clear()
         unseen = [self._place(w) for w, p in zip(words, places) if p is None]
         if unseen:
@@ -130,9 +155,12 @@ class Scorer:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, each row packed whole into a struct column row, with lang_pred and score. 'und' and 0 for null texts or texts without a letter."""
+    """docs, each row packed whole into a struct column row, with lang_pred and score. 'und' and 0 for null texts or texts without a letter.
+
+    A row's result hangs on its text alone, so rows that repeat agree; columns may have any names. No rows: no rows.
+    """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded: max_words + max_grams rows a language
+    shared = spark.sparkContext.broadcast(model)  # bounded by max_entries
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     def start():
