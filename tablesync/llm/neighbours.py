@@ -97,10 +97,11 @@ def coded(rows: DataFrame, k: int, code_bits: int, seed: int) -> DataFrame:
 
 
 def _first_thresholds(asked: DataFrame, sample: DataFrame, blocks: int, k: int) -> DataFrame:
-    """(q_row, t): the k-th best cosine of each query with vectors of other ids in a bounded sample, minus infinity if it has fewer."""
+    """(q_row, t, near): the k-th best cosine of each query with vectors of other ids in a bounded sample, minus infinity if it has fewer, and
+    the row_ids of these vectors, which stay candidates whatever their codes say."""
     def measure(key, left, right):
-        t = np.full(len(right), -np.inf)
-        ids = left.column("ids").to_pylist()
+        t, near = np.full(len(right), -np.inf), [[] for _ in range(len(right))]
+        ids, row_ids = left.column("ids").to_pylist(), left.column("row_id").to_pylist()
         rows = {d: (own, unit(m)) for d, own, m in _by_length(left.column("v"))}
         own_ids = right.column("query_id").to_pylist()
         for d, q_own, m in _by_length(right.column("q")):
@@ -115,14 +116,15 @@ def _first_thresholds(asked: DataFrame, sample: DataFrame, blocks: int, k: int)
                     seen: set[int] = set()
                     for i in best[np.argsort(-scores[best, j])].tolist():
                         seen.update(x for x in ids[r_own[i]] if x != own_ids[place])
+                        near[place].append(row_ids[r_own[i]])
                         if len(seen) >= k:
                             t[place] = scores[i, j] - 1e-9
                             break
-        return pa.table({"q_row": right.column("q_row"), "t": pa.array(t)})
+        return pa.table({"q_row": right.column("q_row"), "t": pa.array(t), "near": pa.array(near, pa.list_(pa.int64()))})
 
     spread = asked.select("q_row", "query_id", "q", "q_block")
-    copies = sample.select("ids", "v").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return copies.groupBy("q_block").cogroup(spread.groupBy("q_block")).applyInArrow(measure, "q_row long, t double")
+    copies = sample.select("row_id", "ids", "v").withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return copies.groupBy("q_block").cogroup(spread.groupBy("q_block")).applyInArrow(measure, "q_row long, t double, near array<long>")
 
 
 def _survivors(codes: DataFrame, asked: DataFrame, row_blocks: int, query_blocks: int, epsilon: float, code_bits: int, seed: int) -> DataFrame:
@@ -194,7 +196,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, epsilon: float
     asked = asked.withColumn("q_block", F.pmod(F.xxhash64(F.lit(seed), "q_row"), F.lit(query_blocks)).cast("int"))
     place = F.pmod(F.xxhash64(F.lit(seed + 1), "row_id"), F.lit(1 << 40))
     part = lambda n: codes.where(place < int(min(1.0, n / max(1, n_rows)) * (1 << 40)))  # noqa: E731  nested samples
-    t = _first_thresholds(asked, part(sample_rows), query_blocks, k)
+    t = written(_first_thresholds(asked, part(sample_rows), query_blocks, k), "first")
+    found = _measured(t.select("q_row", F.explode("near").alias("row_id")), codes, asked, k)
     size = sample_rows
     while True:
         size = size * growth if size * growth * 2 < n_rows else n_rows
@@ -203,7 +206,8 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = 5, epsilon: float
         held = asked.join(known, F.col("q_row") == F.col("t_row")).drop("t_row")
         row_blocks = -(-max(1, size) // min(65_536, max(4096, size // 64)))
         pairs = written(_survivors(inside, held, row_blocks, query_blocks, epsilon, code_bits, seed), "survivors")
-        found = _measured(pairs, codes, asked, k)
+        best = found.unionByName(_measured(pairs, codes, asked, k)).drop("rank")  # what was measured before isn't lost
+        found = _best(best.groupBy("q_row", "query_id", "vec_id").agg(F.max("score").alias("score")), "q_row", k)
         if size >= n_rows:
             once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
             return _best(once, "query_id", k).select("query_id", "rank", "vec_id", "score")
