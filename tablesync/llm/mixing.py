@@ -129,25 +129,16 @@ def mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), repeat_limit:
     return docs.join(plan, same("source", "plan_source") & (F.col("block") == F.col("plan_block"))).select("row", "size", "source_size", "target", mine.alias("draws"))
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The beginning of a text up to its n-th word, white space kept; the text itself if it has no more words."""
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
-    return F.when(n < n_words(text), cut).otherwise(text)
-
-
 def drawn_documents(mixed: DataFrame, seed: int = 17) -> DataFrame:
-    """One row per draw: row, the document with its text cut to the words drawn, and draw: shard, pass, order within the shard, and whether it is a part.
+    """One row per draw: row, the document whole, and draw: shard, pass, and order within the shard.
 
-    Rows are dealt by range of (shard, order) and sorted by it, so partitions in turn hold the shards in turn, each in its order. Borders
-    of partitions may lie within a shard, so tasks aren't bound to the number of shards.
+    A draw of some of a document's words, of which a source has one (or its equal rows), takes the document whole if that is half of it or
+    more, else not at all. Rows are dealt by range of (shard, order) and sorted by it, so partitions in turn hold the shards in turn, each in
+    its order. Borders of partitions may lie within a shard, so tasks aren't bound to the number of shards.
     """
-    draws = mixed.select("row", "size", F.explode("draws").alias("d"))
-    part = F.col("d.words") < F.col("size")
-    text = F.when(part, first_words(F.col("row.text"), F.col("d.words"))).otherwise(F.col("row.text"))
+    draws = mixed.select("row", "size", F.explode("draws").alias("d")).where(F.col("d.words") * 2 >= F.col("size"))
     order = F.xxhash64(F.lit(seed + 3), "row.doc_id", "row.text", "d.pass")
-    names = mixed.schema["row"].dataType.names
-    row = F.struct(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names])
-    dealt = draws.select(row.alias("row"), F.struct("d.shard", "d.pass", order.alias("order"), part.alias("part")).alias("draw"))
+    dealt = draws.select("row", F.struct("d.shard", "d.pass", order.alias("order")).alias("draw"))
     return dealt.repartitionByRange("draw.shard", "draw.order").sortWithinPartitions("draw.shard", "draw.order")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tablesync.llm.common import written
-from tablesync.llm.mixing import _hypergeometric, drawn_documents, first_words, mix, op5_mixing, split_tree, targets, with_size
+from tablesync.llm.mixing import _hypergeometric, drawn_documents, mix, op5_mixing, split_tree, targets, with_size
 
 from .conftest import odd_rows
 
@@ -103,11 +103,14 @@ def test_tree_splits_quotas_exactly(spark):
     assert total == {"a": 1000, "b": 37, "c": 0} and len(size) == 16 and max(size.values()) - min(size.values()) <= 4
 
 
-def test_parts_of_texts(spark, odd):
-    df = spark.createDataFrame([("  a b\n c d ", 2), ("a b", 2), ("a", 5), (None, 1)], "t string, n int")
-    assert [r[0] for r in df.select(first_words(F.col("t"), F.col("n"))).collect()] == ["  a b", "a b", "a", None]
-    drawn = drawn_documents(mix(with_size(odd))).collect()
-    assert all(len(WORDS.findall(r.row.text)) > 0 for r in drawn)
+def test_documents_are_drawn_whole(spark, odd):
+    """A draw of some words takes the document whole from half of it on, else not at all."""
+    mixed = mix(with_size(odd))
+    want = Counter()
+    for r in mixed.collect():
+        want[(r.row.doc_id, r.row.text)] += sum(2 * d.words >= r["size"] for d in r.draws)
+    got = Counter((r.row.doc_id, r.row.text) for r in drawn_documents(mixed).collect())
+    assert got == +want and all(len(WORDS.findall(text)) > 0 for _, text in got)
 
 
 def test_rows_follow_shard_and_order(spark):
