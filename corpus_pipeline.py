@@ -38,14 +38,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, shard after shard in the mix's order; of one per source a part, with n_chars to match.
-    Texts without words, null ones included, hold nothing that could be drawn and go; a null source is a source of its own."""
+    """Whole documents as often as the mix draws them, shard after shard in the mix's order. Texts without words, null ones included, hold
+    nothing that could be drawn and go; a null source is a source of its own."""
     size = "mix_size"
     while size in docs.columns:
         size += "_"
     drawn = mixing.drawn_documents(mixing.mix(mixing.with_size(docs, size=size), size=size))
-    n_chars = F.when(F.col("draw.part"), F.length("row.text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return drawn.select(*[n_chars.alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns])
+    return drawn.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
