@@ -16,13 +16,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch, table
-from .tokens import vocabulary_path
+from .tokens import ChunkEncoder, vocabulary_path
 
 #: Chunks that a worker remembers before it starts anew.
 MAX_CHUNKS = 250_000
@@ -78,14 +79,11 @@ class Aligner:
         return cls._made[byte_path, piece_path]
 
     def __init__(self, byte_path: str, piece_path: str):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.byte_bpe = Tokenizer.from_file(byte_path)
-        self.byte_bpe.encode_special_tokens = True
+        self.encoder = ChunkEncoder(byte_path)
+        self.encoder.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        self.byte_bpe = self.encoder.tokenizer
         self.piece_bpe = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         others = [*range(0x21), *range(0x7F, 0xA1), 0xAD]  # the byte-level alphabet, a fixed value
         byte_of = {chr(b): b for b in range(256)} | {chr(0x100 + i): b for i, b in enumerate(others)}
@@ -96,6 +94,8 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"{piece_path} has pieces that cross a space")
         self.a_size, self.b_size = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        #: An id with each of the marks that may follow it: id * 4 + 0 (,), 1 (|), 2 (;) and 3 (the end of a chunk).
+        self.marked = [f"{i}{m}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for m in ",|;\n"]
         self.forget()
 
     def forget(self) -> None:
@@ -114,43 +114,66 @@ class Aligner:
 
     def learn(self, chunks: list[str]) -> None:
         """Align chunks, each a text that both tokenizers see behind a space, and remember them. All are divided together."""
+        if len(self.encoder.memo) > MAX_CHUNKS:
+            self.encoder.rest()
         for at in range(0, len(chunks), 20_000):
             part = chunks[at : at + 20_000]
-            of_a = [e.ids for e in self.byte_bpe.encode_batch_fast([" " + c for c in part], add_special_tokens=False)]
-            of_b = self.piece_bpe.encode(part, num_threads=1)
-            raw = [b" " + c.encode() for c in part]
-            good = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, r in zip(of_a, of_b, raw)]
-            kept = [i for i, g in enumerate(good) if g]
-            a, b = (np.fromiter((t for i in kept for t in of[i]), dtype=np.int64) for of in (of_a, of_b))
-            ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
-            ends = np.cumsum([len(raw[i]) for i in kept], dtype=np.int64)
+            spaced = [" " + c for c in part]
+            a, a_stops = self.encoder.encode_each(spaced)
+            a, of_b = a.astype(np.int64), self.piece_bpe.encode(part, num_threads=1)
+            b_stops = np.cumsum(np.fromiter(map(len, of_b), dtype=np.int64, count=len(part)))
+            b = np.fromiter(chain.from_iterable(of_b), dtype=np.int64, count=int(b_stops[-1]))
+            sizes = np.array([len(x) if x.isascii() else len(x.encode()) for x in spaced], dtype=np.int64)
+            good = self._whole(spaced, sizes, a, a_stops, b, b_stops)
+            n_a, n_b = np.diff(a_stops, prepend=0), np.diff(b_stops, prepend=0)
+            if not good.all():
+                a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            ends_a, ends_b, ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]), np.cumsum(sizes[good])
             last_a = shared_ends(ends_a, ends_b) + 1
-            last_b = np.searchsorted(ends_b, ends_a[last_a - 1]) + 1
-            spans = np.union1d(ends_a, ends_b)  # between two ends of either side lies one linked pair
+            group_ends = ends_a[last_a - 1]
+            last_b = np.searchsorted(ends_b, group_ends) + 1
+            spans = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+            spans = spans[np.diff(spans, prepend=0) > 0]  # between two ends of either side lies one linked pair
             codes = (a[np.searchsorted(ends_a, spans)] << 32) | b[np.searchsorted(ends_b, spans)]
-            bounds = np.searchsorted(spans, ends, side="right")
-            group_bounds = np.searchsorted(ends_a[last_a - 1], ends, side="right").tolist()
-            a_text, b_text, la, lb = list(map(str, a.tolist())), list(map(str, b.tolist())), [0, *last_a.tolist()], [0, *last_b.tolist()]
-            groups = [",".join(a_text[i:j]) + "|" + ",".join(b_text[k:m]) for i, j, k, m in zip(la, la[1:], lb, lb[1:])]
+            n_links = np.diff(np.searchsorted(spans, ends, side="right"), prepend=0)
+            n_groups = np.diff(np.searchsorted(group_ends, ends, side="right"), prepend=0)
             first = len(self.memo)
             self._grow(first + len(part), self.n_codes + len(codes))
-            counts = np.full((len(part), 4), -1, dtype=np.int64)
-            sizes = np.zeros(len(part), dtype=np.int64)
-            sizes[kept] = np.diff(bounds, prepend=0)
-            counts[kept, 0] = [len(of_a[i]) for i in kept]
-            counts[kept, 1] = [len(of_b[i]) for i in kept]
-            counts[kept, 2] = np.diff(group_bounds, prepend=0)
-            counts[kept, 3] = sizes[kept]
-            texts = [""] * len(part)
-            for i, lo, hi in zip(kept, [0, *group_bounds], group_bounds):
-                texts[i] = ";".join(groups[lo:hi])
+            rows = slice(first, first + len(part))
+            self.counts[rows] = -1
+            self.counts[rows][good] = np.stack([n_a[good], n_b[good], n_groups, n_links], axis=1)
+            texts = iter(self._written(a, b, last_a, last_b, np.isin(group_ends, ends, assume_unique=True)))
+            self.strings += [next(texts) if g else "" for g in good.tolist()]
             self.codes[self.n_codes : self.n_codes + len(codes)] = codes
-            self.counts[first : first + len(part)] = counts
-            self.stops[first + 1 : first + 1 + len(part)] = self.n_codes + np.cumsum(sizes)
+            linked = np.zeros(len(part), dtype=np.int64)
+            linked[good] = n_links
+            self.stops[first + 1 : first + 1 + len(part)] = self.n_codes + np.cumsum(linked)
             self.n_codes += len(codes)
-            self.strings += texts
             self.memo.update(zip(part, range(first, first + len(part))))
 
+    def _whole(self, spaced: list[str], sizes: np.ndarray, a: np.ndarray, a_stops: np.ndarray, b: np.ndarray, b_stops: np.ndarray) -> np.ndarray:
+        """Which chunks have tokens, of both sides, that join to their bytes."""
+        raw = "".join(spaced).encode()
+        good = np.ones(len(spaced), dtype=bool)
+        for ids, stops, size, table in ((a, a_stops, self.a_size, self.a_bytes), (b, b_stops, self.b_size, self.b_bytes)):
+            total = np.concatenate([[0], np.cumsum(size[ids])])[stops]
+            joined = b"".join(map(table.__getitem__, ids.tolist()))
+            if joined != raw or (np.diff(total, prepend=0) != sizes).any():
+                to = total.tolist()
+                good &= [joined[i:j] == x.encode() for i, j, x in zip([0, *to], to, spaced)]
+        return good
+
+    def _written(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, ends_chunk: np.ndarray) -> list[str]:
+        """The groups of each chunk: the marked ids of all, in the order of groups and first A, then B, joined at once and split at the chunks' ends."""
+        in_a, in_b = np.repeat(np.arange(len(last_a)), np.diff(last_a, prepend=0)), np.repeat(np.arange(len(last_b)), np.diff(last_b, prepend=0))
+        mark_a, mark_b = a * 4, b * 4
+        mark_a[last_a - 1] += 1
+        mark_b[last_b - 1] += 2 + ends_chunk
+        out = np.empty(len(a) + len(b), dtype=np.int64)
+        out[np.arange(len(a)) + (last_b[in_a - 1] if len(last_b) else 0) * (in_a > 0)] = mark_a
+        out[np.arange(len(b)) + last_a[in_b]] = mark_b
+        return "".join(map(self.marked.__getitem__, out.tolist())).split("\n")
+
     def learn_texts(self, texts: list[str | None]) -> list[list[str]]:
         """The chunks of each text, all of them known from now on; none for a null or empty text."""
         chunks = [[] if not t else (_CUT.split(t) if _ODD(t) else t.split(" ")) for t in texts]
@@ -211,20 +234,17 @@ def _blocks(docs: DataFrame, byte_path: str, piece_path: str, block_pairs: int)
 
         longs = pa.list_(pa.int64())
         schema = pa.schema([("block", pa.int64()), *[(c, longs) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")], ("groups_sha256", pa.list_(pa.string())), ("n_pairs", longs), ("pairs", pa.binary()), ("times", pa.binary()), ("codes", longs), ("docs", longs)])
-        try:
-            for part in parts:
-                for at in range(0, part.num_rows, 128):
-                    some = part.slice(at, 128)
-                    for doc_id, chunks in zip(some.column("doc_id").to_pylist(), aligner.learn_texts(some.column("text").to_pylist())):
-                        ids.append(doc_id)
-                        found.append(aligner.digest(chunks))
-                        size += len(found[-1][2]) + 16
-                    if size >= block_pairs:
-                        yield flush()
-            if found:
-                yield flush()
-        finally:
-            aligner.forget()  # Spark keeps idle workers, and they would hold it beside those of other stages
+        for part in parts:
+            for at in range(0, part.num_rows, 128):
+                some = part.slice(at, 128)
+                for doc_id, chunks in zip(some.column("doc_id").to_pylist(), aligner.learn_texts(some.column("text").to_pylist())):
+                    ids.append(doc_id)
+                    found.append(aligner.digest(chunks))
+                    size += len(found[-1][2]) + 16
+                if size >= block_pairs:
+                    yield flush()
+        if found:
+            yield flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 

@@ -191,6 +191,19 @@ class ChunkEncoder:
             return self._gather(rows)[0]
         return np.concatenate([self._gather(rows[:-1])[0], self._ids(strings[-1])])  # white space ends the text
 
+    def encode_each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that are cut already, each a text of its own: all of them, one behind the other, and where each one's stop."""
+        rows = self._rows(chunks)
+        odd = np.flatnonzero(rows < 0).tolist()
+        if not odd:
+            return self._gather(rows)
+        rows[odd] = 0
+        ids, stops = self._gather(rows)
+        each = [ids[a:b] for a, b in zip([0, *stops.tolist()], stops.tolist())]
+        for i in odd:
+            each[i] = self._ids(chunks[i])
+        return np.concatenate(each), np.cumsum([len(x) for x in each])
+
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
         if len(self.memo) > MAX_CHUNKS:
