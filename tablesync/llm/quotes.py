@@ -59,7 +59,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     text: the message without quotations. thread_id: the least conv_id among conversations that quotations tie together. parent: (conv_id,
     turn) of the message it answers, by its least deep quotation that is found: in its own conversation the first earlier turn with the
-    passage (the latest such, if several passages are found), otherwise the first message with it in a conversation of smaller conv_id.
+    passage (the latest such, if several passages are found), otherwise the first message with it in another conversation, one of smaller
+    conv_id before one of larger. Where answers go round in a ring, the message of least (conv_id, turn) on it answers none.
     path: (conv_id, turn) from the root down to the message; sorting a thread by path puts replies behind what they answer. n_quoted,
     n_found: passages in the message and how many of them were found.
 
@@ -86,19 +87,27 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     first = texts.join(wanted, F.col("hash") == F.col("wanted"), "left_semi").groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
     first = written(first, "originals")
     inside = first.select(F.col("hash").alias("i_hash"), F.col("conv_id").alias("i_conv"), F.col("turn").alias("i_turn"))
-    anywhere = first.groupBy(F.col("hash").alias("g_hash")).agg(F.min(F.struct("conv_id", "turn")).alias("g"))
+    # the first two conversations with it: one of them isn't the one that asks. Partial top-n keeps a common passage's messages apart
+    two = first.withColumn("r", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("r <= 2")
+    anywhere = two.groupBy(F.col("hash").alias("g_hash")).agg(F.sort_array(F.collect_list(F.struct("conv_id", "turn"))).alias("g"))
     met = asked.join(inside, (F.col("hash") == F.col("i_hash")) & (F.col("conv_id") == F.col("i_conv")) & (F.col("i_turn") < F.col("turn")), "left")
     times = asked.groupBy(F.col("hash").alias("n_hash")).agg(F.count("*").alias("n_asked"))
     anywhere = anywhere.join(times, F.col("g_hash") == F.col("n_hash")).select(F.col("g_hash").alias("of_hash"), "g", "n_asked")
-    met = join_classes(met, anywhere, "hash", "n_asked", asked.count(), "left").withColumn("g", F.when(F.col("g.conv_id") < F.col("conv_id"), F.col("g")))
+    met = join_classes(met, anywhere, "hash", "n_asked", asked.count(), "left").withColumn("g", F.get(F.filter("g", lambda x: x["conv_id"] != F.col("conv_id")), F.lit(0)))
     found = met.withColumn("at", F.when(F.col("i_turn").isNotNull(), F.struct(F.col("conv_id"), F.col("i_turn").alias("turn"))).otherwise(F.col("g")))
-    rank = F.when(F.col("at").isNotNull(), F.struct("level", F.col("i_turn").isNull().alias("elsewhere"), (-F.col("at.turn")).alias("back"), F.col("at.conv_id").alias("p_conv"), F.col("at.turn").alias("p_turn")))
+    elsewhere = F.when(F.col("i_turn").isNotNull(), 0).when(F.col("at.conv_id") < F.col("conv_id"), 1).otherwise(2)
+    rank = F.when(F.col("at").isNotNull(), F.struct("level", elsewhere.alias("elsewhere"), (-F.col("at.turn")).alias("back"), F.col("at.conv_id").alias("p_conv"), F.col("at.turn").alias("p_turn")))
     per_run = found.groupBy("conv_id", "turn", "copy", "level", "run").agg(F.min(rank).alias("best"))
     links = per_run.groupBy("conv_id", "turn").agg(F.min("best").alias("best"), F.count("*").alias("n_quoted"), F.count("best").alias("n_found"))
     links = written(links.select("conv_id", "turn", F.col("best.p_conv").alias("p_conv"), F.col("best.p_turn").alias("p_turn"), "n_quoted", "n_found"), "links")
 
+    if not links.where("p_conv > conv_id").isEmpty():  # others go back in time or to smaller conversations, never round
+        heads = _ring_heads(links.where("p_conv is not null"))
+        headed = links.join(heads, (F.col("conv_id") == F.col("h_conv")) & (F.col("turn") == F.col("h_turn")), "left")
+        stays = lambda c: F.when(F.col("h_conv").isNull(), F.col(c)).alias(c)
+        links = written(headed.select("conv_id", "turn", stays("p_conv"), stays("p_turn"), "n_quoted", "n_found"), "links")
     answers = links.where("p_conv is not null")
-    tied = components(answers.where("p_conv < conv_id").select(F.col("p_conv").alias("a"), F.col("conv_id").alias("b")).distinct())
+    tied = components(answers.where("p_conv <> conv_id").select(F.least("p_conv", "conv_id").alias("a"), F.greatest("p_conv", "conv_id").alias("b")).distinct())
     paths = _paths(answers)
     tied = tied.withColumnRenamed("node", "t_conv")
     links = links.join(paths, (F.col("conv_id") == F.col("m_conv")) & (F.col("turn") == F.col("m_turn")), "left").select(F.col("conv_id").alias("l_conv"), F.col("turn").alias("l_turn"), "p_conv", "p_turn", "n_quoted", "n_found", "path")
@@ -108,6 +117,24 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", "text", F.coalesce("root", "conv_id").alias("thread_id"), F.when(F.col("p_conv").isNotNull(), F.struct(F.col("p_conv").alias("conv_id"), F.col("p_turn").alias("turn"))).alias("parent"), path.alias("path"), F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_found", zero).alias("n_found"))
 
 
+def _ring_heads(answers: DataFrame) -> DataFrame:
+    """(h_conv, h_turn): of each ring of answers the message of least (conv_id, turn).
+
+    Pointer doubling: a round joins where each message has got with where that one has got. Messages that reach a root drop out; once a round
+    drops none, only rings and what leads into them are left, and as many steps as there are of these go all round.
+    """
+    low = F.struct(F.col("conv_id").alias("c"), F.col("turn").alias("t"))
+    state = written(answers.select("conv_id", "turn", "p_conv", "p_turn", low.alias("low")), "rings")
+    n, before, steps = state.count(), None, 1
+    while n and (n != before or steps < n):
+        above = state.select(F.col("conv_id").alias("a_conv"), F.col("turn").alias("a_turn"), F.col("p_conv").alias("n_conv"), F.col("p_turn").alias("n_turn"), F.col("low").alias("a_low"))
+        met = state.join(above, (F.col("p_conv") == F.col("a_conv")) & (F.col("p_turn") == F.col("a_turn")))
+        state = written(met.select("conv_id", "turn", F.col("n_conv").alias("p_conv"), F.col("n_turn").alias("p_turn"), F.least("low", "a_low").alias("low")), "rings")
+        n, before, steps = state.count(), n, steps * 2
+    around = state.select(F.col("p_conv").alias("r_conv"), F.col("p_turn").alias("r_turn")).distinct()
+    return state.where((F.col("low.c") == F.col("conv_id")) & (F.col("low.t") == F.col("turn"))).join(around, (F.col("conv_id") == F.col("r_conv")) & (F.col("turn") == F.col("r_turn")), "left_semi").select(F.col("conv_id").alias("h_conv"), F.col("turn").alias("h_turn"))
+
+
 def _paths(answers: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(m_conv, m_turn, path) of messages with a parent, by pointer doubling: rounds grow with the logarithm of the depth."""
     me, up = F.struct("conv_id", "turn"), F.struct(F.col("p_conv").alias("conv_id"), F.col("p_turn").alias("turn"))
@@ -136,22 +163,28 @@ ORACLE = rf"""WITH RECURSIVE split AS (SELECT conv_id, turn, role, string_split_
   raw AS (SELECT conv_id, turn, role, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM split),
   lines AS (SELECT conv_id, turn, role, pos, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)+'), '[^>]', '', 'g')) AS level,
     regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') AS body FROM raw),
-  ahead AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next_level, coalesce(lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS last_level FROM lines),
-  own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 AND NOT (next_level > 0 AND regexp_matches(body, '{ANNOUNCES}')) THEN body WHEN level > 0 AND last_level = 0 THEN '' END,
+  near AS (SELECT *, coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS next_level, coalesce(lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) AS last_level FROM lines),
+  ahead AS (SELECT *, next_level > level AND regexp_matches(body, '{ANNOUNCES}') AS announces FROM near),
+  own AS (SELECT conv_id, turn, role, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 AND NOT announces THEN body WHEN level > 0 AND last_level = 0 THEN '' END,
     chr(10) ORDER BY pos), ''), '^\s*\n|\s+$', '', 'g') AS text FROM ahead GROUP BY conv_id, turn, role),
-  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS run FROM lines WHERE level > 0),
+  runs AS (SELECT *, pos - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY pos) AS run FROM ahead WHERE level > 0 AND NOT announces),
   passages AS (SELECT conv_id, turn, level, run, string_agg(body, chr(10) ORDER BY pos) AS p FROM runs GROUP BY conv_id, turn, level, run),
   pieces AS (SELECT conv_id, turn, level, run, unnest(list_append(string_split_regex(p, '\n[ \t]*\n'), p)) AS x FROM passages),
   asked AS (SELECT DISTINCT conv_id, turn, level, run, {_NORMAL} AS h FROM pieces WHERE {_NORMAL} <> ''),
   own_pieces AS (SELECT conv_id, turn, unnest(list_append(string_split_regex(text, '\n[ \t]*\n'), text)) AS x FROM own),
   originals AS (SELECT {_NORMAL} AS h, conv_id, min(turn) AS turn FROM own_pieces WHERE {_NORMAL} <> '' GROUP BY 1, 2),
-  anywhere AS (SELECT h, conv_id AS g_conv, turn AS g_turn FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id) AS r FROM originals) WHERE r = 1),
-  found AS (SELECT a.conv_id, a.turn, a.level, a.run, i.turn IS NULL AS elsewhere, CASE WHEN i.turn IS NULL THEN g.g_conv ELSE a.conv_id END AS p_conv,
-    CASE WHEN i.turn IS NULL THEN g.g_turn ELSE i.turn END AS p_turn FROM asked a
-    LEFT JOIN originals i ON a.h = i.h AND a.conv_id = i.conv_id AND i.turn < a.turn LEFT JOIN anywhere g ON a.h = g.h AND g.g_conv < a.conv_id),
+  two AS (SELECT h, conv_id AS g_conv, turn AS g_turn FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY conv_id) AS r FROM originals) WHERE r <= 2),
+  met AS (SELECT a.*, i.turn AS i_turn, g.g_conv, g.g_turn, row_number() OVER (PARTITION BY a.conv_id, a.turn, a.level, a.run, a.h ORDER BY g.g_conv) AS nth FROM asked a
+    LEFT JOIN originals i ON a.h = i.h AND a.conv_id = i.conv_id AND i.turn < a.turn LEFT JOIN two g ON a.h = g.h AND g.g_conv <> a.conv_id),
+  found AS (SELECT conv_id, turn, level, run, CASE WHEN i_turn IS NOT NULL THEN 0 WHEN g_conv < conv_id THEN 1 ELSE 2 END AS elsewhere,
+    CASE WHEN i_turn IS NULL THEN g_conv ELSE conv_id END AS p_conv, CASE WHEN i_turn IS NULL THEN g_turn ELSE i_turn END AS p_turn FROM met WHERE nth = 1),
   counts AS (SELECT conv_id, turn, count(DISTINCT level * 100000 + run) AS n_quoted, count(DISTINCT CASE WHEN p_conv IS NOT NULL THEN level * 100000 + run END) AS n_found FROM found GROUP BY conv_id, turn),
-  parents AS (SELECT conv_id, turn, p_conv, p_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, elsewhere, p_turn DESC, p_conv) AS r FROM found WHERE p_conv IS NOT NULL) WHERE r = 1),
-  ties AS (SELECT DISTINCT p_conv AS a, conv_id AS b FROM parents WHERE p_conv < conv_id UNION SELECT DISTINCT conv_id, p_conv FROM parents WHERE p_conv < conv_id),
+  answers AS (SELECT conv_id, turn, p_conv, p_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, elsewhere, p_turn DESC, p_conv) AS r FROM found WHERE p_conv IS NOT NULL) WHERE r = 1),
+  above AS (SELECT conv_id, turn, p_conv, p_turn FROM answers UNION SELECT b.conv_id, b.turn, a.p_conv, a.p_turn FROM above b JOIN answers a ON b.p_conv = a.conv_id AND b.p_turn = a.turn),
+  rings AS (SELECT conv_id, turn FROM above WHERE conv_id = p_conv AND turn = p_turn),
+  heads AS (SELECT conv_id, turn FROM above JOIN rings USING (conv_id, turn) GROUP BY conv_id, turn HAVING row(conv_id, turn) = min(row(p_conv, p_turn))),
+  parents AS (SELECT * FROM answers ANTI JOIN heads USING (conv_id, turn)),
+  ties AS (SELECT DISTINCT p_conv AS a, conv_id AS b FROM parents WHERE p_conv <> conv_id UNION SELECT DISTINCT conv_id, p_conv FROM parents WHERE p_conv <> conv_id),
   reach AS (SELECT a, b FROM ties UNION SELECT r.a, t.b FROM reach r JOIN ties t ON r.b = t.a),
   threads AS (SELECT a, least(a, min(b)) AS thread_id FROM reach GROUP BY a),
   paths AS (SELECT o.conv_id, o.turn, o.conv_id || ':' || o.turn AS reply_path, 0 AS depth FROM own o LEFT JOIN parents p ON o.conv_id = p.conv_id AND o.turn = p.turn WHERE p.p_conv IS NULL

@@ -242,32 +242,57 @@ def test_odd_tables(spark, clashing, empty, tmp_path):
     assert got.count() == 2 * len(odd_rows()) and got.columns == clashing.columns
 
 
-def test_quotations_against_sql(spark, tmp_path):
-    """Random threads with nested, partial and foreign quotations, in Spark and in DuckDB."""
+def test_originals_in_later_conversations_and_rings(spark):
+    rows = [
+        (1, 0, "u", "> from a later one\nmine"),
+        (5, 0, "u", "from a later one"),
+        (2, 0, "u", "> pong\nping"),
+        (3, 0, "u", "> ping\npong"),
+        (4, 0, "u", "> pong\nwatching"),
+        (6, 0, "u", "> shared\nsix"),
+        (6, 1, "u", "shared"),
+        (7, 0, "u", "shared"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    parent = {k[0]: tuple(r.parent) if r.parent else None for k, r in got.items() if k[1] == 0}
+    assert parent == {1: (5, 0), 2: None, 3: (2, 0), 4: (3, 0), 5: None, 6: (7, 0), 7: None}  # a turn behind the quotation isn't its original
+    assert {k[0]: r.thread_id for k, r in got.items()} == {1: 1, 5: 1, 2: 2, 3: 2, 4: 2, 6: 6, 7: 6}
+    assert [tuple(p) for p in got[4, 0].path] == [(2, 0), (3, 0), (4, 0)] and got[2, 0].n_found == 1
+
+
+@pytest.mark.parametrize("seed", [9, 10])
+def test_quotations_against_sql(spark, tmp_path, seed):
+    """Random threads with nested, partial and foreign quotations of any conversation, announced at any level, in Spark and in DuckDB."""
     import random
 
     import duckdb
 
     from tablesync.llm import quotes
 
-    rng, rows, said = random.Random(8), [], []
-    for conv in range(12):
-        for turn in range(rng.randint(1, 7)):
-            own = "\n\n".join(" ".join(rng.choice(["red", "Green", "blue", "sky", "sea"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3)))
-            text = own
-            if said and rng.random() < 0.7:
-                old = rng.choice(said)
-                part = rng.choice([old, old.split("\n\n")[0], "nobody said this", ""])
-                depth = "> " * rng.randint(1, 3)
-                text = rng.choice(["Ann wrote:\n", "", "so:\n"]) + "\n".join(depth + l for l in part.upper().split("\n")) + "\n" + rng.choice([own, f"{own}\n> {rng.choice(said)}"])
-            said.append(own)
-            rows.append((conv, turn, "user", text))
+    rng = random.Random(seed)
+    places = [(conv, turn) for conv in range(12) for turn in range(rng.randint(1, 7))]
+    said = {p: "\n\n".join(" ".join(rng.choice(["red", "Green", "blue", "sky", "sea"]) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for p in places}
+    rows = []
+    for (conv, turn), own in said.items():
+        text = own
+        if rng.random() < 0.7:
+            old = said[rng.choice(places)]
+            part = rng.choice([old, old.split("\n\n")[0], "nobody said this", ""])
+            n = rng.randint(1, 3)
+            quoted = ["> " * n + x for x in part.upper().split("\n")]
+            if rng.random() < 0.4:  # an announcing line and a deeper quotation behind
+                quoted += ["> " * n + "Bob wrote:", *[">" * (n + 1) + " " + x for x in said[rng.choice(places)].split("\n")]]
+            text = rng.choice(["Ann wrote:\n", "", "so:\n"]) + "\n".join(quoted) + "\n" + rng.choice([own, f"{own}\n> {said[rng.choice(places)]}"])
+        rows.append((conv, turn, "user", text))
     path = f"{tmp_path}/conversations.parquet"
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/*.parquet')")
     rel = con.sql(quotes.ORACLE)
-    want = sorted((tuple(dict(zip(rel.columns, r))[c] for c in sorted(rel.columns)) for r in rel.fetchall()), key=repr)
+    columns = sorted(rel.columns)
+    want = sorted((tuple(dict(zip(rel.columns, r))[c] for c in columns) for r in rel.fetchall()), key=repr)
     got = quotes.op3_quotation_linking(spark, str(tmp_path))
-    assert sorted((tuple(r[c] for c in sorted(got.columns)) for r in got.collect()), key=repr) == want
-    assert sum(r[sorted(rel.columns).index("n_found")] for r in want) > 10
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == want
+    conv, parent, found = (columns.index(c) for c in ("conv_id", "parent_conv", "n_found"))
+    assert sum(r[found] for r in want) > 10 and any(r[parent] is not None and r[parent] > r[conv] for r in want)
+    assert any(r[found] and r[parent] is None for r in want)  # a ring was broken
