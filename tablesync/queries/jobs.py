@@ -150,6 +150,18 @@ def cdc_new_checkpoint(spark, sf):
     return target.read("accounts")
 
 
+@query(f"""WITH {ACCOUNTS_SQL}, {CHANGES_SQL}, part AS (SELECT * FROM changes WHERE seq <= (SELECT (max(event_id) + 1) * 4 // 5 FROM events)), {fold_sql('part')} SELECT * FROM folded""")
+def stream_bounded(spark, sf):
+    """The stream up to a position within a file, then on from there to a later one."""
+    log, path = fx.change_log(spark, sf), scratch(spark, "log")
+    for part in _parts(log, 3):
+        part.write.mode("append").parquet(path)
+    target, checkpoint, ends = _target(spark, "bounded", {"accounts": fx.accounts(spark, sf)}), scratch(spark, "bounded-checkpoint"), _steps(log, 5)
+    for stop in (ends[1], ends[3]):
+        apply_stream(change_stream(spark, path, 1), target, checkpoint, stop=stop).awaitTermination()
+    return target.read("accounts")
+
+
 @query(f"""WITH {MANY_SQL}, {fold_sql('many', 'many_base')}
 SELECT split_part(id, ':', 1) AS tbl, split_part(id, ':', 2) AS k, segment, balance FROM folded""")
 def cdc_many_tables(spark, sf):

@@ -168,15 +168,20 @@ def change_stream(spark: SparkSession, path: str, max_files_per_trigger: int | N
     return reader.parquet(path)
 
 
-def apply_stream(stream: DataFrame, target: Target, checkpoint: str, *, tables: list[str] = (), mode: str = "fail", available_now: bool = True, trigger: str | None = None):
+def apply_stream(stream: DataFrame, target: Target, checkpoint: str, *, tables: list[str] = (), mode: str = "fail", stop=None, available_now: bool = True, trigger: str | None = None):
     """Start the query that applies a stream. tables: those to follow, changes of any others are left out; by default all that the log holds,
     and then a table that the target doesn't keep is an error. Restarted with the same checkpoint the query goes on where it stopped, with
-    another one behind what the target holds."""
-    spark = target.spark
+    another one behind what the target holds.
+
+    stop: the last position to apply. It may lie within a file, of which a later run then needs the rest; so a bounded run has a checkpoint
+    of its own below the given one, and the next run, with another stop or none, goes on behind the position that the target records.
+    """
+    spark, checkpoint = target.spark, checkpoint if stop is None else f"{checkpoint.rstrip('/')}-to-{stop}"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         own = json.loads(read_text(spark, f"{checkpoint}/metadata"))["id"]  # Spark writes it before the first batch
-        target.apply(only_tables(batch, list(tables)), batch_id, own, mode)
+        bounded = batch if stop is None else batch.where(F.col("pos") <= stop)
+        target.apply(only_tables(bounded, list(tables)), batch_id, own, mode)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger or "10 seconds")
