@@ -42,26 +42,32 @@ def transcript_changes(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     local = marked.select("path", "split", "line", "op_text", F.sum(ops).over(so_far).alias("block"), F.sum(marks).over(so_far).alias("markers"), F.last("marker", ignorenulls=True).over(behind).alias("end"), *[F.last(c, ignorenulls=True).over(so_far).alias(n) for c, n in latest.items()])
     met_over = local.join(over, (F.col("path") == F.col("o_path")) & (F.col("split") == F.col("o_split")))
     carried = met_over.select("path", "line", "op_text", (F.col("block") + F.col("ops_before")).alias("block"), (F.col("markers") + F.col("marks_before")).alias("markers"), *[F.coalesce(n, f"o_{n}").alias(n) for n in ("start", "end", "file", "section")]).where("block > 0")
-    heads = carried.where("op_text is not null").select(
-        F.col("path").alias("h_path"), F.col("block").alias("h_block"), F.col("markers").alias("h_markers"), "file", F.col("block").alias("seq"),
-        F.when(F.col("op_text") == "INSERT INTO", "insert").when(F.col("op_text") == "UPDATE", "update").otherwise("delete").alias("op"),
-        table_name(F.regexp_extract("line", OPERATION, 2)).alias("tbl"), F.coalesce("end", F.col("start") + 1).alias("pos"),
-    )
-    body = F.regexp_replace("line", r"^###\s*", "")
-    cells = carried.where(F.startswith("line", F.lit("###")) & F.col("op_text").isNull()).select("path", "block", "markers", "section", assignment_ordinal(body).alias("n"), assignment_value(body).alias("v")).where("n is not null")
-    met = heads.join(cells, (F.col("h_path") == F.col("path")) & (F.col("h_block") == F.col("block")) & (F.col("h_markers") == F.col("markers")), "left")
-    columns = catalog.select(F.col("tbl").alias("c_tbl"), "ordinal", "col", "pk")
-    named = met.join(columns, (F.col("tbl") == F.col("c_tbl")) & (F.col("n") == F.col("ordinal")), "left")
-    keyed = catalog.groupBy(F.col("tbl").alias("k_tbl")).agg(F.max("pk").alias("has_pk"))
-    named = named.join(keyed, F.col("tbl") == F.col("k_tbl"), "left")
-    entry = F.struct("col", "v.text")
-    image = lambda cond: F.collect_list(F.when(F.col("col").isNotNull() & cond, entry))
-    old = F.col("section") == "WHERE"
-    in_key = F.col("pk") | ~F.coalesce("has_pk", F.lit(False))
-    rows = named.groupBy("h_path", "h_block", "file", "seq", "op", "tbl", "pos").agg(image(~old).alias("new"), image(old & in_key).alias("old_key"), image(~old & in_key).alias("new_key"))
-    key = F.when(F.col("op") == "insert", F.col("new_key")).otherwise(F.col("old_key"))
-    values = F.when(F.col("op") == "delete", F.array().cast("array<struct<col:string,text:string>>")).otherwise(F.col("new"))
-    return rows.select(F.col("h_path").alias("path"), "file", F.col("pos").cast("decimal(20,0)").alias("pos"), "seq", "op", "tbl", F.map_from_entries(key).alias("key"), F.map_from_entries(values).alias("values"))
+    body, is_op = F.regexp_replace("line", r"^###\s*", ""), F.col("op_text").isNotNull()
+    op_name = F.when(F.col("op_text") == "INSERT INTO", "insert").when(F.col("op_text") == "UPDATE", "update").otherwise("delete")
+    head = F.struct("markers", "file", op_name.alias("op"), table_name(F.regexp_extract("line", OPERATION, 2)).alias("tbl"), F.coalesce("end", F.col("start") + 1).alias("pos"))
+    cell = F.struct("markers", (F.col("section") == "WHERE").alias("old"), assignment_ordinal(body).alias("n"), assignment_value(body)["text"].alias("text"))
+    blocks = carried.groupBy("path", F.col("block").alias("seq")).agg(F.max(F.when(is_op, head)).alias("h"), F.collect_list(F.when(F.startswith("line", F.lit("###")) & ~is_op, cell)).alias("cells"))
+    cells = F.filter("cells", lambda c: c["n"].isNotNull() & (c["markers"] == F.col("h.markers")))
+    return named_changes(blocks.select("path", "seq", "h.file", "h.op", "h.tbl", "h.pos", cells.alias("cells")), catalog)
+
+
+def named_changes(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Changes (path, file, pos, seq, op, tbl, key, values) of blocks (path, file, pos, seq, op, tbl, cells), by the columns of their table.
+
+    cells: array of (old, n, text), assignments to the n-th column; old: of the row before. catalog as in transcript_changes. Works on streams too.
+    """
+    columns = catalog.groupBy(F.col("tbl").alias("c_tbl")).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct("col", "pk")))).alias("columns"), F.max("pk").alias("has_pk"))
+    met = blocks.join(F.broadcast(columns), F.col("tbl") == F.col("c_tbl"), "left")
+    column = lambda c: F.try_element_at("columns", c["n"])
+    keyless = ~F.coalesce("has_pk", F.lit(False))
+
+    def image(keep):
+        return F.map_from_entries(F.transform(F.filter("cells", lambda c: column(c).isNotNull() & keep(c)), lambda c: F.struct(column(c)["col"].alias("k"), c["text"].alias("v"))))
+
+    in_key = lambda c: column(c)["pk"] | keyless
+    key = F.when(F.col("op") == "insert", image(lambda c: ~c["old"] & in_key(c))).otherwise(image(lambda c: c["old"] & in_key(c)))
+    values = F.when(F.col("op") == "delete", F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).otherwise(image(lambda c: ~c["old"]))
+    return met.select("path", "file", F.col("pos").cast("decimal(20,0)").alias("pos"), "seq", "op", "tbl", key.alias("key"), values.alias("values"))
 
 
 def unknown_relations(tuples: DataFrame, relations: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import Row
 
 from ..functions.text import assignment_ordinal, assignment_value, marker_offset, rotate_target, table_name
-from ..operators.decode import OPERATION
+from ..operators.decode import OPERATION, named_changes
 
 CELLS = "array<struct<old: boolean, n: int, text: string>>"
 HEAD = "last_line long, file string, start long, blocks long, section string, open boolean"
@@ -78,22 +78,6 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return out.where("op is not null or marker is not null or rotate is not null or section is not null or n is not null or ended")
 
 
-def _named(blocks: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Blocks with their assignments as key and values, by the columns of their table."""
-    columns = catalog.groupBy(F.col("tbl").alias("c_tbl")).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct("col", "pk")))).alias("columns"), F.max("pk").alias("has_pk"))
-    met = blocks.join(F.broadcast(columns), F.col("tbl") == F.col("c_tbl"), "left")
-    column = lambda c: F.try_element_at("columns", c["n"])
-    keyless = ~F.coalesce("has_pk", F.lit(False))
-
-    def image(keep):
-        return F.map_from_entries(F.transform(F.filter("cells", lambda c: column(c).isNotNull() & keep(c)), lambda c: F.struct(column(c)["col"].alias("k"), c["text"].alias("v"))))
-
-    in_key = lambda c: column(c)["pk"] | keyless
-    key = F.when(F.col("op") == "insert", image(lambda c: ~c["old"] & in_key(c))).otherwise(image(lambda c: c["old"] & in_key(c)))
-    values = F.when(F.col("op") == "delete", F.map_from_entries(F.array().cast("array<struct<k:string,v:string>>"))).otherwise(image(lambda c: ~c["old"]))
-    return met.select("path", "file", F.col("pos").cast("decimal(20,0)").alias("pos"), "seq", "op", "tbl", key.alias("key"), values.alias("values"))
-
-
 def transcript_stream(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """Streaming changes (path, file, pos, seq, op, tbl, key, values), those that operators.decode.transcript_changes gives for whole files.
 
@@ -102,4 +86,4 @@ def transcript_stream(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     catalog: (tbl, ordinal, col, pk), static, broadcast-sized configuration. Needs the RocksDB state store.
     """
     blocks = _parsed(lines).groupBy("path").transformWithState(OpenBlocks(), OUT, "Append", "None")
-    return _named(blocks, catalog)
+    return named_changes(blocks, catalog)
