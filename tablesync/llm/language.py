@@ -117,16 +117,32 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.unseen: dict[str, int] = {}
+        self.grams: dict[str, np.ndarray | None] = {}
         self.rows = np.zeros((1024, len(model.languages)))
         self.most = min(MAX_UNSEEN, 4_000_000 // max(1, len(model.languages)))
 
+    def _gram(self, gram: str, order: int) -> np.ndarray | None:
+        """Log frequencies of an n-gram below that of its best language, remembered; None if it is unknown."""
+        if len(self.grams) > self.most:
+            self.grams.clear()
+        row = self.model.rows.get(gram)
+        if row is not None:
+            score = self.model.scores(row, order)
+            row = score - score.max()
+        self.grams[gram] = row
+        return row
+
     def _back_off(self, word: str) -> np.ndarray:
-        rows, padded = self.model.rows, f" {word} "
+        padded, grams = f" {word} ", self.grams
         for step, k in enumerate(ORDERS):
-            known = [r for i in range(len(padded) - k + 1) if (r := rows.get(f"{k}:{padded[i : i + k]}")) is not None]
+            known = []
+            for i in range(len(padded) - k + 1):
+                gram = f"{k}:{padded[i : i + k]}"
+                found = grams[gram] if gram in grams else self._gram(gram, k)
+                if found is not None:
+                    known.append(found)
             if known:
-                score = np.array([self.model.scores(r, k) for r in known])
-                return (score - score.max(axis=1, keepdims=True)).mean(axis=0) * self.model.backoff**step
+                return sum(known) * (self.model.backoff**step / len(known))
         return np.zeros(len(self.model.languages))
 
     def _place(self, word: str) -> int:

@@ -32,3 +32,50 @@ def test_dedup_keeps_one_of_each_group(spark, odd):
     kept = corpus_pipeline.near_dedup(spark, odd, SF).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id and r.doc_id in (8, 9, 1)) == [1, 8]
     assert len(kept) < len(odd_rows())
+
+
+def test_what_each_stage_keeps_of_odd_rows(spark, odd, clashing):
+    """The rows that every stage leaves, redone in Python: repeats, nulls, empty and long texts, ties, whatever other columns there are."""
+    from collections import Counter, defaultdict
+
+    from tablesync.llm import language, quality
+
+    from .test_registered import WORDS, kept_by_hand
+    from .test_simhash import by_hand
+    from .test_tokens import ChunkEncoder, vocabulary_path
+
+    rows, ran = odd_rows(), {}
+    for name, stage in corpus_pipeline.STAGES:
+        ran[name] = stage(spark, clashing, SF).collect()
+    left = lambda name: Counter((r.doc_id, r.text) for r in ran[name])
+    score = language.Scorer(language.fit(odd))
+    assert left("language_id") == Counter((r[0], r[1]) for r in rows if score(r[1])[0] != "und" and score(r[1])[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE)
+    rules = quality.fit_rules(odd, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert left("quality_rules") == Counter((r[0], r[1]) for r in rows if kept_by_hand(r[1], rules)[0])
+
+    prints, root = [by_hand(r[1]) for r in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    groups = defaultdict(list)
+    for r, k in zip(rows, root):
+        groups[k].append(r)
+    kept = left("near_dedup")
+    assert sum(kept.values()) == len(groups) and max(kept.values()) == 1
+    for members in groups.values():
+        ids = [r[0] for r in members if r[0] is not None]
+        mine = [(i, t) for i, t in kept if (i, t) in {(r[0], r[1]) for r in members}]
+        assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
+
+    drawn = left("mix_sources")
+    worded = Counter((r[0], r[1]) for r in rows if WORDS.search(r[1] or ""))
+    assert set(drawn) <= set(worded) and all(n <= 3 * worded[k] for k, n in drawn.items())
+    size = lambda source: sum(len(WORDS.findall(r[1] or "")) for r in rows if r[3] == source)
+    assert sum(len(WORDS.findall(t)) * n for (i, t), n in drawn.items() if any(r[0] == i and r[3] == "a" for r in rows)) == 3 * size("a")  # a small source is drawn three times
+    tokens = {r[0]: len(ChunkEncoder.of(vocabulary_path()).tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows if r[0] not in (1, None)}
+    by_doc = Counter()
+    for p in ran["pack_sequences"]:
+        by_doc[p.doc_id] += p.length
+    assert {i: by_doc[i] for i in tokens} == tokens
