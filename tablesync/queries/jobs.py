@@ -12,7 +12,7 @@ from ..sources import rows as rows_io
 from ..storage import published_table, remove, scratch
 from ..streaming.counters import RunningCounts
 from ..streaming.counters import applied_stream as stream_counts
-from ..streaming.cdc import Table, Target, apply_stream, cdc, change_stream
+from ..streaming.cdc import Table, Target, apply_stream, catch_up, cdc, change_stream
 from ..streaming.state import current_rows
 from ..streaming.transcripts import transcript_stream as stream_transcripts
 from . import fixtures as fx
@@ -162,6 +162,19 @@ def stream_bounded(spark, sf):
     return target.read("accounts")
 
 
+@query(FOLD)
+def catch_up_by_position(spark, sf):
+    """A log laid out by position, applied in two runs of bounded batches; the second one goes on behind the first one's end."""
+    log, path = fx.change_log(spark, sf), scratch(spark, "log")
+    middle, last = _steps(log, 2)
+    span = max(1, last // 32)
+    rows_io.write_log(log, path, span)
+    target = _target(spark, "caught-up", {"accounts": fx.accounts(spark, sf)}, merge_every=3)
+    catch_up(target, path, span, stop=middle + 1, positions=-(-last // 4))
+    catch_up(target, path, span, positions=-(-last // 4))
+    return target.read("accounts")
+
+
 @query(f"""WITH {MANY_SQL}, {fold_sql('many', 'many_base')}
 SELECT split_part(id, ':', 1) AS tbl, split_part(id, ':', 2) AS k, segment, balance FROM folded""")
 def cdc_many_tables(spark, sf):

@@ -26,7 +26,8 @@ from ..model import CHANGE
 from ..operators.apply import merge
 from ..operators.changes import only_tables, reject_reason
 from ..sources.bucketed import default_buckets, read_bucketed, write_bucketed
-from ..storage import latest_version, publish_version, read_text, version_state
+from ..sources.rows import read_log
+from ..storage import latest_version, names, publish_version, read_text, version_state
 
 #: A batch below its folder: kind is applied or rejected.
 _BATCH = StructType([f for f in CHANGE if f.name != "tbl"]).add("reason", "string").add("kind", "string").add("tbl", "string")
@@ -188,6 +189,22 @@ def apply_stream(stream: DataFrame, target: Target, checkpoint: str, *, tables:
     return writer.start()
 
 
+def catch_up(target: Target, path: str, span: int, *, stop: int | None = None, positions: int | None = None, tables: list[str] = (), mode: str = "fail") -> None:
+    """Apply a log that write_log laid out, from behind the position that the target records up to stop, by default to its end.
+
+    There is no checkpoint: what the target records is all that a run needs to go on. A batch holds the changes of so many positions and opens the
+    files of these alone. Runs by position and streams may take turns on one target.
+    """
+    spark, since = target.spark, int(target.position()[0] or 0)
+    if stop is None:
+        newest = max((int(n.removeprefix("span=")) for n in names(spark, path) if n.startswith("span=")), default=0)
+        stop = int(read_log(spark, path, span, since=newest * span - 1).agg(F.max("pos")).first()[0] or since)
+    while since < stop:
+        end = min(stop, since + positions) if positions else stop
+        target.apply(only_tables(read_log(spark, path, span, since, end), list(tables)), end, "by position", mode)
+        since = end
+
+
 def job_id(spark: SparkSession, source: str, target: str) -> str:
     return spark.range(1).select(stream_job_id(F.lit(source), F.lit(target))).first()[0]
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablesync.model import CHANGE
 from tablesync.operators import apply
 from tablesync.sources import rows as rows_io
-from tablesync.streaming.cdc import Table, Target, apply_stream, change_stream
+from tablesync.streaming.cdc import Table, Target, apply_stream, catch_up, change_stream
 from tablesync.streaming.counters import RunningCounts, applied_stream
 from tablesync.streaming.state import current_rows
 
@@ -96,6 +96,29 @@ def test_a_stream_stops_within_a_file_and_goes_on_there(spark, tmp_path):
             assert rows() == want and int(target.position()[0]) == (stop or 10)
 
 
+def test_catching_up_by_position(spark, tmp_path):
+    """Bounded batches, stretches without changes, a bad change in the middle, and a stream that goes on from there."""
+    path = f"file://{tmp_path}/log"
+    rows = [(s, "insert", "t", s, {"id": str(s), "v": "x"}) for s in (1, 2, 3, 500, 501, 900)]
+    rows_io.write_log(log_of(spark, [*rows, (502, "truncate", "t", 1, {})]), path, 100)
+    base = spark.createDataFrame([], "id long, v string")
+    target = Target(spark, f"file://{tmp_path}/t", {"t": Table(base.schema, ["id"])})
+    target.create({"t": base}, 0)
+    ids = lambda: sorted(r.id for r in target.read("t").collect())
+    with pytest.raises(Exception, match="bad change"):
+        catch_up(target, path, 100, positions=250)
+    assert ids() == [1, 2, 3, 500]  # the batches before the bad one
+    catch_up(target, path, 100, stop=502, mode="quarantine")
+    assert ids() == [1, 2, 3, 500, 501] and target.counts() == (5, 1)
+    catch_up(target, path, 100)
+    catch_up(target, path, 100)
+    assert ids() == [1, 2, 3, 500, 501, 900] and target.counts() == (6, 1) and int(target.position()[0]) == 900
+    later = f"file://{tmp_path}/later"
+    log_of(spark, [*rows, (901, "delete", "t", 1, {})]).write.parquet(later)
+    apply_stream(change_stream(spark, later), target, f"file://{tmp_path}/cp").awaitTermination()
+    assert ids() == [2, 3, 500, 501, 900]
+
+
 def files_read(df) -> int:
     """How many files the scans of a query have opened."""
     df.collect()
