@@ -61,7 +61,7 @@ def plan(chains: DataFrame, limits: DataFrame, now) -> DataFrame:
     A chain is kept if any rule that is set keeps it, and if none is set. Each rule is a top-n for each profile with a constant n, the
     largest of all profiles: tasks cut their part to n rows before a profile's rows meet, so a profile with most of the chains is no burden.
     """
-    limits = cut(limits)  # one row for each profile
+    limits, chains = cut(limits), cut(chains)  # one row for each profile; and the chains, which every rule reads
     most = limits.agg(*[F.max(f).alias(f) for f in FIELDS]).first()
     met = chains.join(limits.withColumnRenamed("profile", "l_profile"), F.col("profile").eqNullSafe(F.col("l_profile")), "left")
     newest = [F.desc("newest"), "root"]
@@ -91,6 +91,7 @@ def plan_one_pool(chains: DataFrame, policy: RetentionPolicy, now) -> DataFrame:
     """plan with one policy over all chains, whatever their profile: top-n queries, no window over everything."""
     if policy.keeps_all:
         return chains.withColumn("decision", F.lit("keep"))
+    chains = cut(chains)
     rules = [keep_last(chains, policy.keep_last).select("root")] if policy.keep_last else []
     rules += [max_age(chains, now, policy.max_age_seconds).select("root")] if policy.max_age_seconds else []
     rules += [gfs(chains, t, getattr(policy, f)).select("root") for t, f in TIERS.items() if getattr(policy, f)]
