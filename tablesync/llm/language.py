@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, text_udf
+from .common import table, text_udf, written
 
 ORDERS = (4, 3, 2, 1)
 #: Unseen words that a worker remembers before it starts anew.
@@ -56,22 +56,25 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_entries: int = 1_000_000, min_word_count: int = 2, min_gram_count: int = 3, max_words: int = 60_000, max_grams: int = 60_000, smoothing: float = 0.5, backoff: float = 0.7) -> Model:
+def fit(docs: DataFrame, *, max_docs_per_language: int = 1000, max_docs: int = 200_000, max_entries: int = 1_000_000, min_word_count: int = 2, min_gram_count: int = 3, max_words: int = 60_000, max_grams: int = 60_000, smoothing: float = 0.5, backoff: float = 0.7) -> Model:
     """Learn from docs (doc_id, text, lang) that aren't held out and have a lang.
 
-    The training rows are at most max_docs_per_language of each language, in hash order of doc_id. The model has one entry for each piece and language:
+    The training rows are at most max_docs_per_language of each language, in hash order of doc_id, and fewer where that would be more than max_docs
+    in all (one at least); their ids are broadcast, so that no text is shuffled. The model has one entry for each piece and language:
     the most frequent max_words words and max_grams n-grams of each language, fewer where that would be more than max_entries in all.
     Rows that repeat a doc_id and lang are sampled alike. No rows: a model without languages, which answers 'und'.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
     # a hash threshold for each language leaves about 1.5 times the bound, so few rows meet in the task that ranks a language
     sizes = labelled.groupBy(F.col("lang").alias("s_lang")).agg(F.count("*").alias("docs"))
+    sizes = written(sizes, "languages")
+    each = max(1, min(max_docs_per_language, max_docs // max(1, sizes.count())))
     near = labelled.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("s_lang"))
-    near = near.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) < F.lit(1.5 * max_docs_per_language * (1 << 40)) / F.col("docs"))
+    near = near.where(F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) < F.lit(1.5 * each * (1 << 40)) / F.col("docs"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = near.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_docs_per_language)
+    chosen = near.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     chosen = chosen.select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
-    train = labelled.select("doc_id", "lang", "text").join(chosen, F.expr("doc_id = chosen_id and lang = chosen_lang"))
+    train = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), F.expr("doc_id = chosen_id and lang = chosen_lang"))
     words = train.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = words.groupBy("lang", "word").agg(F.count("*").alias("n")).persist()
     padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
