@@ -29,12 +29,10 @@ def candidates(ends_sentence: np.ndarray, doc_ends: np.ndarray, sentence_penalty
     penalty[doc_ends] = 0.0
     penalty[[0, n]] = 0.0
     cuts = np.flatnonzero(penalty < np.inf)
-    gaps = np.flatnonzero(np.diff(cuts) > inner_step)
-    inner = [np.arange(cuts[g] + inner_step, cuts[g + 1], inner_step) for g in gaps.tolist()]
-    if inner:
-        inner = np.concatenate(inner)
-        penalty[inner] = inner_penalty
-        cuts = np.flatnonzero(penalty < np.inf)
+    inside = (np.diff(cuts) - 1) // inner_step
+    nth = np.arange(inside.sum()) - np.repeat(np.cumsum(inside) - inside, inside)
+    penalty[np.repeat(cuts[:-1], inside) + (nth + 1) * inner_step] = inner_penalty
+    cuts = np.flatnonzero(penalty < np.inf)
     return cuts, penalty[cuts]
 
 

@@ -1,9 +1,9 @@
-"""Token ids of whole texts with a public byte-level BPE, remembered by space-delimited chunk.
+"""Token ids of whole texts with a public byte-level BPE, remembered by piece of its pre-tokenizer.
 
-The pre-tokenizer of the vocabulary never lets a token cross the place between a non-space character and a single space that is
-followed by a non-space character. So a text falls into chunks there, and each chunk, its space included, has the same ids wherever it
-stands. A batch is split and dictionary-encoded in Arrow; only its different chunks are looked up, those never seen before are cut by the
-pre-tokenizer's pattern into words, unseen words are merged by the tokenizer's model, and numpy gathers the ids of all chunks.
+The pre-tokenizer's pattern tells letters, numbers, white space and other characters apart, so numpy finds where its pieces begin in the
+bytes of a whole batch. Arrow dictionary-encodes the pieces; only different ones are looked up, those never seen before are merged by the
+tokenizer's model, and numpy gathers the ids. Texts with characters that engines may class differently, or with special tokens, fall
+into chunks at single spaces between other characters, which no token crosses; odd chunks are left to the tokenizer itself.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers before it starts anew; bounds its memory at about 270 MB, buffers included.
+#: Pieces and chunks that a worker remembers before it starts anew; bounds its memory at about 270 MB, buffers included.
 MAX_CHUNKS = 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: The byte-level pre-tokenizer's pattern: a fixed value.
+#: The byte-level pre-tokenizer's pattern: a fixed value. _pieces() cuts as it does.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Zero, and characters on whose being white space regular expression libraries differ.
-_ODD_SPACE = "\\x00\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff"
+_ODD_SPACE = "\x00\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff"
 
 
 def _alphabet() -> np.ndarray:
@@ -39,9 +39,13 @@ def _alphabet() -> np.ndarray:
 _ALPHABET = _alphabet()
 
 
+#: Kinds of characters, as the pattern tells them apart.
+_OTHER, _LETTER, _NUMBER, _SPACE, _UNSURE = range(5)
+
+
 @lru_cache(maxsize=1)
-def _unsure() -> str:
-    """A regular expression for characters that the tokenizer's engine and others may take for different kinds.
+def _kinds() -> np.ndarray:
+    """The kind of every code point.
 
     Engines differ by the version of Unicode that they know. A character that Unicode 3.2 had, as a letter, number, space or other just as
     today, is the same to all of them; any other counts as unsure. Strings with one are left to the tokenizer itself, as a whole.
@@ -49,11 +53,62 @@ def _unsure() -> str:
     def kind(c: str) -> str:
         return c[0] if c[0] in "LN" or c == "Zs" else "C" if c == "Cn" else "other"
 
+    by_name = {"L": _LETTER, "N": _NUMBER, "Z": _SPACE, "other": _OTHER}
     old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
-    bad = [i for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and (kind(new(c := chr(i))) == "C" or kind(old(c)) != kind(new(c)))]
-    breaks = np.flatnonzero(np.diff(bad) > 1)
-    starts, ends = [bad[0], *[bad[i + 1] for i in breaks]], [*[bad[i] for i in breaks], bad[-1]]
-    return "[" + _ODD_SPACE + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends)) + "]"
+    out = np.full(0x110000, _UNSURE, dtype=np.uint8)
+    for i in range(0x110000):
+        now = kind(new(c := chr(i)))
+        if i < 0x80 or now != "C" and kind(old(c)) == now:
+            out[i] = _SPACE if c.isspace() else by_name[now]
+    out[[ord(c) for c in _ODD_SPACE]] = _UNSURE
+    return out
+
+
+@lru_cache(maxsize=1)
+def _unsure() -> str:
+    """A regular expression for characters that the tokenizer's engine and others may take for different kinds."""
+    bad = np.flatnonzero(_kinds() == _UNSURE)
+    bad = bad[(bad < 0xD800) | (bad >= 0xE000)]
+    return "[" + "".join(f"\\U{r[0]:08x}-\\U{r[-1]:08x}" for r in np.split(bad, np.flatnonzero(np.diff(bad) > 1) + 1)) + "]"
+
+
+def _pieces(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pattern's pieces begin in the UTF-8 bytes of texts that begin at heads, and the bytes of unsure characters."""
+    kinds, n = _kinds(), len(data)
+    kind = kinds[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for k in (1, 2, 3):
+            more = size > k
+            point[more] = point[more] << 6 | data[lead[more] + k] & 0x3F
+        kind[lead] = of_point = kinds[point]
+        for k in (1, 2, 3):
+            kind[lead[size > k] + k] = of_point[size > k]
+    is_head = np.zeros(n + 3, dtype=bool)
+    is_head[heads] = True
+    begins = is_head.copy()
+    begins[1:n] |= kind[1:] != kind[:-1]
+    # the last of several white characters stands alone, or with what follows if it is a space
+    space = kind == _SPACE
+    after = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    after = after[~is_head[after]]
+    last = after - 1
+    for _ in range(3):
+        last = last - (data[last] & 0xC0 == 0x80)
+    begins[last] = True
+    begins[after[data[after - 1] == 0x20]] = False
+    # 's and the like, where a piece begins with the apostrophe
+    at = np.flatnonzero(data[:-1] == 0x27)
+    at = at[begins[at] & ~is_head[at + 1]]
+    one, two = data[at + 1], data[np.minimum(at + 2, n - 1)] * (at + 2 < n)
+    short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+    long = ~is_head[at + 2] & (((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C))
+    begins[at[short | long] + 1] = False
+    begins[np.concatenate([at[short] + 2, at[long] + 3])] = True
+    return np.flatnonzero(begins[:n]), np.flatnonzero(kind == _UNSURE)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -91,7 +146,8 @@ class ChunkEncoder:
         self.model = Tokenizer(self.tokenizer.model)
         self.pieces = regex.compile(PATTERN).findall
         special = self.tokenizer.get_added_tokens_decoder()
-        self.alone = re.compile("|".join([_unsure(), *(re.escape(t.content) for t in special.values())])).search
+        self.special = [t.content for t in special.values()]
+        self.alone = re.compile("|".join([_unsure(), *map(re.escape, self.special)])).search
         strings = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         #: Bytes of the text that each id stands for: one character of a byte-level token is one byte.
         self.n_bytes = np.array([len(s.encode() if i in special else s) for i, s in enumerate(strings)], dtype=np.int64)
@@ -183,7 +239,7 @@ class ChunkEncoder:
         return np.array(rows, dtype=np.int64)
 
     def _odd(self, text: str) -> np.ndarray:
-        """Ids of a text in which not all white space is single spaces between other characters."""
+        """Ids of a text in chunks: one that holds unsure characters or a special token."""
         first, *chunks = _CUT.split(text)
         strings = [first, *[" " + c for c in chunks]]
         rows = self._rows(strings)
@@ -206,29 +262,34 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
+        if not len(texts):
+            return []
         if len(self.memo) > MAX_CHUNKS:
             self._forget()
-        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        split = pc.split_pattern(texts, " ")
-        flat, offsets = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).cumsum()
-        heads = np.concatenate([[0], offsets[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, dtype=np.int64)
-        is_head = np.zeros(len(flat), dtype=bool)
-        is_head[heads] = True
-        first = _strings(flat.take(pa.array(heads)))
-        chunks = flat.filter(pa.array(~is_head)).dictionary_encode()
-        rows = np.empty(len(flat), dtype=np.int64)
-        rows[is_head] = self._rows(first)
-        of_chunk = self._rows(_strings(pc.binary_join_element_wise(pa.scalar(" "), chunks.dictionary, pa.scalar(""))))
-        rows[~is_head] = of_chunk[chunks.indices.to_numpy()]
-        owner = np.searchsorted(offsets, np.flatnonzero(rows < 0), side="right")
-        more = np.diff(np.append(heads, len(flat))) > 1
-        odd = {*owner.tolist(), *(i for i in np.flatnonzero(more).tolist() if not first[i] or first[i][-1].isspace())}
-        for i in odd:
-            rows[heads[i] : offsets[i]] = 0
-        ids, stops = self._gather(rows)
-        ends = stops[offsets - 1].tolist() if len(texts) else []
+        texts = pc.fill_null(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        _, offsets, buffer = texts.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(buffer or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        heads, ends = (offsets[:-1] - offsets[0]).astype(np.int64), (offsets[1:] - offsets[0]).astype(np.int64)
+        begins, unsure = _pieces(data, heads[heads < len(data)])
+        odd = np.zeros(len(texts), dtype=bool)
+        odd[np.searchsorted(ends, unsure, side="right")] = True
+        for t in self.special:
+            odd |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        bounds = np.append(begins, len(data)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(begins), pa.py_buffer(bounds), pa.py_buffer(data))
+        kept = ~odd[np.searchsorted(ends, begins, side="right")]
+        if odd.any():  # their pieces may be no pieces, so nothing is learned from them
+            pieces = pieces.filter(pa.array(kept))
+        pieces = pieces.dictionary_encode()
+        strings = _strings(pieces.dictionary)
+        self._merge([s for s in strings if s not in self.memo])
+        rows = np.fromiter(map(self.memo.get, strings), dtype=np.int64, count=len(strings))
+        ids, stops = self._gather(rows[pieces.indices.to_numpy()])
+        n_pieces = np.append(0, np.cumsum(kept))[np.searchsorted(begins, ends)]
+        ends = np.append(0, stops)[n_pieces].tolist()
         out = [ids[a:b] for a, b in zip([0, *ends], ends)]
-        for i in odd:
+        for i in np.flatnonzero(odd).tolist():
             out[i] = self._odd(texts[i].as_py())
         return out
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablesync.llm import simple8b
-from tablesync.llm.packing import best_cuts, pack, tail_cuts
+from tablesync.llm.packing import best_cuts, candidates, pack, tail_cuts
 from tablesync.llm.token_files import pack_segment, read_token_files, unpack_segment, write_token_files
 from tablesync.llm.tokens import ChunkEncoder, vocabulary_path
 
@@ -31,6 +31,41 @@ def test_chunks_give_the_ids_of_whole_texts(encoder):
         assert ids.tolist() == whole(encoder, text), repr(text)
 
 
+def test_whole_batches_are_cut_into_pieces(encoder, monkeypatch):
+    """No text with white space of any kind or with punctuation is encoded alone, and words are learned once, whatever follows them."""
+    monkeypatch.setattr(encoder, "_odd", None)
+    monkeypatch.setattr(encoder, "_ids", None)
+    encoder._forget()
+    texts = ["alpha, beta. alpha beta", "", None, "\n\talpha  beta,\n\nalpha beta's alpha ", "it'll 'tis we''ve\u3000\u00e9t\u00e9'", "s end"]
+    for ids, text in zip(encoder.encode(texts), texts):
+        assert ids.tolist() == whole(encoder, text), repr(text)
+    assert not {s for s in encoder.memo if len(encoder.pieces(s)) > 1}
+    assert {"alpha", " alpha", " beta", "'s", "'ll", "''", "\u3000", "\u00e9t\u00e9"} < set(encoder.memo)
+    encoder._forget()
+
+
+def test_nothing_is_learned_from_texts_left_to_the_tokenizer(encoder):
+    """Their pieces may be none to the tokenizer; other texts of the batch aren't touched by them."""
+    encoder._forget()
+    texts = ["plain words", "a\x00b \u0378\u0379\u0378", "", "x<|endoftext|>y", None, "plain \u0378 words", "more plain words."]
+    for _ in range(2):
+        for ids, text in zip(encoder.encode(texts), texts):
+            assert ids.tolist() == whole(encoder, text), repr(text)
+    assert not {s for s in encoder.memo if encoder.alone(s) and encoder.ids[encoder.stops[encoder.memo[s]] : encoder.stops[encoder.memo[s] + 1]].tolist() != whole(encoder, s)}
+    encoder._forget()
+
+
+def test_slices_of_arrow_arrays(encoder):
+    import pyarrow as pa
+
+    texts = ["left out é", None, "kept, words", "", "'s", "s kept\n", "left out"]
+    for kind in (pa.string(), pa.large_string()):
+        got = encoder.encode(pa.array(texts, kind).slice(1, 5))
+        assert [x.tolist() for x in got] == [whole(encoder, t) for t in texts[1:6]]
+        assert encoder.encode(pa.array([], kind)) == []
+        assert [len(x) for x in encoder.encode(pa.array([None, ""], kind))] == [0, 0]
+
+
 def test_every_code_point_is_cut_as_the_tokenizer_cuts_it(encoder):
     """Each between a letter and an apostrophe, and between a space and a number; nothing but surrogates is left out."""
     points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
@@ -161,6 +196,19 @@ def test_cuts_are_the_cheapest():
         assert sum(top - (cuts[b] - cuts[a]) + pen[b] for a, b in zip(at, at[1:])) == cost[n]
 
 
+@pytest.mark.parametrize("n", [1, 2, 17, 400])
+@pytest.mark.parametrize("step", [1, 3, 16])
+def test_candidates_are_document_ends_sentence_ends_and_inner_places(n, step):
+    rng = np.random.default_rng(n + step)
+    sentence, doc_ends = rng.random(n) < 0.03, np.flatnonzero(rng.random(n) < 0.02) + 1
+    want = {0: 0.0, **{int(i) + 1: 2.0 for i in np.flatnonzero(sentence)}, **{int(i): 0.0 for i in doc_ends}, n: 0.0}
+    outer = sorted(want)
+    for a, b in zip(outer, outer[1:]):
+        want.update({i: 8.0 for i in range(a + step, b, step)})
+    cuts, penalties = candidates(sentence, doc_ends, 2.0, 8.0, step)
+    assert dict(zip(cuts.tolist(), penalties.tolist())) == want and cuts.tolist() == sorted(want)
+
+
 def test_tail_is_cut_to_powers_of_two():
     assert tail_cuts(10, 10 + 700) == [522, 650, 682, 698, 706, 710]
 
