@@ -65,7 +65,8 @@ def links(fps: DataFrame) -> DataFrame:
     stored = placed.select(F.col("fp").alias("b"), F.col("seg").alias("b_seg"), F.col("low").alias("b_key"))
     flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << (SEGMENT_BITS + k)).cast("long") for k in range(SEGMENT_BITS)]))
     asked = placed.select(F.col("fp").alias("a"), "seg", "low", flips.alias("flip")).select("a", "seg", F.col("low").bitwiseXOR(F.col("flip")).alias("key"))
-    met = asked.join(stored, (F.col("key") == F.col("b_key")) & (F.col("seg") == F.col("b_seg")) & (F.col("a") < F.col("b")))
+    # a merge join always: Spark doesn't see that explode multiplies rows, so it would broadcast the keys of a table of fingerprints that is far too large for it
+    met = asked.join(stored.hint("merge"), (F.col("key") == F.col("b_key")) & (F.col("seg") == F.col("b_seg")) & (F.col("a") < F.col("b")))
     apart = _turned(F.col("a").bitwiseXOR(F.col("b")), F.col("seg") * SEGMENT_BITS)
     chain = F.bit_count(apart.bitwiseAND(F.lit((1 << 3 * SEGMENT_BITS) - 1))) <= 2
     return met.where(chain).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3).select("a", "b").distinct()
@@ -79,7 +80,7 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
     """
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     linked = components(links(classes.select("fp")))
-    roots = written(classes.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    roots = written(classes.join(linked.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     groups = roots.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows"), F.count("*").alias("n_fps"))
     return join_classes(roots, groups, "root", "n_fps", roots.count()).select("fp", "n", "root", "component_id", "group_rows")
 

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablesync.llm.graph import components
+from tablesync.llm.common import join_classes
+from tablesync.llm.graph import _large_star, _small_star, components
 from tablesync.llm.simhash import fingerprint, fingerprints, links, near_duplicates, one_of_each_group
 
 from .conftest import odd_rows
@@ -72,3 +73,27 @@ def test_groups_of_null_ids_keep_one(spark):
 def test_a_hot_group(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same words in a third of all rows").otherwise(F.concat_ws(" ", *[F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i))).cast("binary")) for i in range(5)])).alias("text"))
     assert one_of_each_group(docs).count() == 2001
+
+
+def joins(df):
+    """Kinds of the joins that Spark plans at first, before it has seen any size."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {k: plan.count(k + " [") + plan.count(k + "(skew") for k in ("BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin")}
+
+
+def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
+    """Small in Parquet, and smaller than they are by Spark's estimate: still merge joins. Of classes the heavy ones alone are broadcast."""
+    spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).write.parquet(f"{tmp_path}/edges")
+    edges = spark.read.parquet(f"{tmp_path}/edges")
+    for df in (links(edges.select(F.col("a").alias("fp"))), _large_star(edges), _small_star(edges)):
+        assert joins(df) == {"BroadcastHashJoin": 0, "SortMergeJoin": 1, "ShuffledHashJoin": 0}
+    classes = edges.groupBy(F.col("a").alias("of_a")).agg(F.count("*").alias("n"))
+    found = joins(join_classes(edges, classes, "a", "n", 50))
+    assert found["BroadcastHashJoin"] == 3 and found["SortMergeJoin"] == 1
+
+
+def test_components_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("tablesync.llm.graph.SMALL", 0)
+    edges = [(0, 3), (1, 3), (1, 2), (5, 6)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 5: 5, 6: 5}
