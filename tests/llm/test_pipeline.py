@@ -79,3 +79,20 @@ def test_what_each_stage_keeps_of_odd_rows(spark, odd, clashing):
     for p in ran["pack_sequences"]:
         by_doc[p.doc_id] += p.length
     assert {i: by_doc[i] for i in tokens} == tokens
+
+
+def test_dedup_broadcasts_no_table_of_fingerprints(spark, odd, monkeypatch):
+    """What finds links and groups, as Spark plans it before it has seen any size."""
+    from tablesync.llm import graph, simhash
+
+    plans = {}
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, label)
+
+    for module in (graph, simhash):
+        monkeypatch.setattr(module, "written", noted)
+    corpus_pipeline.near_dedup(spark, odd, SF).collect()
+    for label in ("edges", "roots"):
+        assert "SortMergeJoin" in plans[label] and "BroadcastHashJoin" not in plans[label], label
