@@ -207,11 +207,12 @@ def keyed_state_stream(spark, sf):
     """Current row of each key as a stream that starts from the base: half of the log, then the other half."""
     base = fx.accounts(spark, sf)
     path, out, checkpoint = scratch(spark, "state-log"), scratch(spark, "state-out"), scratch(spark, "state-checkpoint")
+    buckets = 16 + base.count() // 1000
     _rocksdb(spark)
     write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     for rows in _parts(fx.change_log(spark, sf), 2):
         rows.select(*CHANGE.names).write.mode("append").parquet(path)
-        states = current_rows(change_stream(spark, path), "id", base)
+        states = current_rows(change_stream(spark, path), "id", base, buckets)
         states.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(out).groupBy(F.col("key").cast("long").alias("id")).agg(F.max_by(F.struct("alive", "row"), "seq").alias("s"))
     changed = last.where("s.alive").select("id", F.try_element_at("s.row", F.lit("segment")).alias("segment"), F.try_element_at("s.row", F.lit("balance")).cast("decimal(18,2)").alias("balance"))

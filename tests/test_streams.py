@@ -12,7 +12,7 @@ from tablesync.operators import apply
 from tablesync.sources import rows as rows_io
 from tablesync.streaming.cdc import Table, Target, apply_stream, catch_up, change_stream
 from tablesync.streaming.counters import RunningCounts, applied_stream
-from tablesync.streaming.state import current_rows
+from tablesync.streaming.state import CurrentRows, current_rows
 
 
 def log_of(spark, rows):
@@ -158,3 +158,90 @@ def test_variants_keep_null_and_absent_apart(spark, tmp_path):
     (tmp_path / "rows" / "tbl=a" / "odd.txt").write_text('{"t": "a", "v": {oops\n')
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         rows_io.load_variants(spark, path).collect()
+
+
+def test_state_is_a_value_for_each_bucket_of_keys(spark, tmp_path):
+    """Calls of the state store grow with buckets, not with keys and columns."""
+    base = spark.range(300).select("id", F.lit("b").alias("a"), F.lit("c").alias("b"))
+    log_of(spark, [(s, "update", "t", s, {"a": "u"}) for s in range(1, 201)]).write.parquet(f"file://{tmp_path}/log")
+    states = current_rows(change_stream(spark, f"file://{tmp_path}/log"), "id", base, buckets=5)
+    running = states.writeStream.outputMode("update").foreachBatch(lambda batch, k: batch.write.parquet(f"file://{tmp_path}/out")).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+    running.awaitTermination()
+    assert sum(p["stateOperators"][0]["numRowsTotal"] for p in running.recentProgress if p["stateOperators"]) <= 5
+    got = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert {(int(r.key), r.seq, r.alive, r.row["a"], r.row["b"]) for r in got} == {(s, s, True, "u", "c") for s in range(1, 201)} and len(got) == 200
+
+
+class Held:
+    """State variables of one group, in memory."""
+
+    def __init__(self):
+        self.of = {}
+
+    def getValueState(self, name, schema):
+        return self.of.setdefault(name, Value())
+
+    getMapState = lambda self, name, key, value: self.of.setdefault(name, Map())
+
+
+class Value:
+    value = None
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Map(Value):
+    def __init__(self):
+        self.value = {}
+
+    exists = lambda self: bool(self.value)
+    keys = lambda self: iter(list(self.value))
+    iterator = lambda self: iter(list(self.value.items()))
+
+    def updateValue(self, key, value):
+        self.value[key] = value
+
+    def clear(self):
+        self.value = {}
+
+
+def replayed(rows, state):
+    """Rows (seq, op, key, values) one after the other; state: key to row."""
+    for _, op, key, values in sorted(rows):
+        if op == "delete":
+            state.pop(key, None)
+        elif op == "insert":
+            state.setdefault(key, dict(values))
+        elif key in state:
+            state[key].update(values)
+    return state
+
+
+@pytest.mark.parametrize("max_waiting", [1, 7, 50_000])
+def test_a_bucket_folds_changes_in_any_order(max_waiting):
+    """Inserts in memory and in the state store give what a replay gives, batch after batch."""
+    import pandas as pd
+
+    rng = random.Random(max_waiting)
+    processor, held, want, seq = CurrentRows(max_waiting), Held(), {"k0": {"a": "0", "b": None}}, 0
+    processor.init(held)
+    processor.handleInitialState((0,), pd.DataFrame({"k": ["k0"], "vals": ['{"a": "0", "b": null}']}), None)
+    for _ in range(12):
+        rows = []
+        for _ in range(rng.randint(1, 40)):
+            seq += 1
+            op = rng.choice(["insert", "insert", "update", "delete"])
+            rows.append((seq, op, f"k{rng.randint(0, 3)}", {} if op == "delete" else {c: rng.choice([None, "p", "q"]) for c in "ab" if rng.random() < 0.7}))
+        cells = [(0, k, s, op, n, v) for s, op, k, values in rows for n, v in (values.items() or [(None, None)])]
+        rng.shuffle(cells)
+        pieces = [pd.DataFrame(cells[i : i + 9], columns=["bucket", "k", "seq", "op", "name", "value"]) for i in range(0, len(cells), 9)]
+        (out,) = processor.handleInputRows((0,), iter(pieces), None)
+        want = replayed(rows, want)
+        assert json.loads(held.of["rows"].value[0]) == want and not held.of["inserts"].value
+        assert {r.key: (r.seq, json.loads(r.vals) if r.alive else None) for r in out.itertuples()} == {k: (max(s for s, _, of, _ in rows if of == k), want.get(k)) for k in {r[2] for r in rows}}
