@@ -22,7 +22,11 @@ def assignment_ordinal(body: Column) -> Column:
 
 def assignment_value(body: Column) -> Column:
     """struct(text, is_null): bare NULL is null, a quoted 'NULL' is text."""
-    raw = F.regexp_extract(body, ASSIGNMENT, 2)
+    return assigned(F.regexp_extract(body, ASSIGNMENT, 2))
+
+
+def assigned(raw: Column) -> Column:
+    """assignment_value of what stands behind the sign, without a comment."""
     quoted = F.rlike(raw, F.lit(r"(?s)^'.*'$")) & (F.length(raw) >= 2)
     is_null = raw == "NULL"
     text = F.when(quoted, unquote(raw.substr(F.lit(2), F.length(raw) - 2))).otherwise(raw)

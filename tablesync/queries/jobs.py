@@ -249,8 +249,8 @@ def transcript_stream(spark, sf):
     path, out, checkpoint = scratch(spark, "lines"), scratch(spark, "decoded"), scratch(spark, "lines-checkpoint")
     _rocksdb(spark)
     write = lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}")
-    for k in range(3):
-        lines.where(run == k).select("path", "line_no", "line").write.mode("append").parquet(path)
+    for k, (first, last) in enumerate(((0, 300), (300, 700), (700, 999))):  # the bounds tell before an event's lines are made
+        lines.where((n % 1000).between(first, last) & (run == k)).select("path", "line_no", "line").write.mode("append").parquet(path)
         stream = spark.readStream.schema("path string, line_no long, line string").parquet(path)
         decoded = stream_transcripts(stream, fx.transcript_catalog(spark))
         decoded.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

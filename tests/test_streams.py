@@ -245,3 +245,53 @@ def test_a_bucket_folds_changes_in_any_order(max_waiting):
         want = replayed(rows, want)
         assert json.loads(held.of["rows"].value[0]) == want and not held.of["inserts"].value
         assert {r.key: (r.seq, json.loads(r.vals) if r.alive else None) for r in out.itertuples()} == {k: (max(s for s, _, of, _ in rows if of == k), want.get(k)) for k in {r[2] for r in rows}}
+
+
+def read_through(lines):
+    """Blocks (pos, seq, file, op, tbl, cells) of a file's parsed lines, line by line; those without a position are left out."""
+    out, waiting, file, start, section, is_open = [], [], None, None, "", False
+    for r in lines:
+        file = r["rotate"] or file
+        if r["marker"] is not None or r["ended"]:
+            pos = r["marker"] if r["marker"] is not None else (start or 0) + 1
+            out += [(pos, *b) for b in waiting]
+            waiting, is_open = [], False
+            start = r["marker"] if r["marker"] is not None else start
+        elif r["op"] is not None:
+            section, is_open = "", True
+            waiting.append((len(out) + len(waiting) + 1, file, r["op"], r["tbl"], []))
+        elif r["section"] is not None:
+            section = r["section"]
+        elif r["n"] is not None and is_open:
+            waiting[-1][4].append({"old": section == "WHERE", "n": r["n"], "text": r["text"]})
+    return out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_of_packs_equal_a_reading_line_by_line(seed, monkeypatch):
+    """Random lines in random order within batches cut anywhere; some come twice; few blocks to a pack."""
+    import pyarrow as pa
+
+    from tablesync.streaming import transcripts
+    from tablesync.streaming.transcripts import BLOCKS, LINES, OpenBlocks, _pack, _unpack
+    from pyspark.sql.types import Row
+
+    monkeypatch.setattr(transcripts, "MAX_BLOCKS", 2)
+    rng, kinds = random.Random(seed), {
+        "op": lambda i: {"op": rng.choice(["insert", "update"]), "tbl": f"t{i}"}, "cell": lambda i: {"n": rng.randint(1, 3), "text": rng.choice([None, f"x{i}"])}, "section": lambda i: {"section": rng.choice(["WHERE", "SET"])},
+        "marker": lambda i: {"marker": 10 * i}, "rotate": lambda i: {"rotate": f"bin.{i}"}, "both": lambda i: {"rotate": f"bin.{i}", "marker": 10 * i}, "ended": lambda i: {"ended": True},
+    }
+    lines = []
+    for i in range(rng.randint(1, 80)):
+        kind = rng.choices(list(kinds), [3, 8, 3, seed % 3, 1, 0.3, 0.5])[0]
+        lines.append({f.name: None for f in LINES} | {"line_no": 2 * i, "ended": False} | kinds[kind](i))
+    processor, held, got, at = OpenBlocks(), Held(), [], 0
+    processor.init(held)
+    while at < len(lines):
+        end = at + rng.randint(1, 12)
+        batch = lines[max(0, at - rng.randint(0, 4)) : end] + lines[at : at + 1]
+        rng.shuffle(batch)
+        packs = [pa.RecordBatch.from_pylist(batch[i : i + 5], schema=LINES) for i in range(0, len(batch), 5)]
+        got += [tuple(b.values()) for r in processor.handleInputRows(("f",), iter([Row(path="f", pack=_pack(p)) for p in packs]), None) for b in _unpack(r.pack, BLOCKS).to_pylist()]
+        at = end
+    assert got == read_through(lines)

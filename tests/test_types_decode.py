@@ -191,3 +191,19 @@ def test_rows_round_trip(spark, tmp_path):
     with pytest.raises(ValueError, match="duplicate"):
         rows_io.append_rows(spark.sql("select 1 as id"), spark.sql("select 1 as id"), ["id"])
     assert rows_io.select_tables(["a", "b", "c"], exclude=["b"], exclude_data=["c"]) == {"a": (True, True), "c": (True, False)}
+
+
+def test_lines_of_a_stream_travel_in_packs():
+    """An Arrow batch of lines is a row for each of its files, and lines that say nothing are left out: rows of the state don't grow with lines."""
+    import pyarrow as pa
+
+    from tablesync.streaming.transcripts import LINES, _packed_lines, _unpack
+
+    files = [None, "b", "a"] * 100
+    given = {"path": pa.array(files, pa.string())} | {f.name: pa.nulls(300, f.type) for f in LINES}
+    given |= {"line_no": pa.array(range(300)), "marker": pa.array([i if i % 2 else None for i in range(300)], pa.int64()), "ended": pa.array([False] * 300)}
+    (out,) = _packed_lines(iter([pa.RecordBatch.from_pydict(given)]))
+    got = {path: _unpack(pack, LINES).to_pylist() for path, pack in zip(out["path"].to_pylist(), out["pack"].to_pylist())}
+    assert len(out) == 3 and {path: [(r["line_no"], r["marker"]) for r in rows] for path, rows in got.items()} == {f: [(i, i) for i in range(300) if i % 2 and files[i] == f] for f in files}
+    (none,) = _packed_lines(iter([pa.RecordBatch.from_pydict(given).slice(0, 1)]))
+    assert len(none) == 0
