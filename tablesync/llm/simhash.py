@@ -82,7 +82,7 @@ def near_duplicates(fps: DataFrame) -> DataFrame:
     linked = components(links(classes.select("fp")))
     roots = written(classes.join(linked.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "roots")
     groups = roots.groupBy(F.col("root").alias("of_root")).agg(F.min("least").alias("component_id"), F.sum("n").alias("group_rows"), F.count("*").alias("n_fps"))
-    return join_classes(roots, groups, "root", "n_fps", roots.count()).select("fp", "n", "root", "component_id", "group_rows")
+    return join_classes(roots, groups, "root", "n_fps", roots.count(), merge=True).select("fp", "n", "root", "component_id", "group_rows")
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -97,7 +97,7 @@ def one_of_each_group(docs: DataFrame, shingle: int = 3) -> DataFrame:
     ids = held.select(F.col("row.doc_id").alias("doc_id"), "fp")
     groups = written(near_duplicates(ids), "groups")
     crowded = groups.where("group_rows > 1").select(F.col("fp").alias("of_fp"), F.col("n").alias("fp_rows"), "root", "component_id")
-    rows = join_classes(ids, crowded, "fp", "fp_rows", held.count()).groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
+    rows = join_classes(ids, crowded, "fp", "fp_rows", held.count(), merge=True).groupBy("doc_id", "fp", "root", "component_id").agg(F.count("*").alias("n"))
     winners = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = winners.groupBy(F.col("root").alias("win_root")).agg(F.min("fp").alias("win_fp"))
     kept = winners.join(first, (F.col("root") == F.col("win_root")) & (F.col("fp") == F.col("win_fp")))
@@ -114,5 +114,5 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fps = written(fingerprints(docs).select(F.col("row.doc_id").alias("doc_id"), "fp"), "fps")
     groups = written(near_duplicates(fps).withColumnRenamed("fp", "of_fp"), "groups")
-    joined = join_classes(fps, groups, "fp", "n", fps.count())
+    joined = join_classes(fps, groups, "fp", "n", fps.count(), merge=True)
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

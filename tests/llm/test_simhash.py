@@ -88,7 +88,7 @@ def test_tables_that_grow_are_not_broadcast(spark, tmp_path):
     for df in (links(edges.select(F.col("a").alias("fp"))), _large_star(edges), _small_star(edges)):
         assert joins(df) == {"BroadcastHashJoin": 0, "SortMergeJoin": 1, "ShuffledHashJoin": 0}
     classes = edges.groupBy(F.col("a").alias("of_a")).agg(F.count("*").alias("n"))
-    found = joins(join_classes(edges, classes, "a", "n", 50))
+    found = joins(join_classes(edges, classes, "a", "n", 50, merge=True))
     assert found["BroadcastHashJoin"] == 3 and found["SortMergeJoin"] == 1
 
 
